@@ -37,7 +37,7 @@ def public_path(name: str) -> str:
 class UnitEncoder:
     """Encodes texts with the vocabulary at ``path``, without special tokens of its own."""
 
-    def __init__(self, path: str, max_units: int = 400_000):
+    def __init__(self, path: str, max_units: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,8 +50,13 @@ class UnitEncoder:
             self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         else:
             self.mark = np.array(self.tokenizer.encode(_MARK, add_special_tokens=False).ids)
+        #: Ids of marks that may follow a word of letters; there a new token always begins.
+        self.after = {c: self._plain("a" + c)[len(self._plain("a")) :] for c in ".,"}
         self._clear()
 
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self, keep: int = 0) -> None:
         """Forget all but the first ``keep`` units seen, which hold the frequent ones."""
         self.known: dict[str, int] = dict(zip(islice(self.known, keep), range(keep), strict=False)) if keep else {}
@@ -74,8 +79,32 @@ class UnitEncoder:
         sizes = np.array([len(x) for x in own], np.int64)
         self._add(units, np.concatenate([*own, np.zeros(0, np.uint32)]), exclusive(sizes), sizes)
 
+    def _compose(self, units: list[str]) -> list[str]:
+        """Add words of known letters with a mark at the end; the other units are returned."""
+        rest = []
+        some: dict[str, tuple[list[str], list[int]]] = {c: ([], []) for c in self.after}
+        for u in units:
+            stem = u[:-1]
+            if u[-1:] in some and (k := self.known.get(stem)) is not None and stem.isalpha() and max(stem) < "\u0250":
+                some[u[-1]][0].append(u)
+                some[u[-1]][1].append(k)
+            else:
+                rest.append(u)
+        for c, (own, stems) in some.items():
+            if own:
+                at = np.array(stems, np.int64)
+                flat, starts, sizes = (np.frombuffer(x, t) for x, t in ((self.flat, np.uint32), (self.starts, np.int64), (self.lengths, np.int64)))
+                starts, sizes = starts[at], sizes[at]
+                ids = ragged_take(flat, starts, sizes)
+                del flat
+                ids = np.insert(ids, np.repeat(np.cumsum(sizes), len(self.after[c])), np.tile(self.after[c], len(own)))
+                sizes = sizes + len(self.after[c])
+                self._add(own, ids, exclusive(sizes), sizes)
+        return rest
+
     def _learn(self, units: list[str]) -> None:
         """Units that aren't a text's first, and so follow a space."""
+        units = self._compose(units)
         for i in range(0, len(units), 2000):
             some = units[i : i + 2000]
             joined = " " + " ".join(some) if self.spaced else (sep := f" {_MARK} ").join(some) + sep
