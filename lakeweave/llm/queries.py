@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontam, isoforest, simhash
 from .common import workspace
 from .packing import pack_documents
 from .repair import read_digests, write_tokens
@@ -16,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, one_in=20)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = workspace(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), out, public_path("byte_bpe_50k.json"), end_id=2)
@@ -26,9 +33,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return isoforest.judge(docs, isoforest.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
