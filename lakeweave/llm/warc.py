@@ -1,8 +1,7 @@
 """WARC archives: writing with revisit records, and reading in parallel from any place of a file.
 
-Archives are plain files of records that end in two line ends, so that Spark's
-text writer and reader carry them to and from any store. A file is read in byte
-blocks. A block's task lists candidates, wherever the magic line stands, and
+Archives are plain files, written and read as lines by Spark's text writer and
+reader, which carry them to and from any store. A file is read in byte blocks. A block's task lists candidates, wherever the magic line stands, and
 where each one's successor would begin. Inside the block chains are followed by
 pointer jumping, which leaves a place beyond the block for each; between blocks
 the same is done over a table of block entries, from the start of each file.
@@ -30,7 +29,10 @@ from pyspark.sql import Window as W
 
 from .common import column, materialize, record_batch
 
-END = "\r\n\r\n"
+#: A line end can't be mistaken wherever a block begins, other than the records' own end of two.
+END = "\n"
+#: Bytes in which a header must end.
+HEADER = 1 << 16
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 _ID = re.compile(r"<urn:page:(-?\d+|null)>")
@@ -67,6 +69,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", payload_col:
         header("Content-Length", F.when(revisit, 0).otherwise(F.col("n")).cast("string")),
         F.lit("\r\n"),
         F.when(revisit, "").otherwise(F.coalesce("payload", F.lit(""))),
+        F.lit("\r\n\r"),  # and the line end
     )
     rows.select(record.alias("value")).write.option("lineSep", END).text(out)
 
@@ -80,7 +83,7 @@ def _blocks(batches):
                 if at:
                     yield *at, b"".join(parts)
                 at, parts = (file, start), []
-            parts += (value, b"\r\n\r\n")
+            parts += (value, b"\n")
     if at:
         yield *at, b"".join(parts)
 
@@ -93,13 +96,17 @@ def _header(data: bytes, at: int) -> tuple[int, int] | None:
 
 
 def jump(next_: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """Where each chain leaves the block, by pointer jumping; -1 where it breaks. ``next_``: successor offsets, sorted ``places``."""
+    """Where each chain leaves the block, by pointer jumping; -1 where it breaks.
+
+    ``next_`` has the successor of each of the sorted ``places``; a place that is
+    its own successor ends a chain.
+    """
     n = len(places)
     where = np.searchsorted(places, next_)
     inside = (next_ >= 0) & (next_ < size)
     hit = inside & (where < n) & (places[np.minimum(where, n - 1)] == next_)
-    exits = np.where(next_ >= size, next_, -1)
-    # n is a sink; a chain that has left or broken stays where its last record is.
+    exits = np.where((next_ >= size) | (next_ == places), next_, -1)
+    # A chain that has left or broken stays where its last record is.
     to = np.where(hit, where, np.arange(n))
     while True:
         further = to[to]
@@ -108,17 +115,30 @@ def jump(next_: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
         to = further
 
 
+_FOUND = "file string, block long, size long, at long, exit long, cut binary"
+
+
 def _candidates(batches):
-    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("at", pa.int64()), ("exit", pa.int64())])
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("at", pa.int64()), ("exit", pa.int64()), ("cut", pa.binary())])
     for file, start, data in _blocks(batches):
         places = [m.start() for m in _MAGIC.finditer(data)]
         heads = [_header(data, p) for p in places]
-        # A header cut off by the block's end has its successor beyond it, at a place not known yet.
-        next_ = np.array([h[0] + h[1] + 4 if h else -1 for h in heads], np.int64)
+        # A header that the block's end cuts off is finished with the next block's first bytes.
+        cuts = [data[p:] if not h and len(data) - p < HEADER and data.find(b"\r\n\r\n", p) < 0 else None for p, h in zip(places, heads, strict=True)]
+        next_ = np.array([h[0] + h[1] + 4 if h else p if c else -1 for p, h, c in zip(places, heads, cuts, strict=True)], np.int64)
         exits = jump(next_, np.array(places, np.int64), len(data)) if places else next_
         n = len(places)
         # a row for the block itself comes first
-        yield record_batch(schema, [[file] * (n + 1), [start] * (n + 1), [len(data)] * (n + 1), [-1, *places], [-1, *exits.tolist()]])
+        yield record_batch(schema, [[file] * (n + 1), [start] * (n + 1), [len(data)] * (n + 1), [-1, *places], [-1, *exits.tolist()], [data[:HEADER], *cuts]])
+
+
+def _finish(batches):
+    """Candidates whose header was cut off, with what follows it."""
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("exit", pa.int64())])
+    for batch in batches:
+        heads = [_header(a + (b or b""), 0) for a, b in zip(column(batch, "cut").to_pylist(), column(batch, "head").to_pylist(), strict=True)]
+        at = column(batch, "at").to_pylist()
+        yield record_batch(schema, [column(batch, "file"), column(batch, "block"), at, [a + h[0] + h[1] + 4 if h else -1 for a, h in zip(at, heads, strict=True)]])
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -143,19 +163,23 @@ def _reached(places: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def plan_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Per block: its offset in the file, its entry (the first record that begins in it) and the entry that ends what began before."""
-    found = materialize(_lines(spark, path).mapInArrow(_candidates, "file string, block long, size long, at long, exit long"), "candidates")
+    """Per block: its offset in the file, its entry (the first record that begins in it), and the entries that end what began before it and in it."""
+    found = materialize(_lines(spark, path).mapInArrow(_candidates, _FOUND), "candidates")
     blocks = found.where("at < 0").select("file", "block", "size")
+    heads = found.where("at < 0").select("file", F.lag("block").over(W.partitionBy("file").orderBy("block")).alias("block"), F.col("cut").alias("head"))
+    cut = found.where("at >= 0 and cut is not null").select("file", "block", "at", "cut").join(heads, ["file", "block"])
+    found = found.where("at >= 0 and cut is null").select("file", "block", "at", "exit").union(cut.mapInArrow(_finish, "file string, block long, at long, exit long"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    places = found.where("at >= 0 and exit >= 0").join(blocks.select("file", "block", "base"), ["file", "block"])
+    places = found.where("exit >= 0").join(blocks.select("file", "block", "base"), ["file", "block"])
     places = places.select("file", "block", "base", (F.col("at") + F.col("base")).alias("at"), (F.col("exit") + F.col("base")).alias("exit"))
     aims = places.select("file", F.col("exit").alias("at")).distinct()
     entries = places.where("at = 0").unionByName(places.where("at > 0").join(aims, ["file", "at"], "left_semi"))
     entries = materialize(entries, "entries")
     reached = entries.join(_reached(entries), ["file", "at"], "left_semi").groupBy("file", "block").agg(F.min("at").alias("entry"))
     after = W.partitionBy("file").orderBy("block").rowsBetween(0, W.unboundedFollowing)
-    return blocks.join(reached, ["file", "block"], "left").withColumn("until", F.first("entry", ignorenulls=True).over(after))
+    planned = blocks.join(reached, ["file", "block"], "left").withColumn("until", F.first("entry", ignorenulls=True).over(after))
+    return planned.withColumn("next", F.lead("until").over(W.partitionBy("file").orderBy("block")))
 
 
 def _parse(data: bytes, at: int = 0) -> tuple:
@@ -184,7 +208,7 @@ def _records(batches, plan, pieces: bool):
     """The whole records of each block, or the pieces of those that reach over its ends."""
     schema = pa.schema([("file", pa.string()), ("until", pa.int64()), ("begin", pa.int64()), ("data", pa.binary())])
     for file, start, data in _blocks(batches):
-        base, entry, until = plan[(file, start)]
+        base, entry, until, following = plan[(file, start)]
         at, rows = (entry - base if entry is not None else len(data)), []
         if pieces and at:
             yield record_batch(schema, [[file], [until], [base], [data[:at]]])
@@ -201,7 +225,7 @@ def _records(batches, plan, pieces: bool):
         if rows:
             yield _some(rows)
         if pieces and at < len(data):
-            yield record_batch(schema, [[file], [base + len(data) if (end := _header(data, at)) is None else base + end[0] + end[1] + 4], [base + at], [data[at:]]])
+            yield record_batch(schema, [[file], [following], [base + at], [data[at:]]])
 
 
 def _joined(batches):
@@ -211,7 +235,7 @@ def _joined(batches):
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``: ``RECORD``."""
-    plan = {(r["file"], r["block"]): (r["base"], r["entry"], r["until"]) for r in plan_blocks(spark, path).collect()}
+    plan = {(r["file"], r["block"]): (r["base"], r["entry"], r["until"], r["next"]) for r in plan_blocks(spark, path).collect()}
     lines = _lines(spark, path)
     whole = lines.mapInArrow(partial(_records, plan=plan, pieces=False), RECORD)
     parts = lines.mapInArrow(partial(_records, plan=plan, pieces=True), "file string, until long, begin long, data binary")
