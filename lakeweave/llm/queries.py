@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, isoforest, simhash, warc
+from . import chat, decontam, isoforest, kneser_ney, simhash, warc
 from .common import workspace
 from .packing import pack_documents
 from .repair import read_digests, write_tokens
@@ -75,6 +75,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, out)
 
 
+def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.judge(docs, kneser_ney.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
+    "op4_perplexity": op4_perplexity,
     "op5_chat_format": op5_chat_format,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
