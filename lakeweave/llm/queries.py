@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, isoforest, kneser_ney, simhash, warc
+from . import chat, decontam, isoforest, kneser_ney, langid, simhash, urls, warc
 from .common import workspace
 from .packing import pack_documents
 from .repair import read_digests, write_tokens
@@ -104,6 +104,21 @@ FROM t GROUP BY conv_id
 """
 
 
+#: Rules for the pages' addresses.
+URL_RULES = {"com/en/": urls.BLOCK, "example.com/en/7": urls.ALLOW, "net/de/": urls.ALLOW, "example.net/de/8": urls.BLOCK, "org/es/": urls.BLOCK}
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.from_pages(table(spark, sf_dir, "pages")).unionByName(langid.from_documents(docs))
+    found = langid.identify(rows, langid.fit(docs))
+    return found.select(F.when(~F.col("markup"), F.col("id")).alias("doc_id"), F.when(F.col("markup"), F.col("id")).alias("page_id"), "language", "posterior", "text_language")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
@@ -123,6 +138,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_perplexity": op4_perplexity,
     "op5_chat_format": op5_chat_format,
+    "op6_url_filter": op6_url_filter,
+    "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
