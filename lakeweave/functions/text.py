@@ -113,16 +113,23 @@ def char_ngrams(text: Column | str, n: int) -> Column:
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= n, F.array(t)).otherwise(F.array_distinct(grams))
 
 
+def set_jaccard(a: Column | str, b: Column | str) -> Column:
+    """``jaccard`` of arrays that have no repeats."""
+    a, b = _col(a), _col(b)
+    sizes = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda i: F.when((size0(a) > 0) & (size0(b) > 0), ratio(i, size0(a) + size0(b) - i)).otherwise(0.0))
+    return F.coalesce(sizes[0], F.lit(0.0))
+
+
 def ngram_jaccard(a: Column | str, b: Column | str, n: int) -> Column:
-    return jaccard(char_ngrams(a, n), char_ngrams(b, n))
+    return set_jaccard(char_ngrams(a, n), char_ngrams(b, n))
 
 
-def edit_similarity(a: Column | str, b: Column | str) -> Column:
-    """1 less the edit distance over the longer length; 3-gram Jaccard where one text is long."""
+def edit_similarity(a: Column | str, b: Column | str, when_long: Column | None = None) -> Column:
+    """1 less the edit distance over the longer length; 3-gram Jaccard (or ``when_long``, if that is known) where one text is long."""
     a, b = F.coalesce(_col(a), F.lit("")), F.coalesce(_col(b), F.lit(""))
     longest = F.greatest(F.length(a), F.length(b))
     exact = F.lit(1.0) - F.levenshtein(a, b) / F.when(longest > 0, longest)
-    return F.when(a == b, 1.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).when(longest > EXACT_EDIT, ngram_jaccard(a, b, 3)).otherwise(exact)
+    return F.when(a == b, 1.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).when(longest > EXACT_EDIT, ngram_jaccard(a, b, 3) if when_long is None else when_long).otherwise(exact)
 
 
 def js_similarity(a: Column | str, b: Column | str) -> Column:

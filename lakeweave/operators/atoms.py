@@ -108,6 +108,8 @@ def entity(pairs: DataFrame, profiles: DataFrame, weights: DataFrame | None = No
         profiles = profiles.join(embeddings.select("id", "embedding"), "id", "left")
     else:
         profiles = profiles.withColumn("embedding", F.lit(None).cast("array<float>"))
+    # A row's n-grams are made once, on its side of the join, not for each pair.
+    profiles = profiles.withColumns({"char3": T.char_ngrams("serial_text", 3), "char4": T.char_ngrams("serial_text", 4)})
     rows = _sides(pairs, profiles)
     both = T.size0(F.array_intersect("pa.value_set", "pb.value_set"))
     weights_of = F.map_concat(F.coalesce("pa.weights", F.create_map().cast("map<string,double>")), F.map_filter(F.coalesce("pb.weights", F.create_map().cast("map<string,double>")), lambda k, v: ~F.coalesce(F.map_contains_key("pa.weights", k), F.lit(False))))
@@ -117,20 +119,20 @@ def entity(pairs: DataFrame, profiles: DataFrame, weights: DataFrame | None = No
         "row_emb_cosine": T.cosine("pa.embedding", "pb.embedding"), "row_emb_l1_sim": T.l1_similarity("pa.embedding", "pb.embedding"),
         "row_value_jaccard": T.ratio(both, T.size0("pa.value_set") + T.size0("pb.value_set") - both),
         "row_value_containment_max": T.containment_max(both, T.size0("pa.value_set"), T.size0("pb.value_set")),
-        "row_token_jaccard": T.jaccard("pa.token_set", "pb.token_set"),
+        "row_token_jaccard": T.set_jaccard("pa.token_set", "pb.token_set"),
         "row_nonempty_ratio": T.safe_ratio("pa.nonempty_count", "pb.nonempty_count"),
         "row_numeric_ratio_sim": T.closeness("pa.numeric_ratio", "pb.numeric_ratio"),
         "row_avg_len_ratio": T.safe_ratio("pa.avg_len", "pb.avg_len"),
-        "row_serial_token_jaccard": T.jaccard("pa.serial_token_set", "pb.serial_token_set"),
-        "row_serial_edit_similarity": T.edit_similarity("pa.serial_text", "pb.serial_text"),
+        "row_serial_token_jaccard": T.set_jaccard("pa.serial_token_set", "pb.serial_token_set"),
+        "row_serial_edit_similarity": T.edit_similarity("pa.serial_text", "pb.serial_text", T.set_jaccard("pa.char3", "pb.char3")),
         "row_numeric_value_overlap": T.numeric_overlap("pa.numeric_value_set", "pb.numeric_value_set"),
-        "row_serial_char3_jaccard": T.ngram_jaccard("pa.serial_text", "pb.serial_text", 3),
-        "row_serial_char4_jaccard": T.ngram_jaccard("pa.serial_text", "pb.serial_text", 4),
+        "row_serial_char3_jaccard": T.set_jaccard("pa.char3", "pb.char3"),
+        "row_serial_char4_jaccard": T.set_jaccard("pa.char4", "pb.char4"),
         "row_token_idf_jaccard": T.weighted_jaccard("pa.token_set", "pb.token_set", weights_of),
         "row_numeric_rel_diff_sim": T.relative_closeness("pa.numeric_median", "pb.numeric_median"),
-        "row_header_jaccard": T.jaccard("pa.header_token_set", "pb.header_token_set"),
+        "row_header_jaccard": T.set_jaccard("pa.header_token_set", "pb.header_token_set"),
         "row_header_value_exact_ratio": T.ratio(T.size0(same), T.size0(headers)),
-        "row_header_token_jaccard": T.jaccard("pa.header_value_token_set", "pb.header_value_token_set"),
+        "row_header_token_jaccard": T.set_jaccard("pa.header_value_token_set", "pb.header_value_token_set"),
     }
     return rows.select("a", "b", *_known(atoms, wanted))
 

@@ -84,35 +84,36 @@ def entity_rows(cells: DataFrame) -> DataFrame:
     field = F.struct("col_idx", "column_name", "v", "missing")
     # A header counts once; its first field wins.
     rows = _clean(cells).groupBy("table_name", "row_idx").agg(F.array_sort(F.collect_list(field)).alias("all"))
+    # Tokens are made once per field; the columns below only put them together.
+    rows = rows.withColumn("all", F.transform("all", lambda x: F.struct(F.lower(x["column_name"]).alias("name"), x["v"].alias("v"), x["missing"].alias("missing"), T.row_header_tokens(x["column_name"]).alias("h"), T.value_tokens(x["v"]).alias("t"), T.is_numeric(x["v"]).alias("numeric"))))
     rows = rows.withColumn("f", F.filter("all", lambda x: ~x["missing"]))
     strings = F.array().cast("array<string>")
     per = lambda fn: F.flatten(F.transform("f", fn))
-    head = lambda x: T.row_header_tokens(x["column_name"])
-    cross = lambda x: F.flatten(F.transform(head(x), lambda h: F.transform(T.value_tokens(x["v"]), lambda t: F.concat(h, F.lit(":"), t))))
+    cross = lambda x: F.flatten(F.transform(x["h"], lambda h: F.transform(x["t"], lambda t: F.concat(h, F.lit(":"), t))))
     capped = lambda a, n: F.coalesce(F.slice(F.array_distinct(a), 1, n), strings)
-    numeric = F.filter(F.transform("f", lambda x: x["v"]), T.is_numeric)
-    numbers = F.filter(F.transform(numeric, T.as_number), T.is_finite)
+    numeric = F.transform(F.filter("f", lambda x: x["numeric"]), lambda x: x["v"])
+    rows = rows.withColumn("numbers", F.array_sort(F.filter(F.transform(numeric, T.as_number), T.is_finite)))
     n = T.size0("f")
-    rows = rows.withColumns({
-        "value_set": capped(F.transform("f", lambda x: x["v"]), VALUES),
-        "token_set": capped(per(lambda x: T.value_tokens(x["v"])), TOKENS),
-        "numeric_value_set": capped(numeric, VALUES),
-        "header_token_set": F.array_distinct(F.flatten(F.transform("all", head))),
-        "serial_token_set": capped(per(lambda x: F.concat(head(x), T.value_tokens(x["v"]))), TOKENS),
-        "header_value_token_set": capped(per(cross), TOKENS),
-        "serial_text": F.substring(F.array_join(F.slice(F.transform("f", lambda x: F.concat(F.lit("col "), F.lower(x["column_name"]), F.lit(" val "), x["v"])), 1, FIELDS), " ; "), 1, CHARS),
-        "nonempty_count": n,
-        "numeric_ratio": T.ratio(T.size0(numeric), n),
-        "avg_len": T.ratio(F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + F.length(x["v"])), n),
-        "numeric_median": median(numbers),
-        "header_to_value": F.map_from_entries(F.transform("f", lambda x: F.struct(F.lower(x["column_name"]), x["v"]))),
-    })
-    return rows.drop("all", "f")
-
-
-def median(numbers):
-    """The median of an array; null of an empty one."""
-    s, n = F.array_sort(numbers), F.size(numbers)
+    return rows.select(
+        "table_name", "row_idx",
+        capped(F.transform("f", lambda x: x["v"]), VALUES).alias("value_set"),
+        capped(per(lambda x: x["t"]), TOKENS).alias("token_set"),
+        capped(numeric, VALUES).alias("numeric_value_set"),
+        F.array_distinct(F.flatten(F.transform("all", lambda x: x["h"]))).alias("header_token_set"),
+        capped(per(lambda x: F.concat(x["h"], x["t"])), TOKENS).alias("serial_token_set"),
+        capped(per(cross), TOKENS).alias("header_value_token_set"),
+        F.substring(F.array_join(F.slice(F.transform("f", lambda x: F.concat(F.lit("col "), x["name"], F.lit(" val "), x["v"])), 1, FIELDS), " ; "), 1, CHARS).alias("serial_text"),
+        n.alias("nonempty_count"),
+        T.ratio(T.size0(numeric), n).alias("numeric_ratio"),
+        T.ratio(F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + F.length(x["v"])), n).alias("avg_len"),
+        median(F.col("numbers")).alias("numeric_median"),
+        F.map_from_entries(F.transform("f", lambda x: F.struct(x["name"], x["v"]))).alias("header_to_value"),
+    )
+
+
+def median(s):
+    """The median of a sorted array; null of an empty one."""
+    n = F.size(s)
     middle = lambda i: F.try_element_at(s, i.cast("int"))
     return F.when(n > 0, (middle(F.floor((n + 1) / 2)) + middle(F.floor(n / 2) + 1)) / 2)
 

@@ -222,7 +222,7 @@ def entity_pairs(spark, sf_dir):
 ENTITY_PAIRS = """pp AS (SELECT 'customer:' || x.c_custkey AS s, 'customer:' || (x.c_custkey + 1) AS d FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1
  UNION ALL SELECT 'customer:' || c_custkey, 'supplier:' || s_suppkey FROM customer JOIN supplier ON s_suppkey = c_custkey),
 pairs AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM pp)"""
-GRAMS = "list_distinct([lower({0})[i : i + {1}] for i in range(1, length({0}) - {1} + 1)])"
+GRAMS = "list_distinct([lower({0})[i : i + {1} - 1] for i in range(1, length({0}) - {1} + 2)])"
 
 
 @query(f"""WITH {ROW_SQL}, {ENTITY_PAIRS},
@@ -263,12 +263,12 @@ def j5_f14_f15_embedding_atoms(spark, sf_dir):
 
 # ---- scored rows for evaluation: customers' balances against a segment -----
 
-SCORED = "scored AS (SELECT c_custkey AS id, round((c_acctbal + 1000) / 11000, 4) AS score, CAST(c_mktsegment = 'BUILDING' OR c_acctbal > 6000 AS INT) AS label, c_mktsegment AS seg FROM customer)"
+SCORED = "scored AS (SELECT c_custkey AS id, (c_acctbal + 1000) / 11000 AS score, CAST(c_mktsegment = 'BUILDING' OR c_acctbal > 6000 AS INT) AS label, c_mktsegment AS seg FROM customer)"
 
 
 def scored(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("id"), F.round((F.col("c_acctbal") + 1000) / 11000, 4).alias("score"), ((F.col("c_mktsegment") == "BUILDING") | (F.col("c_acctbal") > 6000)).cast("int").alias("label"), F.col("c_mktsegment").alias("seg"))
+    return c.select(F.col("c_custkey").alias("id"), ((F.col("c_acctbal") + 1000) / 11000).alias("score"), ((F.col("c_mktsegment") == "BUILDING") | (F.col("c_acctbal") > 6000)).cast("int").alias("label"), F.col("c_mktsegment").alias("seg"))
 
 
 RATES = "tp, fp, fn, tn, (tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE) AS accuracy, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0 END AS f1"
@@ -386,12 +386,12 @@ def y4_y5_y6_spec_channels(spark, sf_dir):
     return features(spark, sf_dir).select("id", c1, c2, F.round(c3, 9).alias("c3"), F.round(score, 9).alias("score"), specs.decision_column(spec, score).alias("decision"))
 
 
-EVIDENCE_SQL = "ev AS (SELECT c_custkey AS id, round((c_acctbal + 1000) / 11000, 4) AS s_prior, c_nationkey AS src_degree, CAST(c_custkey % 9 AS BIGINT) AS dst_degree FROM customer), e AS (SELECT *, 1 - 2 * abs(s_prior - 0.5) AS uncertainty, CASE WHEN greatest(src_degree, dst_degree) > 0 THEN least(src_degree, dst_degree) / CAST(greatest(src_degree, dst_degree) AS DOUBLE) ELSE 0.0 END AS degree_ratio FROM ev)"
+EVIDENCE_SQL = "ev AS (SELECT c_custkey AS id, (c_acctbal + 1000) / 11000 AS s_prior, c_nationkey AS src_degree, CAST(c_custkey % 9 AS BIGINT) AS dst_degree FROM customer), e AS (SELECT *, 1 - 2 * abs(s_prior - 0.5) AS uncertainty, CASE WHEN greatest(src_degree, dst_degree) > 0 THEN least(src_degree, dst_degree) / CAST(greatest(src_degree, dst_degree) AS DOUBLE) ELSE 0.0 END AS degree_ratio FROM ev)"
 
 
 def evidence(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return atoms.evidence(c.select(F.col("c_custkey").alias("id"), F.round((F.col("c_acctbal") + 1000) / 11000, 4).alias("s_prior"), F.col("c_nationkey").alias("src_degree"), (F.col("c_custkey") % 9).alias("dst_degree")))
+    return atoms.evidence(c.select(F.col("c_custkey").alias("id"), ((F.col("c_acctbal") + 1000) / 11000).alias("s_prior"), F.col("c_nationkey").alias("src_degree"), (F.col("c_custkey") % 9).alias("dst_degree")))
 
 
 @query(f"WITH {EVIDENCE_SQL} SELECT id, uncertainty, degree_ratio FROM e")

@@ -6,19 +6,22 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream gets a watermark, on a time that counts from the epoch."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, late: str = "1 hour", size: str = "1 day", slide: str | None = None, time: str = "ts", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts and sums of events per window; runs on streams and tables alike."""
-    if events.isStreaming:
-        events = events.withWatermark(time, late)
+    events = _timed(events, time, late)
     window = F.window(time, size, slide) if slide else F.window(time, size)
-    return events.groupBy(window.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
+    return events.groupBy(window.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", time: str = "ts", by: str = "user_id") -> DataFrame:
     """Events of a user joined into sessions that a gap ends."""
-    if events.isStreaming:
-        events = events.withWatermark(time, late)
-    return events.groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), by, "n")
+    events = _timed(events, time, late)
+    return events.groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), by, "n")
 
 
 def score_stream(pairs: DataFrame, profiles: DataFrame, score) -> DataFrame:
