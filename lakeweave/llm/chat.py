@@ -12,7 +12,7 @@ length is written and read in a stream.
 
 Nulls: a null text or role is as an empty one; a null conversation id is a
 conversation of its own; a null turn comes first. Turns that tie are ordered by
-role, then text. An empty table gives no rows. Other columns are not read.
+their formatted text. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

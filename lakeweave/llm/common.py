@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,6 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """``df`` kept by the executors once it has been made, for tables that are small beside the input.
+
+    What a lost executor kept is made again from its lineage, which is why only
+    tables whose rows don't depend on the order of their input are kept this way.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -79,7 +89,7 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     """The concatenation of ``flat[s : s + n]`` for each start and length."""
     total = int(lengths.sum())
     if not total:
-        return flat[:0]
+        return np.zeros(0, flat.dtype)
     at = np.cumsum(lengths) - lengths
     return flat[np.repeat(starts - at, lengths) + np.arange(total)]
 

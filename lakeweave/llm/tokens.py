@@ -74,6 +74,8 @@ class UnitEncoder:
         self.starts.frombytes((starts + len(self.flat)).astype(np.int64).tobytes())
         self.lengths.frombytes(lengths.astype(np.int64).tobytes())
         self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        if len(self.known) != len(self.starts):
+            raise ValueError("units were stored twice")
 
     def _plainly(self, units: list[str], texts: list[str]) -> None:
         """A call of the library for each."""
@@ -157,7 +159,9 @@ class UnitEncoder:
             strange = pc.match_substring_regex(texts, _STRANGE)
             for i in pc.indices_nonzero(strange).to_pylist():
                 head, *own = _CUT.split(texts[i].as_py())
-                odd[i] = np.append(self._heads([head]), self._places(list(own)) if own else np.zeros(0, np.int64))
+                kinds = list(dict.fromkeys(own))
+                at = dict(zip(kinds, self._places(kinds).tolist(), strict=True))
+                odd[i] = np.append(self._heads([head]), np.array([at[u] for u in own], np.int64))
             if odd:
                 texts = pc.if_else(strange, "", texts)
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.spaced else " "), " ")
