@@ -642,6 +642,114 @@ def g5_g6_g8_g13_decoder(spark, sf_dir):
     return learn.score(learn.train_decoder(rows, names, 20), rows).select("a", "b", "label", F.round("score", 4).alias("score"))
 
 
+# ---- single functions over whole columns -------------------------------------
+
+
+@query(f"WITH {CELLS}, v AS (SELECT table_name, column_name, {NORM} AS v FROM cells) SELECT table_name, column_name, count(*) FILTER ({NUMERIC}) AS n_numeric, count(*) FILTER (v IN ({NULLS})) AS n_missing, CAST(sum(length(v)) AS BIGINT) AS n_chars FROM v GROUP BY ALL")
+def f1_f12_p4_cell_kinds(spark, sf_dir):
+    v = cells(spark, sf_dir).withColumn("v", T.normalise("raw"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return v.groupBy("table_name", "column_name").agg(n(T.is_numeric("v")).alias("n_numeric"), n(T.is_missing("v")).alias("n_missing"), n(F.length("v")).alias("n_chars"))
+
+
+@query(f"WITH {CELLS} SELECT DISTINCT table_name, column_name, {HEADER.format('column_name')} AS tokens FROM cells")
+def f2_f3_f5_header_tokens(spark, sf_dir):
+    return cells(spark, sf_dir).select("table_name", "column_name").distinct().withColumn("tokens", T.header_tokens("column_name"))
+
+
+@query(f"WITH p AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_name AS na, y.p_name AS nb FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1) SELECT a, b, {EDIT.format('na', 'nb')} AS edit, {JACCARD.format(GRAMS.format('na', 3), GRAMS.format('nb', 3))} AS char3, {JACCARD.format("regexp_extract_all(lower(na), '[a-z0-9]+')", "regexp_extract_all(lower(nb), '[a-z0-9]+')")} AS tokens FROM p")
+def f8_f9_text_similarity(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
+    two = p.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("na").alias("nb"))
+    return p.join(two, "a").select("a", "b", T.edit_similarity("na", "nb").alias("edit"), T.ngram_jaccard("na", "nb", 3).alias("char3"), T.jaccard(T.value_tokens("na"), T.value_tokens("nb")).alias("tokens"))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), t AS (SELECT doc_id, unnest(t) AS x FROM w), c AS (SELECT doc_id, x, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS s FROM c GROUP BY 1),
+p AS (SELECT w.doc_id AS a, w.doc_id + 1 AS b FROM w JOIN w w2 ON w2.doc_id = w.doc_id + 1),
+f AS (SELECT a, b, x, n / s AS p, 0.0::DOUBLE AS q FROM p JOIN c ON doc_id = a JOIN s ON s.doc_id = a UNION ALL SELECT a, b, x, 0.0, n / s FROM p JOIN c ON doc_id = b JOIN s ON s.doc_id = b),
+g AS (SELECT a, b, x, sum(p) AS p, sum(q) AS q FROM f GROUP BY ALL), both_ AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b),
+j AS (SELECT a, b, 1 - 0.5 * sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) AS s FROM g GROUP BY ALL)
+SELECT a, b, round(s, 8) AS js FROM j JOIN both_ USING (a, b)""")
+def f10_js_similarity(spark, sf_dir):
+    """Neighbouring documents by token frequencies, in long form: lists of whole texts would be compared word by word."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.value_tokens("text")).alias("x")).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("n"))
+    share = t.join(t.groupBy("doc_id").agg(F.sum("n").alias("s")), "doc_id").select("doc_id", "x", (F.col("n") / F.col("s")).alias("p"))
+    ids = share.select("doc_id").distinct()
+    pairs = ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    one = pairs.join(share, pairs["a"] == share["doc_id"]).select("a", "b", "x", "p", F.lit(0.0).alias("q"))
+    two = pairs.join(share, pairs["b"] == share["doc_id"]).select("a", "b", "x", F.lit(0.0).alias("p"), F.col("p").alias("q"))
+    g = one.unionByName(two).groupBy("a", "b", "x").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.when(F.col(c) > 0, 2 * F.col(c) / (F.col("p") + F.col("q"))))).otherwise(0.0)
+    return g.groupBy("a", "b").agg(F.round(1 - F.sum(part("p") + part("q")) / 2, 8).alias("js"))
+
+
+@query("SELECT s_suppkey AS id, least(1.0, greatest(0.0, s_acctbal / 10000)) AS clipped, CASE WHEN s_acctbal > 0 AND s_nationkey > 0 THEN least(s_acctbal, s_nationkey) / greatest(s_acctbal, s_nationkey) ELSE 0.0 END AS ratio, 1 / (1 + abs(s_acctbal - s_nationkey) / greatest(abs(s_acctbal), abs(s_nationkey), 1.0)) AS close FROM supplier")
+def f11_f16_number_similarity(spark, sf_dir):
+    n = F.col("s_nationkey").cast("double")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.clip01(F.col("s_acctbal") / 10000).alias("clipped"), T.safe_ratio("s_acctbal", n).alias("ratio"), T.relative_closeness("s_acctbal", n).alias("close"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey AS a, o_custkey AS b, trim(regexp_replace(o_orderpriority, '[^0-9A-Za-z_.-]+', '_', 'g'), '._-') AS token FROM orders")
+def f18_f19_indexes_and_tokens(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), T.row_index(F.concat(F.lit(" "), F.col("o_orderkey"))).alias("a"), T.row_index(F.concat(F.col("o_custkey"), F.lit(".0"))).alias("b"), T.path_token("o_orderpriority").alias("token"))
+
+
+# ---- more of edges, specs and settings -----------------------------------------
+
+
+@query("SELECT l_orderkey AS u, l_partkey AS v, CAST(l_discount > 0.05 AS INT) AS label FROM lineitem UNION ALL SELECT o_orderkey, o_custkey, 0 FROM orders")
+def u3_with_negatives(spark, sf_dir):
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("u"), F.col("l_partkey").alias("v"), (F.col("l_discount") > 0.05).cast("int").alias("label"))
+    return graph.with_negatives(own, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("u"), F.col("o_custkey").alias("v")))
+
+
+@query("SELECT o_orderkey AS id FROM orders UNION SELECT l_orderkey FROM lineitem")
+def u4_table_nodes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).union(table(spark, sf_dir, "lineitem").select("l_orderkey")).distinct()
+
+
+@query("SELECT o_orderkey AS u, o_custkey AS v FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE (l_orderkey = o_orderkey AND l_partkey = o_custkey) OR (l_orderkey = o_custkey AND l_partkey = o_orderkey)) AND o_orderkey <> o_custkey")
+def j9_not_an_edge(spark, sf_dir):
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("u"), F.col("o_custkey").alias("v")).where("u <> v")
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("u"), F.col("l_partkey").alias("v"))
+    return made.join(e, ["u", "v"], "left_anti").join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
+
+
+@query("SELECT * FROM (VALUES ('f1', 2), ('f2', 2), ('f3', 2)) t(atom, n)")
+def a22_atom_usage(spark, sf_dir):
+    spec = specs.validate(SPEC, FEATURES)
+    channels = spark.createDataFrame([(c.name, list(c.features)) for c in spec.channels], "channel string, features array<string>")
+    return channels.select(F.explode("features").alias("atom")).groupBy("atom").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n >= 2")
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT id, round(degree_ratio * least(1.0, greatest(0.0, 1 - abs(s_prior - 0.5) / 0.15)), 9) AS boundary FROM e")
+def k9_residual_features(spark, sf_dir):
+    e = evidence(spark, sf_dir).withColumnRenamed("s_prior", "s")
+    return e.select("id", F.round(rerank.residual_feature(F.col("degree_ratio"), 0.5, True), 9).alias("boundary"))
+
+
+@query(f"WITH {FEATURE_SQL} SELECT id, f1, f3 FROM f")
+def p2_decoder_keep(spark, sf_dir):
+    return features(spark, sf_dir).select("id", "f1", "f3")
+
+
+@query(f"""WITH {FEATURE_SQL}, c AS (SELECT id, greatest(f1, 0) AS c1, CASE WHEN f3 > 0 THEN f2 ELSE -f2 END AS c2 FROM f), m AS (SELECT avg(c1) AS m1, sqrt(greatest(avg(c1 * c1) - avg(c1) * avg(c1), 1e-12)) AS s1, avg(c2) AS m2, sqrt(greatest(avg(c2 * c2) - avg(c2) * avg(c2), 1e-12)) AS s2 FROM c WHERE id % 3 > 0)
+SELECT id, round((c1 - m1) / s1, 7) AS c1, round((c2 - m2) / s2, 7) AS c2 FROM c, m""")
+def y9_standardised_channels(spark, sf_dir):
+    spec = specs.validate(SPEC, FEATURES)
+    rows = features(spark, sf_dir).select("id", *specs.channel_columns(spec, FEATURES))
+    found = evaluate.standardise(rows, ["c1", "c2"], F.col("id") % 3 > 0)
+    return found.select("id", F.round("c1", 7).alias("c1"), F.round("c2", 7).alias("c2"))
+
+
+@query("SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+def stream_sessions_per_user(spark, sf_dir):
+    s = scoring.sessions(table(spark, sf_dir, "events"), gap="36500 days")
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    return s.join(last, "user_id").select("user_id", "n", F.col("start").alias("first"), "last")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the lake's keys with every joinability atom, best first."""
     return _join_atoms(spark, sf_dir).orderBy(F.desc("jaccard"), "a", "b")
