@@ -241,3 +241,35 @@ def compute(pairs: DataFrame, features: Iterable[Feature], keys: list[str]) -> D
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return pairs.select(*keys, "pa", "pb").mapInArrow(partial(_run, registry=registry, keys=keys, schema=to_arrow_schema(out)), out)
+
+
+#: name: (helper, field of both profiles, atom it resembles); the features made without a model.
+MADE = {
+    "entity_matching": {"value_overlap": ("set_jaccard", "value_set", "row_value_jaccard"), "field_balance": ("safe_ratio_float", "nonempty_count", "row_nonempty_ratio"), "serial_overlap": ("token_jaccard", "serial_token_set", "row_serial_token_jaccard"), "serial_edit": ("normalized_edit_similarity", "serial_text", "row_serial_edit_similarity"), "number_overlap": ("numeric_overlap_max", "numeric_value_set", "row_numeric_value_overlap"), "cross_overlap": ("token_jaccard", "header_value_token_set", "row_header_token_jaccard")},
+    "joinable_table_search": {"unique_balance": ("safe_ratio_float", "unique_ratio", "unique_ratio_sim"), "length_balance": ("safe_ratio_float", "avg_len", "avg_len_ratio_sim"), "header_overlap": ("token_jaccard", "header_tokens", "header_token_jaccard")},
+    "schema_matching": {"header_overlap": ("token_jaccard", "header_tokens", "header_token_jaccard"), "header_edit": ("normalized_edit_similarity", "header_text", "header_edit_similarity"), "number_balance": ("safe_ratio_float", "numeric_ratio", "numeric_ratio_sim")},
+    "union_table_search": {"header_overlap": ("token_jaccard", "header_tokens", "header_jaccard"), "width_balance": ("safe_ratio_float", "n_cols", "col_count_ratio"), "height_balance": ("safe_ratio_float", "n_rows", "row_count_ratio")},
+}
+
+
+def dry_run(task: str, n: int | None = None) -> list[Feature]:
+    """``n`` valid features made without a model, by default one of each kind; beyond that they come again under new names."""
+    kinds, out = list(MADE[task].items()), []
+    for i in range(len(kinds) if n is None else n):
+        name, (helper, key, atom) = kinds[i % len(kinds)]
+        code = f"def compute_feature(ctx):\n    helper = ctx['helpers']['{helper}']\n    return helper(ctx['stats_a']['{key}'], ctx['stats_b']['{key}'])\n"
+        again = f"_{i // len(kinds) + 1}" if i >= len(kinds) else ""
+        out.append(validate({"feature_name": name + again, "task": task, "code": code, "inputs_used": [key], "range_hint": [0.0, 1.0], "example_based_on": [atom]}, task))
+    return out
+
+
+def generate(ask: Callable[[str], str], task: str, tries: int = 3) -> Feature:
+    """A feature from text that ``ask`` answers with; what was wrong with the last answer is passed on."""
+    wrong = ""
+    for _ in range(tries):
+        text = re.sub(r"(?m)^\s*```.*$", "", ask(wrong))
+        try:
+            return validate(json.loads(text[text.index("{") : text.rindex("}") + 1]), task)
+        except (ValueError, KeyError) as e:
+            wrong = str(e)
+    raise FeatureError(f"no valid feature in {tries} tries: {wrong}")

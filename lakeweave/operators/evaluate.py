@@ -121,6 +121,13 @@ def mine_top(rows: DataFrame, ratio: float, id_col: str = "id") -> DataFrame:
     return rows.orderBy(F.desc("score"), id_col).limit(take_ratio(rows.count(), ratio))
 
 
+def mine_top_per(rows: DataFrame, ratio: float, by: tuple[str, ...], id_col: str = "id") -> DataFrame:
+    """The best-scored share of each batch."""
+    every, order = W.partitionBy(*by), W.partitionBy(*by).orderBy(F.desc("score"), id_col)
+    k = F.lit(0) if ratio <= 0 else F.greatest(F.ceil(F.count(F.lit(1)).over(every) * min(ratio, 1.0)), F.lit(1))
+    return rows.withColumns({"__k": k, "__r": F.row_number().over(order)}).where("__r <= __k").drop("__k", "__r")
+
+
 def hard_negatives(rows: DataFrame, ratio: float, id_col: str = "id") -> DataFrame:
     """The best-scored negatives, as many as ``ratio`` times the positives (halves to even)."""
     n = rows.agg(F.sum((F.col("label") == 1).cast("long"))).first()[0] or 0

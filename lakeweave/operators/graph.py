@@ -134,6 +134,38 @@ def attend(graph: DataFrame, query: DataFrame, key: DataFrame, value: DataFrame,
     return weighted.groupBy(F.col("dst").alias("node"), "pos").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
 
 
+def adjacency(graph: DataFrame) -> DataFrame:
+    """(src, dst, value): a sparse matrix of ones."""
+    return graph.select("src", "dst").distinct().withColumn("value", F.lit(1.0))
+
+
+def identity(spark, n: int) -> DataFrame:
+    """(node, index) for a graph whose nodes are numbered already."""
+    return spark.range(n).select(F.col("id").alias("node"), F.col("id").alias("index"))
+
+
+def cap_edges(edges: DataFrame, most: int, seed: int = 0, id_col: str = "edge_id") -> DataFrame:
+    """At most ``most`` edges for a trial run: the first by hash, in the order of their ids."""
+    return edges.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(most).orderBy(id_col)
+
+
+def convolve(graph: DataFrame, vectors: DataFrame, kind: str = "sage") -> DataFrame:
+    """(node, pos, x): one step of neighbour aggregation.
+
+    ``sage`` takes the mean of incoming neighbours; ``gcn`` adds loops and weighs
+    each edge by one over the root of both ends' numbers of incoming edges.
+    """
+    if kind == "sage":
+        return pool(graph, vectors).select("node", F.posexplode("embedding").alias("pos", "x"))
+    if kind != "gcn":
+        raise ValueError(f"unknown kind: {kind}")
+    edges = graph.select("src", "dst").unionByName(vectors.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+    into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    weighed = edges.join(into, "dst").join(into.select(F.col("dst").alias("src"), F.col("n").alias("m")), "src")
+    parts = weighed.join(vectors.select(F.col("node").alias("src"), F.posexplode("embedding").alias("pos", "x")), "src")
+    return parts.groupBy(F.col("dst").alias("node"), "pos").agg(F.sum(F.col("x") / F.sqrt(F.col("n") * F.col("m"))).alias("x"))
+
+
 def edge_statistics(edges: DataFrame) -> DataFrame:
     """(edge_type, split, n): how many edges of each type each split has."""
     split = F.when(F.col("test"), "test").when(F.col("validate"), "validate").when(F.col("train"), "train").otherwise("none")

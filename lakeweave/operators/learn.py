@@ -48,3 +48,31 @@ def layer_norm(x: Column, eps: float = 1e-5) -> Column:
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
     var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(x)
     return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+
+
+def interactions(u: Column, v: Column) -> Column:
+    """What a pair decoder reads of two vectors: both, their distance and their product, element by element."""
+    return F.concat(u, v, F.zip_with(u, v, lambda a, b: F.abs(a - b)), F.zip_with(u, v, lambda a, b: a * b))
+
+
+def unit(x: Column) -> Column:
+    """A vector over its length."""
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(norm > 0, F.transform(x, lambda v: v / norm)).otherwise(x)
+
+
+def train_benefit(rows: DataFrame, threshold: float, atoms: tuple[str, ...] = (), rounds: int = 50, ridge: float = 0.01):
+    """A weighted logistic model of where a delta helps; None unless there are rows of both kinds."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    from .rerank import benefit_features, benefit_targets
+
+    target, weight = benefit_targets(threshold)
+    features = benefit_features(threshold)
+    rows = rows.withColumns(features | {"label": target.cast("double"), "__w": weight})
+    if rows.select("label").distinct().count() < 2:
+        return None
+    stages = [VectorAssembler(inputCols=[*features, *atoms], outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=True), LogisticRegression(featuresCol="__z", labelCol="label", weightCol="__w", maxIter=rounds, regParam=ridge)]
+    return Pipeline(stages=stages).fit(rows)

@@ -101,3 +101,23 @@ def normal_equations(rows: DataFrame, features: list[str], target: str, weight:
         a[i, j] = a[j, i] = v or 0.0
     b = np.array([v or 0.0 for v in got[len(pick) :]])
     return np.linalg.solve(a + ridge * np.diag([0.0] + [1.0] * (k - 1)) + 1e-12 * np.eye(k), b).tolist()
+
+
+def with_residual(s: Column, residual: Column, active: Column, threshold: float, margin: float) -> Column:
+    """Adds a residual near the threshold to scores that no rule has moved."""
+    open_ = ~active & (F.abs(s - threshold) <= margin)
+    return F.when(open_, F.least(F.greatest(s + residual, F.lit(0.0)), F.lit(1.0))).otherwise(s)
+
+
+def search_residual(rows: DataFrame, threshold: float, margins: list[float], caps: list[float]) -> DataFrame:
+    """Margins and caps of a residual by F1, gap of fixes over breaks, fewest breaks and rows touched. ``rows``: (s, residual, active, label)."""
+    s, y = F.col("s"), F.col("label") == 1
+    aggs = []
+    for i, (m, c) in enumerate(product(margins, caps)):
+        residual = F.least(F.greatest(F.col("residual"), F.lit(-c)), F.lit(c))
+        now, was = with_residual(s, residual, F.col("active"), threshold, m) >= threshold, s >= threshold
+        count = {"tp": now & y, "fp": now & ~y, "fn": ~now & y, "fixes": (was != y) & (now == y), "breaks": (was == y) & (now != y), "touched": ~F.col("active") & (F.abs(s - threshold) <= m)}
+        aggs.append(F.struct(F.lit(i).alias("ordinal"), F.lit(m).alias("margin"), F.lit(c).alias("cap"), *[F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(n) for n, x in count.items()]))
+    out = rows.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    out = out.withColumns({"f1": _over(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), "fix_gap": F.col("fixes") - F.col("breaks")})
+    return out.orderBy(F.desc("f1"), F.desc("fix_gap"), "breaks", "touched", "ordinal")

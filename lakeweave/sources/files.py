@@ -77,6 +77,11 @@ def cached(spark: SparkSession, folder: str, config: dict, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Scored rows, in a folder for each task and split."""
+    scores.write.mode("overwrite").partitionBy("task", "split").parquet(path)
+
+
 def feature_pool(names: str | Iterable[str], schema: Iterable[str] = ()) -> list[str]:
     """Feature names from a comma-separated text, a list, or else a table's columns; each once, in order."""
     found = names.split(",") if isinstance(names, str) else list(names)
