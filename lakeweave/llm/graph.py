@@ -2,8 +2,8 @@
 
 Each round hangs every node's larger neighbours onto its smallest one (large
 star), then its smaller ones (small star), until nothing changes. Links only are
-shuffled; per round a table is written to the shared folder, and the driver sees
-two numbers.
+shuffled; per round a table is written to the shared folder, in as few files as
+its rows allow, and the driver sees two numbers.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import materialize
+from .common import cached, materialize
+
+#: Links in a file of a round's table.
+FILE_ROWS = 200_000
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -29,10 +32,12 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``links`` (two long columns), the root being the smallest node it reaches."""
     a, b = links.columns
-    links = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
-    state = None
+    start = cached(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    links, state = start, (start.count(), None)
     for _ in range(most_rounds):
-        links = materialize(_small_star(_large_star(links)).distinct(), "links")
+        few = 1 + state[0] // FILE_ROWS
+        links = materialize(_small_star(_large_star(links)).distinct().coalesce(few), "links")
+        start.unpersist()
         row = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 24)).alias("h")).first()
         if (row["n"], row["h"]) == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v").distinct())

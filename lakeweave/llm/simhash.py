@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, column, lower_ascii, materialize, numbers_of, record_batch, slices
+from .common import bytes_of, cached, column, lower_ascii, numbers_of, record_batch, slices
 from .graph import components
 
 SEED = 42
@@ -67,7 +67,7 @@ def _fingerprints(batches, width: int):
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64(F.col("doc_id").isNull(), "text"))
     return own.mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long, text_hash long")
 
 
@@ -227,9 +227,9 @@ def link(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, shard: int
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its fingerprint (16 hex digits), and the smallest id it reaches over links; also what picks one row of a group."""
-    own = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    own = cached(fingerprints(docs, width, id_col, text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    distinct = materialize(own.groupBy("fp").agg(first), "distinct")
+    distinct = cached(own.groupBy("fp").agg(first))
     roots = components(link(distinct, radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("of"))
@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id of each group, all columns."""
     found = near_duplicates(docs, radius, width, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    docs = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col).cast("string"))})
-    null_safe = docs["__id"].eqNullSafe(kept["__id"]) & (docs["__hash"] == kept["__hash"])
-    return docs.join(kept, null_safe, "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))).select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = F.col(id_col).cast("long")
+    docs = docs.withColumns({"__id": F.coalesce(own, F.lit(0)), "__hash": F.xxhash64(own.isNull(), F.col(text_col).cast("string"))})
+    # Both steps have the same keys, so the texts are shuffled once.
+    return docs.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
