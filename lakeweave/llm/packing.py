@@ -28,6 +28,8 @@ from pyspark.sql import Window as W
 from .common import column, exclusive, materialize, numbers_of, record_batch, slices
 from .tokens import encoder
 
+#: Units whose ids a worker keeps; other stages of a pipeline have run in it before.
+MAX_UNITS = 350_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 
 
@@ -35,8 +37,8 @@ def _pieces(batches, path: str, end_id: int, capacity: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "part", "rank"))])
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     for batch in batches:
-        for some in slices(batch, "text", 8 << 20):
-            ids, sizes = encoder(path).encode(column(some, "text"))
+        for some in slices(batch, "text", 4 << 20):
+            ids, sizes = encoder(path, MAX_UNITS).encode(column(some, "text"))
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             cuts = -(-sizes // capacity)
             owner = np.repeat(np.arange(len(sizes)), cuts)

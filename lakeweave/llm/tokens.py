@@ -184,7 +184,7 @@ class UnitEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
-    """One encoder for each worker process and vocabulary."""
-    return UnitEncoder(path)
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, max_units: int = 700_000) -> UnitEncoder:
+    """The worker process's encoder; about 250 bytes are held for each unit."""
+    return UnitEncoder(path, max_units)
