@@ -19,7 +19,8 @@ FILE_ROWS = 200_000
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("v", "u")).toDF("u", "v")
-    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    # Dealt anew, so that both sides of the join come from exchanges and a node with very many links can be split.
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).hint("rebalance")
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 

@@ -199,7 +199,7 @@ def _links(radius: int):
     def links(shard: pa.Table) -> pa.Table:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         fps, home = shard["fp"].to_numpy().view(np.uint64), shard["home"].to_numpy().astype(bool)
-        order = np.argsort(fps)
+        order = np.argsort(fps.view(np.int64))  # a star's centre is then what components take as root
         fps, home = fps[order], home[order]
         stars = Stars(len(fps))
         search(fps, home, shard["shard"][0].as_py() % 2, radius, stars)
