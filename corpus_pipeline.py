@@ -15,33 +15,46 @@ from lakeweave.llm.common import materialize
 from lakeweave.llm.tokens import public_path
 
 
+#: Several stages share a worker's memory: rows in a batch of texts, and units it keeps the ids of.
+BATCH_ROWS, UNITS = 2000, 400_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's limit."""
+    _small_batches(spark)
     return kneser_ney.keep_good(docs, kneser_ney.fit(docs, _labels(spark, sf_dir)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
+    _small_batches(spark)
     return isoforest.keep_good(docs, isoforest.fit(docs, _labels(spark, sf_dir)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group that fingerprints link."""
+    _small_batches(spark)
     return simhash.keep_one(docs, radius=3, width=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without too many words from benchmark items."""
+    _small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=13, one_in=20, remove="documents")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of each document, with its place in a sequence."""
-    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    _small_batches(spark)
+    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), end_id=0, capacity=2048, max_units=UNITS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
