@@ -83,7 +83,6 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int):
     edges = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
