@@ -2,8 +2,8 @@
 
 Documents are dealt by range of ``doc_id`` and sorted, so that shards follow one
 another. A shard is a row of blocks; each block is a grammar of its own. Rounds
-replace many frequent pairs of ids by new symbols at once. A block keeps the
-rules and the length each symbol expands to, so any token can be reached without
+replace many frequent pairs of ids by new symbols at once, until no pair of a
+block is frequent. A block keeps the rules and the length each symbol expands to, so any token can be reached without
 expanding what stands before it.
 
 Layout of a block (little-endian): ``RPG1``; u32 documents, rounds, rules,
@@ -36,46 +36,65 @@ MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4s6IQ")
 #: Tokens after which a block is closed; a document stays in one block.
 BLOCK_TOKENS = 1 << 18
-ROUNDS, LEAST, TABLE_BITS = 3, 8, 17
+#: Occurrences that make a pair a rule, and bits of the table that sorts out rare pairs before they are counted.
+LEAST, TABLE_BITS = 8, 17
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray], int]:
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Every second one in each run of neighbouring positions."""
+    n = np.arange(len(at))
+    return (n - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, n, 0))) % 2 == 0
+
+
+def compress(ids: np.ndarray, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray], int]:
     """Symbols, the rules of each round as pairs, and the first nonterminal.
 
-    Pairs are counted in a table in which a slot stands for one pair; pairs that
-    lose their slot to another get a new chance in the next round. A pair that
-    occurs ``least`` times or more becomes a rule. Of overlapping matches every
-    second one in a run is replaced.
+    Rounds go on until no pair occurs ``least`` times without overlap; ``rounds``
+    bounds them only if given. Of overlapping matches of different pairs the more
+    frequent pair's are replaced, of a pair with itself every second one; a pair
+    that is left with fewer than ``least`` matches waits for the next round. The
+    most frequent pair loses none, so that each round has a rule. A pair that was
+    rare stays rare unless it has a new symbol: later rounds look only at
+    positions beside a replaced one and at frequent pairs that had to wait.
     """
     first = int(ids.max()) + 1 if len(ids) else 0
     s, top, rules = ids.astype(np.uint32), first, []
-    for k in range(rounds):
-        if len(s) < 2 * least:
-            break
-        codes = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        slot = ((codes * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1234567)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-        owner = np.zeros(1 << TABLE_BITS, np.uint64)
-        owner[slot] = codes
-        own = owner[slot] == codes
-        counts = np.bincount(slot[own], minlength=1 << TABLE_BITS)
+    at = np.arange(max(len(s) - 1, 0))
+    while len(at) and (rounds is None or len(rules) < rounds):
+        left, right = (s[at], s[at + 1]) if rules else (s[:-1], s[1:])
+        codes = (left.astype(np.uint64) << np.uint64(32)) | right
+        slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
+        maybe = np.flatnonzero((np.bincount(slot) >= least)[slot])  # a slot counts all of its pairs, so no frequent one is missed
+        at, codes = at[maybe], codes[maybe]
+        counted, twin = np.ones(len(at), bool), np.flatnonzero((left == right)[maybe])
+        counted[twin] = _alternate(at[twin])
+        found = pa.array(codes).dictionary_encode()
+        pairs, which = found.dictionary.to_numpy(), found.indices.to_numpy()
+        counts = np.bincount(which, counted, len(pairs))
         frequent = np.flatnonzero(counts >= least)
         if not len(frequent):
             break
-        symbol = np.zeros(1 << TABLE_BITS, np.uint32)
-        symbol[frequent] = np.arange(top, top + len(frequent), dtype=np.uint32)
-        match = own & (symbol[slot] > 0)
-        at = np.flatnonzero(match)
-        begins = np.append(True, np.diff(at) > 1)
-        run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        new = symbol[slot[at]]
-        pairs = owner[frequent]
+        frequent = frequent[np.lexsort((pairs[frequent], counts[frequent]))]
+        rank = np.full(len(pairs), -1)
+        rank[frequent] = np.arange(len(frequent))
+        which = rank[which]
+        some = np.flatnonzero(which >= 0)
+        at, which, pairs = at[some], which[some], pairs[frequent]
+        ahead = np.where(np.diff(at) == 1, np.diff(which), 0)
+        use = np.append(ahead <= 0, True) & np.append(True, ahead >= 0)
+        use = np.flatnonzero(use)
+        use = use[np.flatnonzero(_alternate(at[use]))]
+        used = np.bincount(which[use], minlength=len(pairs)) >= least
+        use = use[np.flatnonzero(used[which[use]])]
+        x, symbol, pairs = at[use], np.cumsum(used) - 1 + top, pairs[used]
         rules.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)], 1))
-        keep = np.ones(len(s), bool)
-        keep[at + 1] = False
-        s[at] = new
-        s = s[keep]
-        top += len(frequent)
+        again, keep = np.zeros(len(s), bool), np.ones(len(s), bool)
+        for near in (at, x - (x > 0), x - 2 * (x > 1)):
+            again[near] = True
+        keep[x + 1] = False
+        s[x] = symbol[which[use]]
+        s, at = s[keep], np.flatnonzero(again[keep][:-1])
+        top += len(pairs)
     return s, rules, first
 
 

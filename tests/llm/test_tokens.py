@@ -41,6 +41,45 @@ def test_repetition_is_compressed():
     assert len(repair.pack([1], np.array([len(ids)]), ids)) < len(ids)
 
 
+def separate(s, least):
+    """Pairs that occur ``least`` times or more without overlap."""
+    counts, last = {}, {}
+    for i, pair in enumerate(zip(s, s[1:])):
+        if last.get(pair, -2) < i - 1:
+            counts[pair], last[pair] = counts.get(pair, 0) + 1, i
+    return {p: n for p, n in counts.items() if n >= least}
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_grammar_leaves_no_frequent_pair(seed):
+    rng = random.Random(seed)
+    least, few, n = rng.choice([2, 3, 8]), rng.choice([1, 2, 5, 40]), rng.randint(0, 3000)
+    ids = [rng.randrange(few) for _ in range(n)]
+    passage = [rng.randrange(40) for _ in range(rng.randint(2, 300))]
+    for _ in range(rng.randint(0, 20)):
+        k = rng.randint(0, len(ids))
+        ids[k:k] = passage
+    s, rules, first = repair.compress(np.array(ids, np.uint32), least=least)
+    assert not separate(s.tolist(), least)
+    said = [[i] for i in range(first)]
+    for a, b in np.concatenate([*rules, np.zeros((0, 2), np.uint32)]).astype(int).tolist():
+        said.append(said[a] + said[b])
+    assert [x for i in s.tolist() for x in said[i]] == ids
+    data = repair.pack([7], np.array([len(ids)]), np.array(ids, np.uint32))
+    block = repair.Block(data)
+    assert block.decode().tolist() == ids and block.decode(5, 70).tolist() == ids[5:70]
+
+
+def test_grammar_reaches_long_copies_and_pairs_that_share_a_slot():
+    rng = np.random.default_rng(3)
+    copies = np.tile(rng.integers(0, 50_000, 1000), 16).astype(np.uint32)
+    s, rules, _ = repair.compress(copies)
+    assert len(s) < 64 and len(rules) > 3
+    many = np.concatenate([np.repeat(rng.integers(0, 2**20, (20_000, 2)), 8, axis=0).reshape(-1), rng.integers(0, 2**20, 200_000)]).astype(np.uint32)
+    s, _, _ = repair.compress(many)
+    assert not separate(s.tolist(), repair.LEAST)
+
+
 def test_token_files(spark, tmp_path):
     rows = [(5, "a b"), (None, "null id"), (3, None), (5, "again a b"), (2, ""), (5, "a b")] + [(i, f"text {i} " * (i % 9)) for i in range(10, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "'x' as data", "2 as block").repartition(3)
