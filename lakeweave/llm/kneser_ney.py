@@ -6,7 +6,8 @@ all trusted text (labelled good and not toxic, all but a tenth by hash of the id
 that thresholds are taken from). Per task they are summed by n-gram; counts of
 counts, context sums and interpolation are joins between count tables dealt by
 n-gram. There is a model for each language with enough trusted documents and one
-of all for the rest. A model of bytes has few n-grams for much text; its size is
+of all, with its mean and limit from all held-out documents, for the rest: also for
+languages of which none is held out. A model of bytes has few n-grams for much text; its size is
 checked against ``most_rows``, and while it is larger a lower order is taken.
 
 A document's cross entropy is drawn towards its language's mean by ``weight``
@@ -217,10 +218,14 @@ class Judge:
         self.means: dict[str, float] = {}
         self.limits: dict[str, float] = {}
 
+    def served(self, lang: str | None) -> str:
+        """The language whose model and limit hold for ``lang``: "" where it has no model, or once limits are known no limit, of its own."""
+        return lang if lang in self.models and (not self.limits or lang in self.limits) else ""
+
     def score(self, langs: list[str | None], texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, cross entropy per byte, and the same drawn towards the language's mean."""
         n, h, drawn = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan), np.full(len(texts), np.nan)
-        own = np.array([x if x in self.models else "" for x in langs], object)
+        own = np.array([self.served(x) for x in langs], object)
         for lang in set(own):
             at = np.flatnonzero(own == lang)
             logs, sizes = self.models[lang].texts([texts[i] or b"" for i in at.tolist()]) if lang in self.models else (np.zeros(len(at)), np.array([len(texts[i] or b"") if (texts[i] or b"").strip() else 0 for i in at.tolist()]))
@@ -237,18 +242,20 @@ class Judge:
         pa.default_memory_pool().release_unused()
 
     def limit(self, langs: list[str | None]) -> np.ndarray:
-        return np.array([self.limits.get(x if x in self.models else "", np.inf) for x in langs], float)
+        return np.array([self.limits.get(self.served(x), np.inf) for x in langs], float)
 
 
 def _scores(batches, judge):
-    """For thresholds: a row per language and step of cross entropy."""
+    """For thresholds: a row per language and step of cross entropy, and each text once more under the model of all."""
     schema = pa.schema([("lang", pa.string()), ("step", pa.int64()), ("bytes", pa.int64()), ("nats", pa.float64()), ("n", pa.int64())])
     for batch in batches:
         for some in slices(batch, "text", 2 << 20):
-            langs = column(some, "lang").to_pylist()
-            n, h, drawn = judge.value.score(langs, bytes_of(some, "text"))
+            langs, texts = column(some, "lang").to_pylist(), bytes_of(some, "text")
+            own = [i for i, x in enumerate(langs) if judge.value.served(x)]
+            names = [langs[i] for i in own] + [""] * len(langs)
+            n, h, drawn = judge.value.score(names, [texts[i] for i in own] + texts)
             fine = np.flatnonzero(n > 0)
-            yield record_batch(schema, [[langs[i] if langs[i] in judge.value.models else "" for i in fine.tolist()], (drawn[fine] * STEPS).astype(np.int64), n[fine], (h * n)[fine], np.ones(len(fine), np.int64)])
+            yield record_batch(schema, [[names[i] for i in fine.tolist()], (drawn[fine] * STEPS).astype(np.int64), n[fine], (h * n)[fine], np.ones(len(fine), np.int64)])
     judge.value.forget()
 
 

@@ -176,6 +176,23 @@ def test_quality_classifier_on_labelled_documents(spark):
     assert kneser_ney.judge(docs.where("false"), judge).count() == 0
 
 
+def test_languages_without_a_limit_of_their_own_use_the_model_of_all(spark):
+    rng = random.Random(8)
+    plain = lambda: " ".join(rng.choice(["the", "house", "of", "stone", "und", "wasser", "rivers"]) for _ in range(40))
+    ids = spark.range(2000).select("id", (F.pmod(F.xxhash64("id"), F.lit(10)) == 0).alias("held")).collect()
+    unheld = [r["id"] for r in ids if not r["held"]][:30]
+    good = [(i, plain(), "fr") for i in unheld] + [(i, plain(), rng.choice(["en", "de"])) for i in range(2000, 2600)]
+    junk = ["qzx0 #@!7 zzkq vvx9 " * 10] * 3
+    tried = [(-1, junk[0], None), (-2, junk[1], "xx"), (-3, junk[2], "fr"), (-4, plain(), None), (-5, plain(), "fr"), (-6, plain(), "xx")]
+    docs = spark.createDataFrame(good + tried, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in good], "doc_id long, quality int, toxic int")
+    model = kneser_ney.fit(docs, labels)
+    assert {"", "de", "en", "fr"} == set(model.models) and {"", "de", "en"} == set(model.limits) == set(model.means)
+    rows = {r["doc_id"]: r["kept"] for r in kneser_ney.judge(docs, model).where("doc_id < 0").collect()}
+    assert rows == {-1: False, -2: False, -3: False, -4: True, -5: True, -6: True}
+    assert {r["doc_id"] for r in kneser_ney.keep_good(docs, model).where("doc_id < 0").collect()} == {-4, -5, -6}
+
+
 # ---- near-duplicates
 
 
