@@ -7,8 +7,10 @@ that thresholds are taken from). Per task they are summed by n-gram; counts of
 counts, context sums and interpolation are joins between count tables dealt by
 n-gram. There is a model for each language with enough trusted documents and one
 of all, with its mean and limit from all held-out documents, for the rest: also for
-languages of which none is held out. A model of bytes has few n-grams for much text; its size is
-checked against ``most_rows``, and while it is larger a lower order is taken.
+languages of which none is held out. The order is the same at every size. If the
+models have more than ``most_rows`` n-grams, each is cut into pieces by the two bytes
+before an n-gram's last, each a broadcast of its own; workers load one piece at a time
+and look up in it all bytes of new words that belong to it.
 
 A document's cross entropy is drawn towards its language's mean by ``weight``
 bytes, as short texts say little. It is rejected beyond a quantile of what
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from .common import bytes_of, cached, column, exclusive, materialize, numbers_of, record_batch, slices
 
 ORDER, BITS = 5, 40
-#: Rows of the model that may be broadcast: about 12 bytes each.
+#: Rows of the models that a worker may hold at once, about 12 bytes each; larger models come in pieces of a quarter of that.
 MOST_ROWS = 4_000_000
 #: Trusted ids up to which their table is broadcast, at 8 bytes each.
 MOST_IDS = 4_000_000
@@ -131,6 +133,11 @@ def interpolated(a: DataFrame, order: int, files: int = 1) -> tuple[DataFrame, D
     return reduce(DataFrame.union, out), gamma
 
 
+def _piece(cell, pieces: int):
+    """The piece of a model that has the n-grams of 3 or more bytes with these two bytes before the last; of Columns or arrays."""
+    return cell * 40503 % 65521 % pieces
+
+
 def _pack(batches):
     """Keys and values of each language as two byte strings, to reach the driver in few rows."""
     schema = pa.schema([("lang", pa.string()), ("keys", pa.binary()), ("values", pa.binary())])
@@ -153,16 +160,17 @@ def _packed(table: DataFrame, value: str) -> dict[str, tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """One language: sorted n-grams and contexts, and the words met so far in this process."""
+    """One language: sorted n-grams and contexts, or broadcasts of pieces of them, and the words met so far in this process."""
 
-    def __init__(self, order: int, p: tuple[np.ndarray, np.ndarray], gamma: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, order: int, p: tuple[np.ndarray, np.ndarray] | None, gamma: tuple[np.ndarray, np.ndarray] | None):
         self.order = order
-        (self.grams, self.p), (self.contexts, self.gamma) = p, gamma
+        self.whole = p and (*p, *gamma)
+        self.pieces: list = []
         self.known: dict[bytes, int] = {}
         self.logs, self.sizes = np.zeros(0), np.zeros(0, np.int64)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "logs": np.zeros(0), "sizes": np.zeros(0, np.int64)}
+        return self.__dict__ | {"pieces": [], "known": {}, "logs": np.zeros(0), "sizes": np.zeros(0, np.int64)}
 
     @staticmethod
     def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
@@ -174,15 +182,24 @@ class Model:
 
     def bytes(self, data: np.ndarray) -> np.ndarray:
         """Log probability of each byte after the first."""
-        size, code = (x[1:] for x in contexts(data, self.order))
+        size, code = (x[1:].astype(np.int64) for x in contexts(data, self.order))
+        if self.whole:
+            return self._logs(size, code, *self.whole)
+        out, piece = np.zeros(len(size)), _piece(code >> 8 & 0xFFFF, len(self.pieces))
+        for i, held in enumerate(self.pieces):
+            if len(at := np.flatnonzero(piece == i)):
+                out[at] = self._logs(size[at], code[at], *held.value)
+                vars(held).pop("_value", None)  # read again from its file when it is wanted again
+        return out
+
+    def _logs(self, size: np.ndarray, code: np.ndarray, grams: np.ndarray, ps: np.ndarray, known: np.ndarray, gammas: np.ndarray) -> np.ndarray:
         out, todo = np.zeros(len(size)), np.arange(len(size))
-        size = size.astype(np.int64)
         while len(todo):
             k, c = size[todo], code[todo] & ((np.int64(1) << (8 * size[todo])) - 1)
-            hit, p = self._look(self.grams, self.p, k << BITS | c, 1.0)
+            hit, p = self._look(grams, ps, k << BITS | c, 1.0)
             out[todo] += np.log(p)
             todo, k, c = todo[~hit], k[~hit], c[~hit]
-            out[todo] += np.log(self._look(self.contexts, self.gamma, k << BITS | c >> 8, 1.0)[1])
+            out[todo] += np.log(self._look(known, gammas, k << BITS | c >> 8, 1.0)[1])
             size[todo] -= 1
             done = size[todo] == 0
             out[todo[done]] += np.log(UNIFORM)
@@ -235,6 +252,10 @@ class Judge:
             drawn[some] = ((-logs + self.weight * self.means.get(lang, 0.0)) / (sizes + self.weight))[sizes > 0]
         return n, h, drawn
 
+    def pieces(self) -> dict[str, list]:
+        """Broadcasts of models in pieces, which Spark must see beside the one that has this."""
+        return {lang: m.pieces for lang, m in self.models.items() if m.pieces}
+
     def forget(self) -> None:
         """Give back what a task has remembered; the worker goes on to other tasks."""
         for m in self.models.values():
@@ -245,18 +266,44 @@ class Judge:
         return np.array([self.limits.get(self.served(x), np.inf) for x in langs], float)
 
 
-def _scores(batches, judge):
+def _opened(judge, pieces: dict[str, list]) -> Judge:
+    for lang, held in pieces.items():
+        judge.value.models[lang].pieces = held
+    return judge.value
+
+
+def _shared(sc, judge: Judge) -> dict:
+    return {"judge": sc.broadcast(judge), "pieces": judge.pieces()}
+
+
+def _in_pieces(sc, p: DataFrame, gamma: DataFrame, order: int, piece_rows: int) -> dict[str, Model]:
+    """Models whose pieces pass through the driver one by one. N-grams of 1 and 2 bytes, and their contexts, are in every piece."""
+    tables = []
+    for table, value, cell in ((p, "p", F.shiftright("code", 8).bitwiseAND(0xFFFF)), (gamma, "gamma", F.col("code").bitwiseAND(0xFFFF))):
+        tables.append((materialize(table.withColumn("cell", F.when(F.col("k") > 2, cell)), value), value))
+    sizes = {r["lang"]: r["n"] for r in tables[0][0].groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    models = {}
+    for lang, n in sorted(sizes.items()):
+        models[lang], pieces, none = Model(order, None, None), 1 + n // piece_rows, (np.zeros(0, np.int64), np.zeros(0, np.float32))
+        for i in range(pieces):
+            own = (F.col("lang") == lang) & (F.col("cell").isNull() | (_piece(F.col("cell"), pieces) == i))
+            models[lang].pieces.append(sc.broadcast(tuple(x for table, value in tables for x in _packed(table.where(own), value).get(lang, none))))
+    return models
+
+
+def _scores(batches, judge, pieces):
     """For thresholds: a row per language and step of cross entropy, and each text once more under the model of all."""
+    judge = _opened(judge, pieces)
     schema = pa.schema([("lang", pa.string()), ("step", pa.int64()), ("bytes", pa.int64()), ("nats", pa.float64()), ("n", pa.int64())])
     for batch in batches:
         for some in slices(batch, "text", 2 << 20):
             langs, texts = column(some, "lang").to_pylist(), bytes_of(some, "text")
-            own = [i for i, x in enumerate(langs) if judge.value.served(x)]
+            own = [i for i, x in enumerate(langs) if judge.served(x)]
             names = [langs[i] for i in own] + [""] * len(langs)
-            n, h, drawn = judge.value.score(names, [texts[i] for i in own] + texts)
+            n, h, drawn = judge.score(names, [texts[i] for i in own] + texts)
             fine = np.flatnonzero(n > 0)
             yield record_batch(schema, [[names[i] for i in fine.tolist()], (drawn[fine] * STEPS).astype(np.int64), n[fine], (h * n)[fine], np.ones(len(fine), np.int64)])
-    judge.value.forget()
+    judge.forget()
 
 
 def _trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -277,23 +324,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     sc = docs.sparkSession.sparkContext
     trusted = _trusted(docs, labels, id_col, text_col, lang_col)
-    while True:
-        raw = cached(trusted.where("not held").select("text", "lang").mapInArrow(partial(_grams, order=order), "lang string, key long, n long, docs long"))
-        enough = raw.where("key < 0").groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang").where("lang <> ''")
-        counts = raw.where("key >= 0").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        own = counts.join(enough, "lang", "left_semi")
-        every = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "key", "n")
-        few = 1 + raw.count() // FILE_ROWS
-        a = materialize(adjusted(materialize(own.unionByName(every).coalesce(few), "seen"), order).coalesce(few), "adjusted")
-        if a.count() <= most_rows or order == 2:
-            break
-        raw.unpersist()
-        order -= 1
-    p, gamma = (_packed(table, name) for table, name in zip(interpolated(a, order, few), ("p", "gamma"), strict=True))
+    raw = cached(trusted.where("not held").select("text", "lang").mapInArrow(partial(_grams, order=order), "lang string, key long, n long, docs long"))
+    enough = raw.where("key < 0").groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang").where("lang <> ''")
+    counts = raw.where("key >= 0").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    own = counts.join(enough, "lang", "left_semi")
+    every = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "key", "n")
+    few = 1 + raw.count() // FILE_ROWS
+    a = materialize(adjusted(materialize(own.unionByName(every).coalesce(few), "seen"), order).coalesce(few), "adjusted")
+    p, gamma = interpolated(a, order, few)
+    if a.count() > most_rows:
+        judge = Judge(_in_pieces(sc, p, gamma, order, max(1, most_rows // 4)), weight)
+    else:
+        p, gamma = _packed(p, "p"), _packed(gamma, "gamma")
+        judge = Judge({lang: Model(order, p[lang], gamma[lang]) for lang in sorted(p)}, weight)
     raw.unpersist()
-    judge = Judge({lang: Model(order, p[lang], gamma[lang]) for lang in sorted(p)}, weight)
     for told in ("means", "limits"):  # first the means, by which the rest is drawn
-        held = trusted.where("held").select("text", "lang").mapInArrow(partial(_scores, judge=sc.broadcast(judge)), "lang string, step long, bytes long, nats double, n long")
+        held = trusted.where("held").select("text", "lang").mapInArrow(partial(_scores, **_shared(sc, judge)), "lang string, step long, bytes long, nats double, n long")
         if told == "means":
             sums = held.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.sum("nats").alias("nats")).collect()
             judge.means = {r["lang"]: r["nats"] / r["bytes"] for r in sums}
@@ -306,33 +352,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return judge
 
 
-def _judge(batches, judge):
+def _judge(batches, judge, pieces):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("perplexity", pa.float64()), ("drawn_perplexity", pa.float64()), ("threshold", pa.float64()), ("kept", pa.bool_())])
+    judge = _opened(judge, pieces)
     for batch in batches:
         for some in slices(batch, "text", 2 << 20):
             langs = column(some, "lang").to_pylist()
-            n, h, drawn = judge.value.score(langs, bytes_of(some, "text"))
-            limit = judge.value.limit(langs)
+            n, h, drawn = judge.score(langs, bytes_of(some, "text"))
+            limit = judge.limit(langs)
             perplexity, level = (pa.array(np.exp(x), pa.float64(), mask=n == 0) for x in (h, drawn))
             yield record_batch(schema, [column(some, "doc_id"), n, perplexity, level, np.exp(np.minimum(limit, 700.0)), (n > 0) & (np.nan_to_num(drawn) <= limit)])
-    judge.value.forget()
+    judge.forget()
 
 
-def _keep(batches, judge, text_col: str, lang_col: str):
+def _keep(batches, judge, pieces, text_col: str, lang_col: str):
+    judge = _opened(judge, pieces)
     for batch in batches:
         for some in slices(batch, text_col, 2 << 20):
             langs = column(some, lang_col).to_pylist()
-            n, _, drawn = judge.value.score(langs, bytes_of(some, text_col))
-            yield some.filter(pa.array((n > 0) & (np.nan_to_num(drawn) <= judge.value.limit(langs))))
-    judge.value.forget()
+            n, _, drawn = judge.score(langs, bytes_of(some, text_col))
+            yield some.filter(pa.array((n > 0) & (np.nan_to_num(drawn) <= judge.limit(langs))))
+    judge.forget()
 
 
 def judge(docs: DataFrame, judge: Judge, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per document: its perplexity, the threshold of its language and whether it is kept."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return own.mapInArrow(partial(_judge, judge=docs.sparkSession.sparkContext.broadcast(judge)), "doc_id long, n_bytes long, perplexity double, drawn_perplexity double, threshold double, kept boolean")
+    return own.mapInArrow(partial(_judge, **_shared(docs.sparkSession.sparkContext, judge)), "doc_id long, n_bytes long, perplexity double, drawn_perplexity double, threshold double, kept boolean")
 
 
 def keep_good(docs: DataFrame, judge: Judge, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns, that are kept."""
-    return docs.mapInArrow(partial(_keep, judge=docs.sparkSession.sparkContext.broadcast(judge), text_col=text_col, lang_col=lang_col), docs.schema)
+    return docs.mapInArrow(partial(_keep, **_shared(docs.sparkSession.sparkContext, judge), text_col=text_col, lang_col=lang_col), docs.schema)

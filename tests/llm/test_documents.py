@@ -193,6 +193,17 @@ def test_languages_without_a_limit_of_their_own_use_the_model_of_all(spark):
     assert {r["doc_id"] for r in kneser_ney.keep_good(docs, model).where("doc_id < 0").collect()} == {-4, -5, -6}
 
 
+def test_models_in_pieces_judge_as_whole_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    whole, cut = (kneser_ney.fit(docs, labels, most_rows=n) for n in (10**9, 40_000))
+    assert all(m.order == kneser_ney.ORDER for m in cut.models.values()) and len(cut.models[""].pieces) > 1
+    assert cut.means == pytest.approx(whole.means) and cut.limits == whole.limits
+    for a, b in zip(*(kneser_ney.judge(docs, m).orderBy("doc_id").collect() for m in (whole, cut)), strict=True):
+        assert (a["doc_id"], a["n_bytes"], a["kept"]) == (b["doc_id"], b["n_bytes"], b["kept"]) and a["perplexity"] == pytest.approx(b["perplexity"])
+    assert kneser_ney.keep_good(docs, cut).count() == kneser_ney.keep_good(docs, whole).count()
+
+
 # ---- near-duplicates
 
 
