@@ -5,8 +5,9 @@ each URL a log-likelihood difference per character; one above a calibrated limit
 is blocked. A context's prediction is mixed with that of the next shorter one by
 how often the context was seen. The URLs that rules decide are the training data:
 three quarters of them, by hash of the host, grow the models and the others set
-the limit. Counts come from all of them, summed per task first. The models' size
-is checked against ``most_rows``; while it is larger, a lower order is taken.
+the limit. Counts come from all of them, summed per task first. The order is the
+same at every size: models of more than ``most_rows`` n-grams are cut into pieces by
+the two bytes before an n-gram's last, and workers load one piece at a time.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path, is fitted
 by no rule and is allowed. Repeated rows are judged one by one. Without URLs that
@@ -23,11 +24,11 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import bytes_of, column, record_batch, slices
+from .common import bytes_of, column, materialize, record_batch, slices
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER, BITS = 5, 40
-#: Rows of both models that may be broadcast, 16 bytes each, and steps of the score per nat in histograms.
+#: Rows of both models that a worker may hold at once, 16 bytes each (larger models come in pieces of a quarter of that), and steps of the score per nat in histograms.
 MOST_ROWS, STEPS = 2_000_000, 200
 ALLOW, BLOCK = "allow", "block"
 
@@ -102,8 +103,10 @@ class Markov:
         return np.where(keys[at] == wanted, values[at], 0.0)
 
     def logs(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        back, code = _grams(data, starts, self.order)
-        p = np.full(len(data), 1 / 256)
+        return self.logs_of(*_grams(data, starts, self.order))
+
+    def logs_of(self, back: np.ndarray, code: np.ndarray) -> np.ndarray:
+        p = np.full(len(code), 1 / 256)
         for k in range(1, self.order + 1):
             at = np.flatnonzero(back >= k - 1)
             c = code[at] & ((1 << 8 * k) - 1)
@@ -112,25 +115,61 @@ class Markov:
         return np.log(p)
 
 
+def _piece(cell, pieces: int):
+    """The piece of the models that has the n-grams of 3 or more bytes with these two bytes before the last; of Columns or arrays."""
+    return cell * 40503 % 65521 % pieces
+
+
 class Ratio:
     def __init__(self, good: Markov, bad: Markov):
         self.good, self.bad = good, bad
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """How much likelier a text is among the rejected, in nats per byte; 0 for an empty one."""
-        data, starts, sizes = _joined(texts)
-        if not len(data):
-            return np.zeros(len(texts))
-        total = np.append(0, np.cumsum(self.bad.logs(data, starts) - self.good.logs(data, starts)))
-        ends = np.cumsum(sizes)
-        return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
+    def logs(self, back: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return self.bad.logs_of(back, code) - self.good.logs_of(back, code)
 
 
-def _score(batches, ratio):
+def score(ratios: list, texts: list[bytes], order: int) -> np.ndarray:
+    """How much likelier a text is among the rejected, in nats per byte; 0 for an empty one. ``ratios``: broadcasts of all pieces."""
+    data, starts, sizes = _joined(texts)
+    if not len(data):
+        return np.zeros(len(texts))
+    back, code = _grams(data, starts, order)
+    if len(ratios) == 1:
+        logs = ratios[0].value.logs(back, code)
+    else:
+        logs, piece = np.zeros(len(data)), _piece(code >> 8 & 0xFFFF, len(ratios))
+        for i, held in enumerate(ratios):
+            if len(at := np.flatnonzero(piece == i)):
+                logs[at] = held.value.logs(back[at], code[at])
+                vars(held).pop("_value", None)  # read again from its file when it is wanted again
+    total, ends = np.append(0, np.cumsum(logs)), np.cumsum(sizes)
+    return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
+
+
+def _score(batches, ratios, order: int):
     for batch in batches:
         for some in slices(batch, "text", 4 << 20):
-            scores = ratio.value.score([t or b"" for t in bytes_of(some, "text")])
-            yield some.append_column("score", pa.array(scores))
+            yield some.append_column("score", pa.array(score(ratios, [t or b"" for t in bytes_of(some, "text")], order)))
+
+
+def _models(counts: DataFrame, order: int, most_rows: int) -> tuple[list, bool]:
+    """Broadcasts of the two models, in as many pieces as they need, and whether neither is empty. N-grams of 1 and 2 bytes are in every piece."""
+    sc = counts.sparkSession.sparkContext
+
+    def shared(found):
+        models = [Markov(found.loc[found["bad"] == b, "key"].to_numpy(np.int64), found.loc[found["bad"] == b, "n"].to_numpy(np.int64), order) for b in (False, True)]
+        return sc.broadcast(Ratio(*models)), all(len(m.keys) for m in models)
+
+    found = counts.limit(most_rows + 1).toPandas()
+    if len(found) <= most_rows:
+        ratio, both = shared(found)
+        return [ratio], both
+    del found
+    counts = materialize(counts, "url-grams")
+    pieces = 1 + counts.count() // max(1, most_rows // 4)
+    own = _piece(F.shiftright("key", 8).bitwiseAND(0xFFFF), pieces)
+    parts = [shared(counts.where((F.shiftright("key", BITS) <= 2) | (own == i)).toPandas()) for i in range(pieces)]
+    return [ratio for ratio, _ in parts], all(both for _, both in parts)
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", order: int = ORDER, wrong: float = 0.01, most_rows: int = MOST_ROWS) -> DataFrame:
@@ -139,7 +178,6 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
     ``rules`` maps ``host/path`` to ``allow`` or ``block``. The limit is the score
     that a share ``wrong`` of accepted URLs exceeds, 0 at least.
     """
-    spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     own = own.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "text": F.concat("host", "path")})
@@ -147,22 +185,16 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
     for rule, verdict in rules.items():
         given = F.when(F.col("rule") == rule, verdict).otherwise(given)
     ruled = own.where("rule is not null").select("text", (given == BLOCK).alias("bad"), (F.pmod(F.xxhash64("host"), F.lit(4)) == 0).alias("held"))
-    while True:
-        counts = ruled.where("not held").select("text", "bad").mapInArrow(partial(_count, order=order), "bad boolean, key long, n long")
-        counts = counts.groupBy("bad", "key").agg(F.sum("n").alias("n"))
-        found = counts.limit(most_rows + 1).toPandas()
-        if len(found) <= most_rows or order == 1:
-            break
-        order -= 1
-    models = [Markov(found.loc[found["bad"] == b, "key"].to_numpy(np.int64), found.loc[found["bad"] == b, "n"].to_numpy(np.int64), order) for b in (False, True)]
-    ratio, limit = spark.sparkContext.broadcast(Ratio(*models)), float("inf")
-    if all(len(m.keys) for m in models):
-        held = ruled.where("held and not bad").select("text").mapInArrow(partial(_score, ratio=ratio), "text string, score double")
+    counts = ruled.where("not held").select("text", "bad").mapInArrow(partial(_count, order=order), "bad boolean, key long, n long")
+    ratios, both = _models(counts.groupBy("bad", "key").agg(F.sum("n").alias("n")), order, most_rows)
+    limit = float("inf")
+    if both:
+        held = ruled.where("held and not bad").select("text").mapInArrow(partial(_score, ratios=ratios, order=order), "text string, score double")
         steps = held.groupBy(F.floor(F.col("score") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("step")
         limit = 0.0
         if len(steps):
             reach = np.cumsum(steps["n"].to_numpy()) >= (1 - wrong) * steps["n"].sum()
             limit = max(0.0, float((steps["step"].to_numpy()[np.argmax(reach)] + 1) / STEPS))
-    scored = own.mapInArrow(partial(_score, ratio=ratio), "page_id long, host string, path string, rule string, text string, score double")
+    scored = own.mapInArrow(partial(_score, ratios=ratios, order=order), "page_id long, host string, path string, rule string, text string, score double")
     verdict = F.coalesce(given, F.when((F.col("score") > limit) & (F.col("text") != ""), BLOCK).otherwise(ALLOW))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

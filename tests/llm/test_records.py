@@ -125,3 +125,14 @@ def test_rejected_addresses_are_found(spark):
     got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, {"ok/": "allow", "no/": "block"}).collect()}
     right = [got[800 + i] == v for i, (_, v) in enumerate(new)]
     assert np.mean(right) > 0.97 and urlsplit(good[0]).netloc.endswith(".ok")
+
+
+def test_url_models_in_pieces_judge_as_whole_ones(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = [(i, f"http://{word()}.{('ok', 'no', 'xx')[i % 3]}/{word()}/{word()}") for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    whole, cut = (urls.judge_urls(df, {"ok/": "allow", "no/": "block"}, most_rows=n).orderBy("page_id").collect() for n in (10**9, 2000))
+    for a, b in zip(whole, cut, strict=True):
+        assert (a["page_id"], a["rule"], a["verdict"]) == (b["page_id"], b["rule"], b["verdict"])
+        assert a["score"] == pytest.approx(b["score"])
