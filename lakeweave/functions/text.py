@@ -124,21 +124,41 @@ def ngram_jaccard(a: Column | str, b: Column | str, n: int) -> Column:
     return set_jaccard(char_ngrams(a, n), char_ngrams(b, n))
 
 
+def raw_ngrams(text: Column | str, n: int) -> Column:
+    """The distinct character n-grams of a text as it stands; a short text is its own."""
+    t = _col(text)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n)))
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+
 def edit_similarity(a: Column | str, b: Column | str, when_long: Column | None = None) -> Column:
-    """1 less the edit distance over the longer length; 3-gram Jaccard (or ``when_long``, if that is known) where one text is long."""
+    """1 less the edit distance over the longer length; Jaccard of raw 3-grams (or ``when_long``, if that is known) where one text is long."""
     a, b = F.coalesce(_col(a), F.lit("")), F.coalesce(_col(b), F.lit(""))
     longest = F.greatest(F.length(a), F.length(b))
     exact = F.lit(1.0) - F.levenshtein(a, b) / F.when(longest > 0, longest)
-    return F.when(a == b, 1.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).when(longest > EXACT_EDIT, ngram_jaccard(a, b, 3) if when_long is None else when_long).otherwise(exact)
+    return F.when(a == b, 1.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).when(longest > EXACT_EDIT, set_jaccard(raw_ngrams(a, 3), raw_ngrams(b, 3)) if when_long is None else when_long).otherwise(exact)
 
 
 def js_similarity(a: Column | str, b: Column | str) -> Column:
-    """1 less the Jensen-Shannon divergence (natural log) of two token lists; 0 if either is empty."""
+    """1 less the Jensen-Shannon divergence (natural log) of two token lists; 0 if either is empty.
+
+    Tokens of both are sorted once, so that runs of equal ones are counted in one pass.
+    """
     a, b = _col(a), _col(b)
-    share = lambda xs, t: F.size(F.filter(xs, lambda x: x == t)) / F.size(xs)
+    mark = lambda xs, one: F.transform(xs, lambda t: F.struct(t.alias("t"), F.lit(one).alias("a")))
+    runs = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0.0).alias("gap"))
     part = lambda p, m: F.when(p > 0, p * F.log(F.when(p > 0, p / m))).otherwise(0.0)
-    terms = F.transform(F.array_union(a, b), lambda t: F.struct(share(a, t).alias("p"), share(b, t).alias("q")))
-    gap = F.aggregate(terms, F.lit(0.0), lambda s, x: s + part(x["p"], (x["p"] + x["q"]) / 2) + part(x["q"], (x["p"] + x["q"]) / 2))
+
+    def closed(s: Column) -> Column:
+        p, q = s["p"] / F.size(a), s["q"] / F.size(b)
+        return s["gap"] + part(p, (p + q) / 2) + part(q, (p + q) / 2)
+
+    def step(s: Column, x: Column) -> Column:
+        same = x["t"].eqNullSafe(s["t"])
+        one, two = F.when(x["a"], 1).otherwise(0), F.when(x["a"], 0).otherwise(1)
+        return F.struct(x["t"].alias("t"), F.when(same, s["p"] + one).otherwise(one).alias("p"), F.when(same, s["q"] + two).otherwise(two).alias("q"), F.when(same, s["gap"]).otherwise(closed(s)).alias("gap"))
+
+    gap = F.aggregate(F.array_sort(F.concat(mark(a, True), mark(b, False))), runs, step, closed)
     return F.when((size0(a) > 0) & (size0(b) > 0), F.lit(1.0) - gap / 2).otherwise(0.0)
 
 

@@ -43,6 +43,12 @@ def resolve(task: str, tokens: list[str], groups: dict[str, tuple[str, ...]] | N
     return out if task == "entity_matching" else [a for a in ATOMS[task] if a in out]
 
 
+def _long_edit() -> Column:
+    """Raw 3-grams of serial texts; those of the profile are the same but for texts that end in a blank."""
+    raw = T.set_jaccard(T.raw_ngrams("pa.serial_text", 3), T.raw_ngrams("pb.serial_text", 3))
+    return F.when(F.col("pa.plain") & F.col("pb.plain"), T.set_jaccard("pa.char3", "pb.char3")).otherwise(raw)
+
+
 def canonical(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(a, b) with the smaller id first, each pair once."""
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
@@ -109,7 +115,7 @@ def entity(pairs: DataFrame, profiles: DataFrame, weights: DataFrame | None = No
     else:
         profiles = profiles.withColumn("embedding", F.lit(None).cast("array<float>"))
     # A row's n-grams are made once, on its side of the join, not for each pair.
-    profiles = profiles.withColumns({"char3": T.char_ngrams("serial_text", 3), "char4": T.char_ngrams("serial_text", 4)})
+    profiles = profiles.withColumns({"char3": T.char_ngrams("serial_text", 3), "char4": T.char_ngrams("serial_text", 4), "plain": F.col("serial_text") == F.lower(F.trim("serial_text"))})
     rows = _sides(pairs, profiles)
     both = T.size0(F.array_intersect("pa.value_set", "pb.value_set"))
     weights_of = F.map_concat(F.coalesce("pa.weights", F.create_map().cast("map<string,double>")), F.map_filter(F.coalesce("pb.weights", F.create_map().cast("map<string,double>")), lambda k, v: ~F.coalesce(F.map_contains_key("pa.weights", k), F.lit(False))))
@@ -124,7 +130,7 @@ def entity(pairs: DataFrame, profiles: DataFrame, weights: DataFrame | None = No
         "row_numeric_ratio_sim": T.closeness("pa.numeric_ratio", "pb.numeric_ratio"),
         "row_avg_len_ratio": T.safe_ratio("pa.avg_len", "pb.avg_len"),
         "row_serial_token_jaccard": T.set_jaccard("pa.serial_token_set", "pb.serial_token_set"),
-        "row_serial_edit_similarity": T.edit_similarity("pa.serial_text", "pb.serial_text", T.set_jaccard("pa.char3", "pb.char3")),
+        "row_serial_edit_similarity": T.edit_similarity("pa.serial_text", "pb.serial_text", _long_edit()),
         "row_numeric_value_overlap": T.numeric_overlap("pa.numeric_value_set", "pb.numeric_value_set"),
         "row_serial_char3_jaccard": T.set_jaccard("pa.char3", "pb.char3"),
         "row_serial_char4_jaccard": T.set_jaccard("pa.char4", "pb.char4"),

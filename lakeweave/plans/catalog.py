@@ -222,6 +222,7 @@ def entity_pairs(spark, sf_dir):
 ENTITY_PAIRS = """pp AS (SELECT 'customer:' || x.c_custkey AS s, 'customer:' || (x.c_custkey + 1) AS d FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1
  UNION ALL SELECT 'customer:' || c_custkey, 'supplier:' || s_suppkey FROM customer JOIN supplier ON s_suppkey = c_custkey),
 pairs AS (SELECT DISTINCT least(s, d) AS a, greatest(s, d) AS b FROM pp)"""
+RAW_GRAMS = "list_distinct([({0})[i : i + {1} - 1] for i in range(1, greatest(length({0}) - {1}, 0) + 2)])"
 GRAMS = "list_distinct([lower({0})[i : i + {1} - 1] for i in range(1, length({0}) - {1} + 2)])"
 
 
@@ -236,7 +237,7 @@ SELECT a, b, len(list_intersect(x.value_set, y.value_set)) / CAST(len(list_disti
  {JACCARD.format('x.token_set', 'y.token_set')} AS row_token_jaccard, {SAFE.format('x.nonempty_count', 'y.nonempty_count')} AS row_nonempty_ratio,
  1 - abs(x.numeric_ratio - y.numeric_ratio) AS row_numeric_ratio_sim, {SAFE.format('x.avg_len', 'y.avg_len')} AS row_avg_len_ratio,
  {JACCARD.format('x.serial_token_set', 'y.serial_token_set')} AS row_serial_token_jaccard,
- CASE WHEN greatest(length(x.serial_text), length(y.serial_text)) > 128 THEN {JACCARD.format(GRAMS.format('x.serial_text', 3), GRAMS.format('y.serial_text', 3))} ELSE {EDIT.format('x.serial_text', 'y.serial_text')} END AS row_serial_edit_similarity,
+ CASE WHEN greatest(length(x.serial_text), length(y.serial_text)) > 128 THEN {JACCARD.format(RAW_GRAMS.format('x.serial_text', 3), RAW_GRAMS.format('y.serial_text', 3))} ELSE {EDIT.format('x.serial_text', 'y.serial_text')} END AS row_serial_edit_similarity,
  len(list_intersect(x.numeric_value_set, y.numeric_value_set)) / CAST(least(len(x.numeric_value_set), len(y.numeric_value_set)) AS DOUBLE) AS row_numeric_value_overlap,
  {JACCARD.format(GRAMS.format('x.serial_text', 3), GRAMS.format('y.serial_text', 3))} AS row_serial_char3_jaccard, {JACCARD.format(GRAMS.format('x.serial_text', 4), GRAMS.format('y.serial_text', 4))} AS row_serial_char4_jaccard,
  coalesce(wi.s, 0) / wu.s AS row_token_idf_jaccard, 1 / (1 + abs(x.numeric_median - y.numeric_median) / greatest(abs(x.numeric_median), abs(y.numeric_median), 1.0)) AS row_numeric_rel_diff_sim,
@@ -400,20 +401,20 @@ def y8_r11_evidence(spark, sf_dir):
 
 
 POLICY = {"task": "entity_matching", "version": 1, "selected_features": ["s_prior"], "rules": [
-    {"id": "sure", "if": [["uncertainty", ">=", 0.7], ["s_prior", ">=", 0.45]], "delta": 0.1},
-    {"id": "lone", "if": [["degree_ratio", "<=", 0.15], ["s_prior", "<=", 0.6], ["uncertainty", "between", [0.2, 0.9]]], "delta": -0.08},
+    {"id": "busy", "if": [["src_degree", ">", 12], ["dst_degree", ">=", 5]], "delta": 0.06},
+    {"id": "faint", "if": [["s_prior", "<", 0.35], ["uncertainty", "between", [0.25, 0.65]], ["dst_degree", "<=", 6]], "delta": -0.04},
     {"id": "top", "if": [["degree_ratio", "in_top_band", 0.2]], "then": {"delta": 0.05}}]}
 EVIDENCE = ["s_prior", "uncertainty", "src_degree", "dst_degree", "degree_ratio"]
 
 
 @query(f"""WITH {EVIDENCE_SQL}, q AS (SELECT quantile_cont(degree_ratio, 0.8) AS q FROM e)
-SELECT id, round(CASE WHEN uncertainty >= 0.7 AND s_prior >= 0.45 THEN 0.1 ELSE 0 END + CASE WHEN degree_ratio <= 0.15 AND s_prior <= 0.6 AND uncertainty BETWEEN 0.2 AND 0.9 THEN -0.08 ELSE 0 END + CASE WHEN degree_ratio >= q THEN 0.05 ELSE 0 END, 9)::DOUBLE AS delta FROM e, q""")
+SELECT id, round(CASE WHEN src_degree > 12 AND dst_degree >= 5 THEN 0.06 ELSE 0 END + CASE WHEN s_prior < 0.35 AND uncertainty BETWEEN 0.25 AND 0.65 AND dst_degree <= 6 THEN -0.04 ELSE 0 END + CASE WHEN degree_ratio >= q THEN 0.05 ELSE 0 END, 9)::DOUBLE AS delta FROM e, q""")
 def p8_r4_r7_r10_policy(spark, sf_dir):
     found = policy.apply(evidence(spark, sf_dir), policy.validate(POLICY, "entity_matching", EVIDENCE))
     return found.select("id", F.round("delta", 9).alias("delta"))
 
 
-@query(f"""WITH {EVIDENCE_SQL} SELECT id, round(CASE WHEN (degree_ratio <= 0.15)::INT + (s_prior <= 0.6)::INT + (uncertainty BETWEEN 0.2 AND 0.9)::INT >= 2 AND abs(s_prior - 0.5) <= 0.2 THEN 0.499 WHEN (uncertainty >= 0.7)::INT + (s_prior >= 0.45)::INT >= 1 THEN 0.501 ELSE s_prior END - s_prior, 9)::DOUBLE AS delta FROM e""")
+@query(f"""WITH {EVIDENCE_SQL} SELECT id, round(CASE WHEN (s_prior < 0.35)::INT + (uncertainty BETWEEN 0.25 AND 0.65)::INT + (dst_degree <= 6)::INT >= 2 AND abs(s_prior - 0.5) <= 0.2 THEN 0.499 WHEN (src_degree > 12)::INT + (dst_degree >= 5)::INT >= 1 THEN 0.501 ELSE s_prior END - s_prior, 9)::DOUBLE AS delta FROM e""")
 def r5_r6_r8_policy_override(spark, sf_dir):
     doc = POLICY | {"rules": POLICY["rules"][:2]}
     options = policy.Options(match="partial", ratio=0.5, negative_margin=0.2, combine="hard_override")
@@ -644,7 +645,7 @@ def g5_g6_g8_g13_decoder(spark, sf_dir):
 
 @query(f"""WITH {ROW_SQL}, {ENTITY_PAIRS}, j AS (SELECT pairs.a, pairs.b, x, y FROM pairs JOIN prof x ON x.id = a JOIN prof y ON y.id = b)
 SELECT a, b, {JACCARD.format('x.value_set', 'y.value_set')} AS value_overlap, {SAFE.format('x.nonempty_count', 'y.nonempty_count')} AS field_balance, {JACCARD.format('x.serial_token_set', 'y.serial_token_set')} AS serial_overlap,
- CASE WHEN greatest(length(x.serial_text), length(y.serial_text)) > 128 THEN {JACCARD.format(GRAMS.format('x.serial_text', 3), GRAMS.format('y.serial_text', 3))} ELSE {EDIT.format('x.serial_text', 'y.serial_text')} END AS serial_edit,
+ CASE WHEN greatest(length(x.serial_text), length(y.serial_text)) > 128 THEN {JACCARD.format(RAW_GRAMS.format('x.serial_text', 3), RAW_GRAMS.format('y.serial_text', 3))} ELSE {EDIT.format('x.serial_text', 'y.serial_text')} END AS serial_edit,
  len(list_intersect(x.numeric_value_set, y.numeric_value_set)) / CAST(least(len(x.numeric_value_set), len(y.numeric_value_set)) AS DOUBLE) AS number_overlap, {JACCARD.format('x.header_value_token_set', 'y.header_value_token_set')} AS cross_overlap FROM j""")
 def udf_entity_features(spark, sf_dir):
     rows = row_profiles(spark, sf_dir)
@@ -706,9 +707,14 @@ def f2_f3_f5_header_tokens(spark, sf_dir):
     return cells(spark, sf_dir).select("table_name", "column_name").distinct().withColumn("tokens", T.header_tokens("column_name"))
 
 
-@query(f"WITH p AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_name AS na, y.p_name AS nb FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1) SELECT a, b, {EDIT.format('na', 'nb')} AS edit, {JACCARD.format(GRAMS.format('na', 3), GRAMS.format('nb', 3))} AS char3, {JACCARD.format("regexp_extract_all(lower(na), '[a-z0-9]+')", "regexp_extract_all(lower(nb), '[a-z0-9]+')")} AS tokens FROM p")
+LONG_NAME = "CASE WHEN p_partkey % 5 = 0 THEN repeat(p_name || ' ', 12) WHEN p_partkey % 5 = 1 THEN repeat(upper(p_name), 11) ELSE p_name END"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {LONG_NAME} AS s FROM part), p AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.s AS na, y.s AS nb FROM n x JOIN n y ON y.p_partkey = x.p_partkey + 1)
+SELECT a, b, CASE WHEN greatest(length(na), length(nb)) > 128 THEN {JACCARD.format(RAW_GRAMS.format('na', 3), RAW_GRAMS.format('nb', 3))} ELSE {EDIT.format('na', 'nb')} END AS edit, {JACCARD.format(GRAMS.format('trim(na)', 3), GRAMS.format('trim(nb)', 3))} AS char3, {JACCARD.format("regexp_extract_all(lower(na), '[a-z0-9]+')", "regexp_extract_all(lower(nb), '[a-z0-9]+')")} AS tokens FROM p""")
 def f8_f9_text_similarity(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"))
+    """Names beside their neighbours; some repeated beyond the exact length, some of these in capitals."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.expr(LONG_NAME).alias("na"))
     two = p.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("na").alias("nb"))
     return p.join(two, "a").select("a", "b", T.edit_similarity("na", "nb").alias("edit"), T.ngram_jaccard("na", "nb", 3).alias("char3"), T.jaccard(T.value_tokens("na"), T.value_tokens("nb")).alias("tokens"))
 
@@ -720,16 +726,10 @@ g AS (SELECT a, b, x, sum(p) AS p, sum(q) AS q FROM f GROUP BY ALL), both_ AS (S
 j AS (SELECT a, b, 1 - 0.5 * sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) AS s FROM g GROUP BY ALL)
 SELECT a, b, round(s, 8) AS js FROM j JOIN both_ USING (a, b)""")
 def f10_js_similarity(spark, sf_dir):
-    """Neighbouring documents by token frequencies, in long form: lists of whole texts would be compared word by word."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.value_tokens("text")).alias("x")).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("n"))
-    share = t.join(t.groupBy("doc_id").agg(F.sum("n").alias("s")), "doc_id").select("doc_id", "x", (F.col("n") / F.col("s")).alias("p"))
-    ids = share.select("doc_id").distinct()
-    pairs = ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
-    one = pairs.join(share, pairs["a"] == share["doc_id"]).select("a", "b", "x", "p", F.lit(0.0).alias("q"))
-    two = pairs.join(share, pairs["b"] == share["doc_id"]).select("a", "b", "x", F.lit(0.0).alias("p"), F.col("p").alias("q"))
-    g = one.unionByName(two).groupBy("a", "b", "x").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.when(F.col(c) > 0, 2 * F.col(c) / (F.col("p") + F.col("q"))))).otherwise(0.0)
-    return g.groupBy("a", "b").agg(F.round(1 - F.sum(part("p") + part("q")) / 2, 8).alias("js"))
+    """Neighbouring documents by token frequencies."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), T.value_tokens("text").alias("x")).where("size(x) > 0")
+    two = t.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
+    return t.join(two, "a").select("a", "b", F.round(T.js_similarity("x", "y"), 8).alias("js"))
 
 
 @query("SELECT s_suppkey AS id, least(1.0, greatest(0.0, s_acctbal / 10000)) AS clipped, CASE WHEN s_acctbal > 0 AND s_nationkey > 0 THEN least(s_acctbal, s_nationkey) / greatest(s_acctbal, s_nationkey) ELSE 0.0 END AS ratio, 1 / (1 + abs(s_acctbal - s_nationkey) / greatest(abs(s_acctbal), abs(s_nationkey), 1.0)) AS close FROM supplier")

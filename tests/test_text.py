@@ -97,3 +97,21 @@ def test_char_ngrams(spark, n):
     assert value(spark, T.char_ngrams("s", n), s="") == []
     assert value(spark, T.char_ngrams("s", n), s="ab") == ["ab"]
     assert set(value(spark, T.char_ngrams("s", n), s=" ABcab ")) == {"abcab"[i : i + n] for i in range(6 - n)}
+
+
+def test_long_texts_are_compared_as_they_stand(spark):
+    assert value(spark, T.edit_similarity("a", "b"), a="Ab" * 80, b="aB" * 80) == 0.0
+    assert value(spark, T.edit_similarity("a", "b"), a="AB" * 80, b="ab" * 80) == 0.0
+    assert value(spark, T.edit_similarity("a", "b"), a="x" * 129, b="ab") == 0.0
+
+
+def test_user_features_use_the_same_edit_similarity():
+    import random
+
+    from lakeweave.functions.generated import HELPERS
+
+    edit, rng = HELPERS["normalized_edit_similarity"], random.Random(3)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("abC") for _ in range(rng.randint(1, 12))) for _ in range(2))
+        assert edit(a, b) == pytest.approx(1 - levenshtein(a, b) / max(len(a), len(b)))
+    assert edit("AB" * 80, "ab" * 80) == 0.0 and edit("", "a") == 0.0 and edit("", "") == 1.0
