@@ -8,8 +8,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.functions as F
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, by which rows are dealt alike however often they are read."""
+    flat = [f.name for f in df.schema if not _has_map(f.dataType)]
+    return F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in flat]) if flat else F.lit(0).cast("long")
+
+
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, MapType | VariantType) or isinstance(kind, StructType) and any(_has_map(f.dataType) for f in kind)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cached(df: DataFrame) -> DataFrame:
     """``df`` kept by the executors once it has been made, for tables that are small beside the input.
 

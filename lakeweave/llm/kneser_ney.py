@@ -1,73 +1,96 @@
 """Quality by perplexity under interpolated modified Kneser-Ney models of trusted text.
 
-The units are bytes; contexts go back to the space before a word at most, so a
-word's probability is its own and is worked out once per worker. Counts come from
-all trusted text (labelled good and not toxic, all but a tenth by hash of the id
-that thresholds are taken from). Per task they are summed by n-gram; counts of
-counts, context sums and interpolation are joins between count tables dealt by
-n-gram. There is a model for each language with enough trusted documents and one
-of all, with its mean and limit from all held-out documents, for the rest: also for
-languages of which none is held out. The order is the same at every size. If the
-models have more than ``most_rows`` n-grams, each is cut into pieces by the two bytes
-before an n-gram's last, each a broadcast of its own; workers load one piece at a time
-and look up in it all bytes of new words that belong to it.
-
-A document's cross entropy is drawn towards its language's mean by ``weight``
-bytes, as short texts say little. It is rejected beyond a quantile of what
-trusted documents of its language have that the model has not seen.
+The units are bytes, and n-grams run through a whole text: its words, a space
+between each two, and a mark at either end. Counts come from all trusted text
+(labelled good and not toxic, all but a tenth by hash of the id, from which limits
+are taken). Per task they are summed by n-gram; counts of counts, context sums and
+interpolation are joins between count tables dealt by n-gram. There is a model for
+each language with enough trusted documents, and one of all for the rest: also for
+languages of which no document is held out.
+
+Documents are scored by joins too, and no model is ever whole in one place. Texts
+are dealt into blocks of bounded size by a hash of the row. A block asks once for
+each distinct n-gram in it; questions and model meet in shards, dealt by the two
+bytes before an n-gram's last, so that all shorter n-grams it may fall back to are
+there as well. Answers go back to the block, which adds them up per document.
+Shards are as many as the model's rows need, and shards that many blocks ask are
+made several times over. A language's limit is a quantile of the perplexity of
+held-out trusted documents. All is the same at every size.
 
 Nulls: a null language uses the model of all; a text without words has no
 perplexity and is rejected; a null label or id is not trusted. Repeated rows are
-judged one by one; ids labelled twice are trusted if every label is good. Without
-trusted text all texts with words are kept. Other columns are kept by
-``keep_good`` and not read by ``judge``.
+judged one by one; ids labelled twice are trusted if every label is good. A
+document at its limit is kept. Very long texts are counted and scored in runs of
+bounded size. An empty table gives no rows. Without trusted text all texts with
+words are kept. Other columns are kept by ``keep_good`` and not read by ``judge``,
+and may have any names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import partial, reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, cached, column, exclusive, materialize, numbers_of, record_batch, slices
+from .common import bytes_of, cached, column, materialize, numbers_of, record_batch, row_hash, slices
 
 ORDER, BITS = 5, 40
-#: Rows of the models that a worker may hold at once, about 12 bytes each; larger models come in pieces of a quarter of that.
-MOST_ROWS = 4_000_000
+#: Begins and ends a text; white space within is written as single spaces.
+EDGE = 10
+_BLANKS = bytes(32 if c in b" \t\n\r\x0b\x0c" else c for c in range(256))
+#: Bytes that are looked at in one go, and bytes of text in a block.
+RUN, BLOCK_BYTES = 1 << 20, 8 << 20
+#: Rows of the model in a shard, and blocks that ask one copy of it, for each shard there is.
+SHARD_ROWS, BLOCKS = 250_000, 8
+#: Distinct n-grams that a task holds before it gives its counts away.
+MOST_KEYS = 3_000_000
 #: Trusted ids up to which their table is broadcast, at 8 bytes each.
 MOST_IDS = 4_000_000
 #: Rows of counts, before they are summed, for each file of a count table.
 FILE_ROWS = 1_000_000
-#: Words that a worker process remembers per language.
-MOST_WORDS = 60_000
 #: Steps of cross entropy per nat in histograms.
-STEPS = 500
+STEPS = 1000
 UNIFORM = 1 / 256
 
 
 def contexts(data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Length of the n-gram at each byte, up to ``order`` and back to the space before; and its bytes as a number."""
+    """Length of the n-gram at each byte, up to ``order`` and back to the mark before; and its bytes as a number."""
     at = np.arange(len(data))
-    space = np.append(0, np.maximum.accumulate(np.where(data == 32, at, 0))[:-1])
-    size = np.minimum(at - space + 1, order)
+    edge = np.append(0, np.maximum.accumulate(np.where(data == EDGE, at, 0))[:-1])
+    size = np.minimum(at - edge + 1, order)
     code = np.zeros(len(data), np.int64)
     for k in range(order):
-        shifted = np.zeros(len(data), np.int64)
-        shifted[k:] = data[: len(data) - k]
-        code += np.where(size > k, shifted << (8 * k), 0)
+        code[k:] |= np.where(size[k:] > k, data[: len(data) - k].astype(np.int64) << (8 * k), 0)
     return size, code
 
 
-def _streams(texts: list[bytes], most_words: int = 200_000):
-    """The words of some texts, with a space on either side of each; long texts in parts, as no context goes beyond a word."""
-    for text in texts if sum(map(len, texts)) > 4 << 20 else [b" ".join(texts)]:
-        words = text.split()
-        for k in range(0, len(words), most_words):
-            yield np.frombuffer(b" " + b" ".join(words[k : k + most_words]) + b" ", np.uint8)
+def ngrams(texts: list[bytes | None], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In runs: of which text each byte is, and the n-gram that it ends, its length in the high bits."""
+    own = [i for i, t in enumerate(texts) if t and not t.isspace()]
+    if not own:
+        return
+    mark = bytes([EDGE])
+    x = np.frombuffer(mark + mark.join([texts[i].strip().translate(_BLANKS) for i in own]) + mark, np.uint8)
+    x, own, done = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))], np.array(own), 0
+    for a in range(1, len(x), RUN):
+        low = max(0, a - order + 1)
+        part = x[low : a + RUN]
+        size, code = contexts(part, order)
+        ends = part[a - low :] == EDGE
+        upto = done + np.cumsum(ends)
+        yield own[upto - ends], (size.astype(np.int64) << BITS | code)[a - low :]
+        done = int(upto[-1])
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, inverse = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64)
 
 
 def _grams(batches, order: int):
@@ -75,32 +98,33 @@ def _grams(batches, order: int):
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     docs: dict[str, int] = {}
 
-    def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate([x[k] for x in held[lang]]) for k in (0, 1))
-        keys, inverse = np.unique(keys, return_inverse=True)
-        return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64)
+    def given():
+        for lang, parts in held.items():
+            keys, counts = _summed(parts)
+            yield record_batch(schema, [pa.repeat(lang, len(keys)), keys, counts, np.zeros(len(keys), np.int64)])
+        held.clear()
 
     for batch in batches:
-        for some in slices(batch, "text", 1 << 20):  # arrays of 8 bytes for each of text
-            by: dict[str, list[bytes]] = {}
+        for some in slices(batch, "text", RUN):
+            by: dict[str, list[bytes | None]] = {}
             for lang, text in zip(column(some, "lang").to_pylist(), bytes_of(some, "text"), strict=True):
-                by.setdefault(lang or "", []).append(text or b"")
+                by.setdefault(lang or "", []).append(text)
             for lang, texts in by.items():
                 docs[lang] = docs.get(lang, 0) + len(texts)
-                for data in _streams(texts):
-                    size, code = contexts(data, order)
-                    keys, counts = np.unique((size << BITS | code)[1:], return_counts=True)
-                    held.setdefault(lang, []).append((keys, counts))
-                    if sum(len(k) for k, _ in held[lang]) > 1_000_000:
-                        held[lang] = [merged(lang)]
+                for _, key in ngrams(texts, order):
+                    parts = held.setdefault(lang, [])
+                    parts.append(np.unique(key, return_counts=True))
+                    if sum(len(k) for k, _ in parts) > MOST_KEYS // 3:
+                        parts[:] = [_summed(parts)]
+            if sum(len(k) for parts in held.values() for k, _ in parts) > MOST_KEYS:
+                yield from given()
+    yield from given()
     for lang, n in docs.items():
-        keys, counts = merged(lang) if lang in held else (np.zeros(0, np.int64),) * 2
         yield record_batch(schema, [[lang], [-1], [0], [n]])
-        yield record_batch(schema, [[lang] * len(keys), keys, counts, np.zeros(len(keys), np.int64)])
 
 
 def adjusted(seen: DataFrame, order: int) -> DataFrame:
-    """(lang, k, code, a): raw counts for the highest order and for n-grams that begin a word, else in how many ways one goes on to the left."""
+    """(lang, k, code, a): raw counts for the highest order and for n-grams that begin a text, else in how many ways one goes on to the left."""
     seen = seen.withColumns({"k": F.shiftright("key", BITS), "code": F.col("key").bitwiseAND((1 << BITS) - 1)})
     kinds = seen.where(F.col("k") == order).select("lang", "code")
     out = [seen.where(F.col("k") == order).select("lang", "k", "code", F.col("n").alias("a"))]
@@ -133,177 +157,161 @@ def interpolated(a: DataFrame, order: int, files: int = 1) -> tuple[DataFrame, D
     return reduce(DataFrame.union, out), gamma
 
 
-def _piece(cell, pieces: int):
-    """The piece of a model that has the n-grams of 3 or more bytes with these two bytes before the last; of Columns or arrays."""
-    return cell * 40503 % 65521 % pieces
-
-
-def _pack(batches):
-    """Keys and values of each language as two byte strings, to reach the driver in few rows."""
-    schema = pa.schema([("lang", pa.string()), ("keys", pa.binary()), ("values", pa.binary())])
-    for batch in batches:
-        lang = column(batch, "lang").dictionary_encode()
-        keys, values = numbers_of(batch, "key"), numbers_of(batch, "value", "float32")
-        for i, name in enumerate(lang.dictionary.to_pylist()):
-            at = lang.indices.to_numpy(zero_copy_only=False) == i
-            yield record_batch(schema, [[name], [keys[at].tobytes()], [values[at].tobytes()]])
-
-
-def _packed(table: DataFrame, value: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and their values, by language. The table's size has been checked."""
-    rows = table.select("lang", F.shiftleft("k", BITS).bitwiseOR(F.col("code")).alias("key"), F.col(value).cast("float").alias("value"))
-    out: dict[str, list] = {}
-    for r in rows.mapInArrow(_pack, "lang string, keys binary, values binary").collect():
-        out.setdefault(r["lang"], []).append((np.frombuffer(r["keys"], np.int64), np.frombuffer(r["values"], np.float32)))
-    joined = {lang: [np.concatenate(x) for x in zip(*parts, strict=True)] for lang, parts in out.items()}
-    return {lang: (k[i := np.argsort(k)], v[i]) for lang, (k, v) in joined.items()}
-
-
-class Model:
-    """One language: sorted n-grams and contexts, or broadcasts of pieces of them, and the words met so far in this process."""
-
-    def __init__(self, order: int, p: tuple[np.ndarray, np.ndarray] | None, gamma: tuple[np.ndarray, np.ndarray] | None):
-        self.order = order
-        self.whole = p and (*p, *gamma)
-        self.pieces: list = []
-        self.known: dict[bytes, int] = {}
-        self.logs, self.sizes = np.zeros(0), np.zeros(0, np.int64)
-
-    def __getstate__(self):
-        return self.__dict__ | {"pieces": [], "known": {}, "logs": np.zeros(0), "sizes": np.zeros(0, np.int64)}
-
-    @staticmethod
-    def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), bool), np.full(len(wanted), other)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = keys[at] == wanted
-        return hit, np.where(hit, values[at], other)
-
-    def bytes(self, data: np.ndarray) -> np.ndarray:
-        """Log probability of each byte after the first."""
-        size, code = (x[1:].astype(np.int64) for x in contexts(data, self.order))
-        if self.whole:
-            return self._logs(size, code, *self.whole)
-        out, piece = np.zeros(len(size)), _piece(code >> 8 & 0xFFFF, len(self.pieces))
-        for i, held in enumerate(self.pieces):
-            if len(at := np.flatnonzero(piece == i)):
-                out[at] = self._logs(size[at], code[at], *held.value)
-                vars(held).pop("_value", None)  # read again from its file when it is wanted again
-        return out
-
-    def _logs(self, size: np.ndarray, code: np.ndarray, grams: np.ndarray, ps: np.ndarray, known: np.ndarray, gammas: np.ndarray) -> np.ndarray:
-        out, todo = np.zeros(len(size)), np.arange(len(size))
-        while len(todo):
-            k, c = size[todo], code[todo] & ((np.int64(1) << (8 * size[todo])) - 1)
-            hit, p = self._look(grams, ps, k << BITS | c, 1.0)
-            out[todo] += np.log(p)
-            todo, k, c = todo[~hit], k[~hit], c[~hit]
-            out[todo] += np.log(self._look(known, gammas, k << BITS | c >> 8, 1.0)[1])
-            size[todo] -= 1
-            done = size[todo] == 0
-            out[todo[done]] += np.log(UNIFORM)
-            todo = todo[~done]
-        return out
-
-    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of the words of each text, and how many bytes that is of."""
-        words = [t.split() for t in texts]
-        flat = [w for x in words for w in x]
-        if len(self.known) > MOST_WORDS:
-            self.known, self.logs, self.sizes = {}, np.zeros(0), np.zeros(0, np.int64)
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(miss := np.flatnonzero(at < 0)):
-            new = list(dict.fromkeys([flat[i] for i in miss.tolist()]))
-            sizes = np.array([len(w) + 1 for w in new], np.int64)
-            total = np.append(0, np.cumsum(self.bytes(np.frombuffer(b" " + b" ".join(new) + b" ", np.uint8))))
-            starts = exclusive(sizes)
-            self.known.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
-            self.logs = np.append(self.logs, total[starts + sizes] - total[starts])
-            self.sizes = np.append(self.sizes, sizes)
-            at[miss] = np.fromiter((self.known[flat[i]] for i in miss.tolist()), np.int64, len(miss))
-        ends = np.cumsum([len(x) for x in words], dtype=np.int64)
-        logs, sizes = np.append(0, np.cumsum(self.logs[at])), np.append(0, np.cumsum(self.sizes[at]))
-        return np.diff(logs[ends], prepend=0), np.diff(sizes[ends], prepend=0)
+def _shard(cell, shards: int):
+    """The shard that has the n-grams of 3 or more bytes with these two bytes before the last; of Columns or arrays."""
+    return cell * 40503 % 65521 % shards
 
 
+@dataclass
 class Judge:
-    """Models by language ("" is of all), and their means and limits of cross entropy."""
-
-    def __init__(self, models: dict[str, Model], weight: int):
-        self.models, self.weight = models, weight
-        self.means: dict[str, float] = {}
-        self.limits: dict[str, float] = {}
-
-    def served(self, lang: str | None) -> str:
-        """The language whose model and limit hold for ``lang``: "" where it has no model, or once limits are known no limit, of its own."""
-        return lang if lang in self.models and (not self.limits or lang in self.limits) else ""
-
-    def score(self, langs: list[str | None], texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes, cross entropy per byte, and the same drawn towards the language's mean."""
-        n, h, drawn = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan), np.full(len(texts), np.nan)
-        own = np.array([self.served(x) for x in langs], object)
-        for lang in set(own):
-            at = np.flatnonzero(own == lang)
-            logs, sizes = self.models[lang].texts([texts[i] or b"" for i in at.tolist()]) if lang in self.models else (np.zeros(len(at)), np.array([len(texts[i] or b"") if (texts[i] or b"").strip() else 0 for i in at.tolist()]))
-            n[at] = sizes
-            some = at[sizes > 0]
-            h[some] = (-logs / np.maximum(sizes, 1))[sizes > 0]
-            drawn[some] = ((-logs + self.weight * self.means.get(lang, 0.0)) / (sizes + self.weight))[sizes > 0]
-        return n, h, drawn
-
-    def pieces(self) -> dict[str, list]:
-        """Broadcasts of models in pieces, which Spark must see beside the one that has this."""
-        return {lang: m.pieces for lang, m in self.models.items() if m.pieces}
-
-    def forget(self) -> None:
-        """Give back what a task has remembered; the worker goes on to other tasks."""
-        for m in self.models.values():
-            m.known, m.logs, m.sizes = {}, np.zeros(0), np.zeros(0, np.int64)
-        pa.default_memory_pool().release_unused()
-
-    def limit(self, langs: list[str | None]) -> np.ndarray:
-        return np.array([self.limits.get(self.served(x), np.inf) for x in langs], float)
-
-
-def _opened(judge, pieces: dict[str, list]) -> Judge:
-    for lang, held in pieces.items():
-        judge.value.models[lang].pieces = held
-    return judge.value
-
-
-def _shared(sc, judge: Judge) -> dict:
-    return {"judge": sc.broadcast(judge), "pieces": judge.pieces()}
-
-
-def _in_pieces(sc, p: DataFrame, gamma: DataFrame, order: int, piece_rows: int) -> dict[str, Model]:
-    """Models whose pieces pass through the driver one by one. N-grams of 1 and 2 bytes, and their contexts, are in every piece."""
-    tables = []
-    for table, value, cell in ((p, "p", F.shiftright("code", 8).bitwiseAND(0xFFFF)), (gamma, "gamma", F.col("code").bitwiseAND(0xFFFF))):
-        tables.append((materialize(table.withColumn("cell", F.when(F.col("k") > 2, cell)), value), value))
-    sizes = {r["lang"]: r["n"] for r in tables[0][0].groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    models = {}
-    for lang, n in sorted(sizes.items()):
-        models[lang], pieces, none = Model(order, None, None), 1 + n // piece_rows, (np.zeros(0, np.int64), np.zeros(0, np.float32))
-        for i in range(pieces):
-            own = (F.col("lang") == lang) & (F.col("cell").isNull() | (_piece(F.col("cell"), pieces) == i))
-            models[lang].pieces.append(sc.broadcast(tuple(x for table, value in tables for x in _packed(table.where(own), value).get(lang, none))))
-    return models
-
-
-def _scores(batches, judge, pieces):
-    """For thresholds: a row per language and step of cross entropy, and each text once more under the model of all."""
-    judge = _opened(judge, pieces)
-    schema = pa.schema([("lang", pa.string()), ("step", pa.int64()), ("bytes", pa.int64()), ("nats", pa.float64()), ("n", pa.int64())])
+    """The model's rows (lang, gram, key, value), ``gram`` false for contexts; and each language's limit of cross entropy ("" is of all)."""
+
+    rows: DataFrame | None
+    order: int
+    shards: int
+    languages: frozenset[str] = frozenset()
+    limits: dict[str, float] = field(default_factory=dict)
+
+    def served(self) -> dict[str, float]:
+        """Languages that are judged by themselves, with their limits; "" has the limit of the rest."""
+        names = self.languages & set(self.limits) if self.limits else self.languages
+        return {x: self.limits.get(x, float("inf")) for x in names | {""}}
+
+
+def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.full(len(wanted), other)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, np.where(hit, values[at], other)
+
+
+def logs(wanted: np.ndarray, grams: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log probabilities of n-grams, from sorted n-grams with probabilities and contexts with what they leave to shorter ones."""
+    out, todo, size, code = np.zeros(len(wanted)), np.arange(len(wanted)), wanted >> BITS, wanted & ((1 << BITS) - 1)
+    while len(todo):
+        k, c = size[todo], code[todo] & ((np.int64(1) << (8 * size[todo])) - 1)
+        hit, p = _look(*grams, k << BITS | c, 1.0)
+        out[todo] += np.log(p)
+        todo, k, c = todo[~hit], k[~hit], c[~hit]
+        out[todo] += np.log(_look(*known, k << BITS | c >> 8, 1.0)[1])
+        size[todo] -= 1
+        done = size[todo] == 0
+        out[todo[done]] += np.log(UNIFORM)
+        todo = todo[~done]
+    return out
+
+
+def _pack(batches, blocks: int):
+    """Rows of a batch that belong to the same block, as one compressed message. The last column has the row's hash."""
+    schema, written = pa.schema([("block", pa.int64()), ("data", pa.binary())]), pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
-        for some in slices(batch, "text", 2 << 20):
-            langs, texts = column(some, "lang").to_pylist(), bytes_of(some, "text")
-            own = [i for i, x in enumerate(langs) if judge.served(x)]
-            names = [langs[i] for i in own] + [""] * len(langs)
-            n, h, drawn = judge.score(names, [texts[i] for i in own] + texts)
-            fine = np.flatnonzero(n > 0)
-            yield record_batch(schema, [[names[i] for i in fine.tolist()], (drawn[fine] * STEPS).astype(np.int64), n[fine], (h * n)[fine], np.ones(len(fine), np.int64)])
-    judge.forget()
+        block = (batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+        own = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=written) as out:
+                out.write_batch(own.take(pa.array(order[a:b])))
+            yield record_batch(schema, [[int(block[order[a]])], pa.array([sink.getvalue().to_pybytes()], pa.binary())])
+
+
+def _messages(table: pa.Table, text_col: str, at: int = 1) -> Iterator[pa.RecordBatch]:
+    for data in table.column(at):
+        for batch in pa.ipc.open_stream(data.as_buffer()):
+            yield from slices(batch, text_col, RUN)
+
+
+def _by_language(batch: pa.RecordBatch, text_col: str, lang_col: str, served) -> Iterator[tuple[str, list[int], list[bytes | None]]]:
+    texts, by = bytes_of(batch, text_col), {}
+    for i, lang in enumerate(column(batch, lang_col).to_pylist()):
+        by.setdefault(lang if lang in served else "", []).append(i)
+    for lang, rows in by.items():
+        yield lang, rows, [texts[i] for i in rows]
+
+
+def _ask(table: pa.Table, text_col: str, lang_col: str, order: int, served, shards: int, copies: int) -> pa.Table:
+    """The distinct n-grams of a block, by language and shard."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("lang", pa.string()), ("keys", pa.binary())])
+    block, held = table.column("block")[0].as_py(), {}
+    for batch in _messages(table, text_col):
+        for lang, _, texts in _by_language(batch, text_col, lang_col, served):
+            for _, key in ngrams(texts, order):
+                parts = held.setdefault(lang, [])
+                parts.append(np.unique(key))
+                if sum(map(len, parts)) > 2 * RUN:
+                    parts[:] = [np.unique(np.concatenate(parts))]
+    out = []
+    for lang, parts in held.items():
+        keys = np.unique(np.concatenate(parts))
+        shard = _shard(keys >> 8 & 0xFFFF, shards)
+        out += [(int(i) * copies + block % copies, block, lang, keys[shard == i].tobytes()) for i in np.unique(shard)]
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The log probabilities of what blocks ask of a shard."""
+    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("keys", pa.binary()), ("logs", pa.binary())])
+    found: dict[str, tuple] = {}
+    names = model.column("lang").combine_chunks().dictionary_encode() if model.num_rows else None
+    if names is not None:
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        which, gram, key, value = (names.indices.to_numpy(zero_copy_only=False), model.column("gram").to_numpy(), model.column("key").to_numpy(), model.column("value").to_numpy())
+        order = np.argsort(key, kind="stable")
+        for i, lang in enumerate(names.dictionary.to_pylist()):
+            mine = order[which[order] == i]
+            yes, no = mine[gram[mine]], mine[~gram[mine]]
+            found[lang] = (key[yes], value[yes]), (key[no], value[no])
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    rows = [[], [], [], []]
+    for block, lang, keys in zip(*(asked.column(c).to_pylist() for c in ("block", "lang", "keys")), strict=True):
+        told = logs(np.frombuffer(keys, np.int64), *found.get(lang, (none, none))).astype(np.float32)
+        for x, y in zip(rows, (block, lang, keys, told.tobytes()), strict=True):
+            x.append(y)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
+
+
+def _score(table: pa.Table, told: pa.Table, text_col: str, lang_col: str, order: int, served, finish) -> pa.Table:
+    """A block's documents with the answers to what it asked; ``finish`` makes the output of a batch."""
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for lang in set(told.column("lang").to_pylist()):
+        rows = [r for r in zip(*(told.column(c).to_pylist() for c in ("lang", "keys", "logs")), strict=True) if r[0] == lang]
+        keys, values = np.concatenate([np.frombuffer(k, np.int64) for _, k, _ in rows]), np.concatenate([np.frombuffer(v, np.float32) for _, _, v in rows])
+        known[lang] = keys[i := np.argsort(keys)], values[i].astype(np.float64)
+    out = []
+    for batch in _messages(table, text_col):
+        size, total, limit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+        for lang, rows, texts in _by_language(batch, text_col, lang_col, served):
+            at = np.array(rows)
+            limit[at] = served[lang]
+            for doc, key in ngrams(texts, order):
+                keys, values = known[lang]
+                size[at] += np.bincount(doc, minlength=len(at))
+                total[at] -= np.bincount(doc, values[np.searchsorted(keys, key)], len(at))
+        out.append(finish(batch, size, total / np.maximum(size, 1), limit))
+    return pa.Table.from_batches(out)
+
+
+def _scored(docs: DataFrame, judge: Judge, text_col: str, lang_col: str, finish, schema, block_bytes: int) -> DataFrame:
+    """``finish`` over all documents, each with its bytes, cross entropy and limit."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+    blocks, served, order, shards = 1 + total // block_bytes, judge.served(), judge.order, judge.shards
+    copies = -(-blocks // (BLOCKS * shards))
+    own = docs.select("*", row_hash(docs).alias("row_hash")).mapInArrow(partial(_pack, blocks=blocks), "block long, data binary")
+    asked = own.groupBy("block").applyInArrow(lambda rows: _ask(rows, text_col, lang_col, order, served, shards, copies), "part long, block long, lang string, keys binary")
+    # N-grams of 1 and 2 bytes, and their contexts, are in every shard.
+    cell = F.when(F.col("gram"), F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(0xFFFF)
+    everywhere = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    shard = F.explode(F.when(F.shiftright("key", BITS) > 2, F.array(_shard(cell, shards))).otherwise(everywhere))
+    dealt = judge.rows.select("*", shard.alias("shard")).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda i: F.col("shard") * copies + i)).alias("part"), "lang", "gram", "key", "value")
+    told = asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_answer, "block long, lang string, keys binary, logs binary")
+    return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda rows, answers: _score(rows, answers, text_col, lang_col, order, served, finish), schema)
+
+
+def _entropies(batch, size, h, limit):
+    fine = np.flatnonzero(size > 0)
+    return record_batch(pa.schema([("lang", pa.string()), ("step", pa.int64())]), [column(batch, "lang").take(pa.array(fine)), np.floor(h[fine] * STEPS).astype(np.int64)])
 
 
 def _trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -316,71 +324,63 @@ def _trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lan
     return own.select("text", "lang", (F.pmod(F.xxhash64("id"), F.lit(10)) == 0).alias("held"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, lose: float = 0.002, slack: float = 0.05, weight: int = 60, least_docs: int = 20, most_rows: int = MOST_ROWS) -> Judge:
-    """Models and thresholds from the trusted part of ``docs``.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, lose: float = 0.005, least_docs: int = 20, least_held: int = 50, shard_rows: int = SHARD_ROWS, block_bytes: int = BLOCK_BYTES) -> Judge:
+    """Models from the trusted part of ``docs``, and per language the quantile ``1 - lose`` of held-out trusted documents' cross entropy.
 
-    The threshold of a language is the quantile ``1 - lose`` of held-out trusted
-    documents and ``slack`` of its mean beyond that.
+    A language of which fewer than ``least_held`` documents are held out has no quantile worth the name and uses the model of all.
     """
-    sc = docs.sparkSession.sparkContext
     trusted = _trusted(docs, labels, id_col, text_col, lang_col)
     raw = cached(trusted.where("not held").select("text", "lang").mapInArrow(partial(_grams, order=order), "lang string, key long, n long, docs long"))
-    enough = raw.where("key < 0").groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang").where("lang <> ''")
+    enough = [r["lang"] for r in raw.where("key < 0 and lang <> ''").groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).collect()]
     counts = raw.where("key >= 0").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    own = counts.join(enough, "lang", "left_semi")
     every = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "key", "n")
     few = 1 + raw.count() // FILE_ROWS
-    a = materialize(adjusted(materialize(own.unionByName(every).coalesce(few), "seen"), order).coalesce(few), "adjusted")
-    p, gamma = interpolated(a, order, few)
-    if a.count() > most_rows:
-        judge = Judge(_in_pieces(sc, p, gamma, order, max(1, most_rows // 4)), weight)
-    else:
-        p, gamma = _packed(p, "p"), _packed(gamma, "gamma")
-        judge = Judge({lang: Model(order, p[lang], gamma[lang]) for lang in sorted(p)}, weight)
+    a = materialize(adjusted(materialize(counts.where(F.col("lang").isin(enough)).unionByName(every).coalesce(few), "seen"), order).coalesce(few), "adjusted")
     raw.unpersist()
-    for told in ("means", "limits"):  # first the means, by which the rest is drawn
-        held = trusted.where("held").select("text", "lang").mapInArrow(partial(_scores, **_shared(sc, judge)), "lang string, step long, bytes long, nats double, n long")
-        if told == "means":
-            sums = held.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.sum("nats").alias("nats")).collect()
-            judge.means = {r["lang"]: r["nats"] / r["bytes"] for r in sums}
-        else:
-            rows = held.groupBy("lang", "step").agg(F.sum("n").alias("n")).toPandas()
-            for lang, part in rows.groupby("lang"):
-                part = part.sort_values("step")
-                reach = np.cumsum(part["n"].to_numpy()) >= (1 - lose) * part["n"].sum()
-                judge.limits[lang] = float((part["step"].to_numpy()[np.argmax(reach)] + 1) / STEPS + slack * judge.means[lang])
+    p, gamma = interpolated(a, order, few)
+    row = lambda t, gram, value: t.select("lang", F.lit(gram).alias("gram"), F.shiftleft("k", BITS).bitwiseOR(F.col("code")).alias("key"), F.col(value).alias("value"))
+    rows = materialize(row(p, True, "p").unionByName(row(gamma, False, "gamma")).coalesce(few), "model")
+    n = rows.count()
+    judge = Judge(rows if n else None, order, 1 + n // shard_rows, frozenset(enough))
+    if not n:
+        return judge
+    held = trusted.where("held").select("text", "lang")
+    held = held.unionByName(held.where(F.col("lang").isin(enough)).withColumn("lang", F.lit("")))  # once more under the model of all
+    steps = _scored(held.withColumn("lang", F.when(F.col("lang").isin(enough), F.col("lang")).otherwise("")), judge, "text", "lang", _entropies, "lang string, step long", block_bytes)
+    rows = steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    for lang, part in rows.groupby("lang"):
+        part = part.sort_values("step")
+        if lang and part["n"].sum() < least_held:
+            continue
+        reach = np.cumsum(part["n"].to_numpy()) >= (1 - lose) * part["n"].sum()
+        judge.limits[lang] = float((part["step"].to_numpy()[np.argmax(reach)] + 1) / STEPS)
     return judge
 
 
-def _judge(batches, judge, pieces):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("perplexity", pa.float64()), ("drawn_perplexity", pa.float64()), ("threshold", pa.float64()), ("kept", pa.bool_())])
-    judge = _opened(judge, pieces)
-    for batch in batches:
-        for some in slices(batch, "text", 2 << 20):
-            langs = column(some, "lang").to_pylist()
-            n, h, drawn = judge.score(langs, bytes_of(some, "text"))
-            limit = judge.limit(langs)
-            perplexity, level = (pa.array(np.exp(x), pa.float64(), mask=n == 0) for x in (h, drawn))
-            yield record_batch(schema, [column(some, "doc_id"), n, perplexity, level, np.exp(np.minimum(limit, 700.0)), (n > 0) & (np.nan_to_num(drawn) <= limit)])
-    judge.forget()
+def _keeps(size: np.ndarray, h: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    return (size > 0) & (h <= limit)
 
 
-def _keep(batches, judge, pieces, text_col: str, lang_col: str):
-    judge = _opened(judge, pieces)
-    for batch in batches:
-        for some in slices(batch, text_col, 2 << 20):
-            langs = column(some, lang_col).to_pylist()
-            n, _, drawn = judge.score(langs, bytes_of(some, text_col))
-            yield some.filter(pa.array((n > 0) & (np.nan_to_num(drawn) <= judge.limit(langs))))
-    judge.forget()
+def _judged(batch, size, h, limit):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("perplexity", pa.float64()), ("threshold", pa.float64()), ("kept", pa.bool_())])
+    return record_batch(schema, [column(batch, "doc_id"), size, pa.array(np.exp(h), pa.float64(), mask=size == 0), np.exp(np.minimum(limit, 700.0)), _keeps(size, h, limit)])
+
+
+def _kept(batch, size, h, limit):
+    return batch.filter(pa.array(_keeps(size, h, limit)))
 
 
-def judge(docs: DataFrame, judge: Judge, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per document: its perplexity, the threshold of its language and whether it is kept."""
+def judge(docs: DataFrame, judge: Judge, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: its bytes, its perplexity per byte, the threshold of its language and whether it is kept."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return own.mapInArrow(partial(_judge, **_shared(docs.sparkSession.sparkContext, judge)), "doc_id long, n_bytes long, perplexity double, drawn_perplexity double, threshold double, kept boolean")
+    if judge.rows is None:
+        words = F.regexp_replace("text", r"[ \t\n\r\x0b\x0c]+", "") != ""
+        return own.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(float("inf")).alias("threshold"), F.coalesce(words, F.lit(False)).alias("kept"))
+    return _scored(own, judge, "text", "lang", _judged, "doc_id long, n_bytes long, perplexity double, threshold double, kept boolean", block_bytes)
 
 
-def keep_good(docs: DataFrame, judge: Judge, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, judge: Judge, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept."""
-    return docs.mapInArrow(partial(_keep, **_shared(docs.sparkSession.sparkContext, judge), text_col=text_col, lang_col=lang_col), docs.schema)
+    if judge.rows is None:
+        return docs.where(F.regexp_replace(F.col(text_col), r"[ \t\n\r\x0b\x0c]+", "") != "")
+    return _scored(docs, judge, text_col, lang_col, _kept, docs.schema, block_bytes)
