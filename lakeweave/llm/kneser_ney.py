@@ -3,19 +3,21 @@
 The units are bytes, and n-grams run through a whole text: its words, a space
 between each two, and a mark at either end. Counts come from all trusted text
 (labelled good and not toxic, all but a tenth by hash of the id, from which limits
-are taken). Per task they are summed by n-gram; counts of counts, context sums and
-interpolation are joins between count tables dealt by n-gram. There is a model for
-each language with enough trusted documents, and one of all for the rest: also for
-languages of which no document is held out.
-
-Documents are scored by joins too, and no model is ever whole in one place. Texts
-are dealt into blocks of bounded size by a hash of the row. A block asks once for
-each distinct n-gram in it; questions and model meet in shards, dealt by the two
-bytes before an n-gram's last, so that all shorter n-grams it may fall back to are
-there as well. Answers go back to the block, which adds them up per document.
-Shards are as many as the model's rows need, and shards that many blocks ask are
-made several times over. A language's limit is a quantile of the perplexity of
-held-out trusted documents. All is the same at every size.
+are taken). They are summed per task and dealt into shards by the two bytes before
+an n-gram's last. All n-grams that share a context of two bytes or more, and all
+longer and shorter ones that bear on them, are then in one shard, so that
+continuation counts, context sums and interpolation are local to it; n-grams of one
+and two bytes, 65,536 a language at most, are worked out per language and joined to
+all shards. There is a model for each language with enough trusted documents and
+one of all for the rest: also for languages with few documents held out.
+
+Documents are scored by joins, and no model is ever whole in one place. Texts are
+dealt into blocks of bounded size by a hash of the row. A block asks once for each
+distinct n-gram in it; questions meet the counts of their shard, and the answers go
+back to the block, which adds them up per document. Shards are as many as the
+model's rows need, and shards that many blocks ask are made several times over. A
+language's limit is a quantile of the perplexity of held-out trusted documents. All
+is the same at every size.
 
 Nulls: a null language uses the model of all; a text without words has no
 perplexity and is rejected; a null label or id is not trusted. Repeated rows are
@@ -30,14 +32,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, cached, column, materialize, numbers_of, record_batch, row_hash, slices
+from .common import bytes_of, cached, column, materialize, record_batch, row_hash, slices
 
 ORDER, BITS = 5, 40
 #: Begins and ends a text; white space within is written as single spaces.
@@ -45,14 +47,12 @@ EDGE = 10
 _BLANKS = bytes(32 if c in b" \t\n\r\x0b\x0c" else c for c in range(256))
 #: Bytes that are looked at in one go, and bytes of text in a block.
 RUN, BLOCK_BYTES = 1 << 20, 8 << 20
-#: Rows of the model in a shard, and blocks that ask one copy of it, for each shard there is.
-SHARD_ROWS, BLOCKS = 250_000, 8
+#: Rows of counts, before tasks' own are put together, in a shard; and blocks that ask one copy of it, for each shard there is.
+SHARD_ROWS, BLOCKS = 1_000_000, 8
 #: Distinct n-grams that a task holds before it gives its counts away.
 MOST_KEYS = 3_000_000
 #: Trusted ids up to which their table is broadcast, at 8 bytes each.
 MOST_IDS = 4_000_000
-#: Rows of counts, before they are summed, for each file of a count table.
-FILE_ROWS = 1_000_000
 #: Steps of cross entropy per nat in histograms.
 STEPS = 1000
 UNIFORM = 1 / 256
@@ -123,38 +123,82 @@ def _grams(batches, order: int):
         yield record_batch(schema, [[lang], [-1], [0], [n]])
 
 
-def adjusted(seen: DataFrame, order: int) -> DataFrame:
-    """(lang, k, code, a): raw counts for the highest order and for n-grams that begin a text, else in how many ways one goes on to the left."""
-    seen = seen.withColumns({"k": F.shiftright("key", BITS), "code": F.col("key").bitwiseAND((1 << BITS) - 1)})
-    kinds = seen.where(F.col("k") == order).select("lang", "code")
-    out = [seen.where(F.col("k") == order).select("lang", "k", "code", F.col("n").alias("a"))]
-    for k in range(order - 1, 0, -1):
-        own = seen.where(F.col("k") == k).select("lang", "k", "code", F.col("n").alias("a"))
-        wider = kinds.groupBy("lang", F.col("code").bitwiseAND((1 << 8 * k) - 1).alias("code")).agg(F.count(F.lit(1)).alias("a"))
-        out += [own, wider.select("lang", F.lit(k).cast("long").alias("k"), "code", "a")]
-        kinds = own.select("lang", "code").union(wider.select("lang", "code"))
-    return reduce(DataFrame.union, out)
-
-
-def interpolated(a: DataFrame, order: int, files: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(lang, k, code, p) of all seen n-grams, and (lang, k, code, gamma): what is left for the next lower order after a context."""
-    ones = {f"n{i}": F.sum((F.col("a") == i).cast("long")) for i in (1, 2, 3, 4)}
-    d = a.groupBy("lang", "k").agg(*[c.alias(n) for n, c in ones.items()])
-    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-    each = {i: F.when(F.col(f"n{i}") > 0, i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0))).otherwise(0.5 * i) for i in (1, 2, 3)}
-    d = d.select("lang", "k", *[F.greatest(F.lit(0.05), F.least(c, F.lit(0.95 * i))).alias(f"d{i}") for i, c in each.items()])
-    gram = a.join(F.broadcast(d), ["lang", "k"]).withColumns({"h": F.shiftright("code", 8), "cut": F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))})
-    context = gram.groupBy("lang", "k", "h").agg(F.sum("a").alias("total"), F.sum("cut").alias("left"))
-    gamma = context.select("lang", "k", F.col("h").alias("code"), (F.col("left") / F.col("total")).alias("gamma"))
-    gram = materialize(gram.join(context, ["lang", "k", "h"]).select("lang", "k", "code", ((F.col("a") - F.col("cut")) / F.col("total")).alias("u"), (F.col("left") / F.col("total")).alias("g")).coalesce(files), "grams")
-    p = gram.where("k = 1").select("lang", "k", "code", (F.col("u") + F.col("g") * UNIFORM).alias("p"))
-    out = [p]
-    for k in range(2, order + 1):
-        lower = p.select("lang", F.col("code").alias("s"), F.col("p").alias("q"))
-        own = gram.where(F.col("k") == k).withColumn("s", F.col("code").bitwiseAND((1 << 8 * (k - 1)) - 1))
-        p = own.join(lower, ["lang", "s"]).select("lang", "k", "code", (F.col("u") + F.col("g") * F.col("q")).alias("p"))
-        out.append(p)
-    return reduce(DataFrame.union, out), gamma
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 1, 2 and 3 or more, from how many counts are 1, 2, 3 and 4."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    return np.array([np.clip(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 * i, 0.05, 0.95 * i) for i in (1, 2, 3)])
+
+
+def level(codes: np.ndarray, a: np.ndarray, cuts: np.ndarray, lower) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n-grams of one length: their probabilities, their contexts, and what each leaves to shorter ones. ``lower`` gives the probabilities without the first byte."""
+    cut = cuts[np.minimum(a, 3) - 1]
+    known, which = np.unique(codes >> 8, return_inverse=True)
+    total, left = np.bincount(which, a), np.bincount(which, cut)
+    gamma = left / total
+    return (a - cut) / total[which] + gamma[which] * lower, known, gamma
+
+
+def _counts_of_counts(a: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(a, 5), minlength=6)[1:5].tolist()
+
+
+def _table(rows: list, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+_COUNTS = "shard long, lang string, k int, codes binary, counts binary, ones array<long>"
+
+
+def _adjusted(table: pa.Table, languages: set[str], order: int) -> pa.Table:
+    """A shard's counts: raw for the highest order and for n-grams that begin a text, else in how many ways one goes on to the left. Of 2 bytes the shard has a part only."""
+    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("k", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("ones", pa.list_(pa.int64()))])
+    lang, key, n, rows = np.array(table.column("lang").to_pylist(), object), table.column("key").to_numpy(), table.column("n").to_numpy(), []
+    for name in sorted((set(lang) & languages) | {""}):
+        mine = slice(None) if name == "" else lang == name
+        keys, counts = _summed([(key[mine], n[mine])])
+        size, code, wider = keys >> BITS, keys & ((1 << BITS) - 1), None
+        for k in range(order, 1, -1):
+            codes, a = code[size == k], counts[size == k]
+            if wider is not None:
+                more = np.unique(wider & ((1 << 8 * k) - 1), return_counts=True)
+                codes, a = np.append(codes, more[0]), np.append(a, more[1])
+                codes, a = codes[i := np.argsort(codes)], a[i]
+            if len(codes):
+                rows.append((table.column("shard")[0].as_py(), name, k, codes.tobytes(), a.tobytes(), _counts_of_counts(a)))
+            wider = codes
+    return _table(rows, schema)
+
+
+_MODEL = [("lang", pa.string()), ("grams", pa.binary()), ("p", pa.binary()), ("contexts", pa.binary()), ("gamma", pa.binary())]
+
+
+def _short(table: pa.Table) -> pa.Table:
+    """N-grams of 1 and 2 bytes of a language, from what its shards know of those of 2."""
+    parts = [(np.frombuffer(c, np.int64), np.frombuffer(a, np.int64)) for c, a in zip(table.column("codes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+    codes, a = _summed(parts)
+    one, ways = np.unique(codes & 0xFF, return_counts=True)
+    p1, h1, g1 = level(one, ways, discounts(np.array(_counts_of_counts(ways))), UNIFORM)
+    p2, h2, g2 = level(codes, a, discounts(np.array(_counts_of_counts(a))), p1[np.searchsorted(one, codes & 0xFF)])
+    row = np.append(1 << BITS | one, 2 << BITS | codes), np.append(p1, p2).astype(np.float32), np.append(1 << BITS | h1, 2 << BITS | h2), np.append(g1, g2).astype(np.float32)
+    return _table([(table.column("lang")[0].as_py(), *(x.tobytes() for x in row))], pa.schema(_MODEL))
+
+
+def _interpolated(counts: pa.Table, short: pa.Table, cuts: dict[tuple[str, int], np.ndarray]) -> pa.Table:
+    """A shard's model: its own n-grams of 3 bytes and more, after the shorter ones of each language."""
+    schema, rows = pa.schema([("shard", pa.int64()), *_MODEL]), []
+    own = {(r["lang"], r["k"]): r for r in counts.select(["lang", "k", "codes", "counts"]).to_pylist()}
+    for r in short.to_pylist():
+        grams, p, known, gamma = ([np.frombuffer(r[c], t)] for c, t in (("grams", np.int64), ("p", np.float32), ("contexts", np.int64), ("gamma", np.float32)))
+        at = np.searchsorted(grams[0], 2 << BITS)
+        below, q = grams[0][at:] & ((1 << BITS) - 1), p[0][at:].astype(np.float64)
+        for k in sorted(k for lang, k in own if lang == r["lang"]):
+            codes, a = (np.frombuffer(own[r["lang"], k][c], np.int64) for c in ("codes", "counts"))
+            q, h, g = level(codes, a, cuts[r["lang"], k], q[np.searchsorted(below, codes & ((1 << 8 * (k - 1)) - 1))])
+            below = codes
+            for x, y in ((grams, k << BITS | codes), (p, q.astype(np.float32)), (known, k << BITS | h), (gamma, g.astype(np.float32))):
+                x.append(y)
+        rows.append((r["shard"], r["lang"], *(np.concatenate(x).tobytes() for x in (grams, p, known, gamma))))
+    return _table(rows, schema)
 
 
 def _shard(cell, shards: int):
@@ -164,7 +208,7 @@ def _shard(cell, shards: int):
 
 @dataclass
 class Judge:
-    """The model's rows (lang, gram, key, value), ``gram`` false for contexts; and each language's limit of cross entropy ("" is of all)."""
+    """The model, a row per shard and language; and each language's limit of cross entropy ("" is of all)."""
 
     rows: DataFrame | None
     order: int
@@ -231,10 +275,9 @@ def _by_language(batch: pa.RecordBatch, text_col: str, lang_col: str, served) ->
         yield lang, rows, [texts[i] for i in rows]
 
 
-def _ask(table: pa.Table, text_col: str, lang_col: str, order: int, served, shards: int, copies: int) -> pa.Table:
-    """The distinct n-grams of a block, by language and shard."""
-    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("lang", pa.string()), ("keys", pa.binary())])
-    block, held = table.column("block")[0].as_py(), {}
+def _distinct(table: pa.Table, text_col: str, lang_col: str, order: int, served) -> dict[str, np.ndarray]:
+    """The n-grams of a block, each once and sorted, by language."""
+    held: dict[str, list[np.ndarray]] = {}
     for batch in _messages(table, text_col):
         for lang, _, texts in _by_language(batch, text_col, lang_col, served):
             for _, key in ngrams(texts, order):
@@ -242,43 +285,51 @@ def _ask(table: pa.Table, text_col: str, lang_col: str, order: int, served, shar
                 parts.append(np.unique(key))
                 if sum(map(len, parts)) > 2 * RUN:
                     parts[:] = [np.unique(np.concatenate(parts))]
-    out = []
-    for lang, parts in held.items():
-        keys = np.unique(np.concatenate(parts))
+    return {lang: np.unique(np.concatenate(parts)) for lang, parts in held.items()}
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed steps, their like bytes together."""
+    steps = np.ascontiguousarray(np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(keys).to_bytes(8, "little") + pa.compress(steps, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    steps = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.int64).reshape(-1))
+
+
+def _ask(table: pa.Table, text_col: str, lang_col: str, order: int, served, shards: int, copies: int) -> pa.Table:
+    """What a block asks each shard: its distinct n-grams, by language."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("lang", pa.string()), ("keys", pa.binary())])
+    block, rows = table.column("block")[0].as_py(), []
+    for lang, keys in _distinct(table, text_col, lang_col, order, served).items():
         shard = _shard(keys >> 8 & 0xFFFF, shards)
-        out += [(int(i) * copies + block % copies, block, lang, keys[shard == i].tobytes()) for i in np.unique(shard)]
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
-
-
-def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """The log probabilities of what blocks ask of a shard."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("keys", pa.binary()), ("logs", pa.binary())])
-    found: dict[str, tuple] = {}
-    names = model.column("lang").combine_chunks().dictionary_encode() if model.num_rows else None
-    if names is not None:
-        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
-        which, gram, key, value = (names.indices.to_numpy(zero_copy_only=False), model.column("gram").to_numpy(), model.column("key").to_numpy(), model.column("value").to_numpy())
-        order = np.argsort(key, kind="stable")
-        for i, lang in enumerate(names.dictionary.to_pylist()):
-            mine = order[which[order] == i]
-            yes, no = mine[gram[mine]], mine[~gram[mine]]
-            found[lang] = (key[yes], value[yes]), (key[no], value[no])
+        rows += [(int(i) * copies + block % copies, block, lang, _packed(keys[shard == i])) for i in np.unique(shard)]
+    return _table(rows, schema)
+
+
+def _answer(asked: pa.Table, model: pa.Table, copies: int) -> pa.Table:
+    """The log probabilities of what blocks ask of a shard, in the order of the keys asked for."""
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("lang", pa.string()), ("logs", pa.binary())])
     none = (np.zeros(0, np.int64), np.zeros(0))
-    rows = [[], [], [], []]
-    for block, lang, keys in zip(*(asked.column(c).to_pylist() for c in ("block", "lang", "keys")), strict=True):
-        told = logs(np.frombuffer(keys, np.int64), *found.get(lang, (none, none))).astype(np.float32)
-        for x, y in zip(rows, (block, lang, keys, told.tobytes()), strict=True):
-            x.append(y)
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
+    tables = {r["lang"]: tuple((np.frombuffer(r[k], np.int64), np.frombuffer(r[v], np.float32)) for k, v in (("grams", "p"), ("contexts", "gamma"))) for r in model.to_pylist()}
+    rows = []
+    for part, block, lang, keys in zip(*(asked.column(c) for c in ("part", "block", "lang", "keys")), strict=True):
+        told = logs(_unpacked(keys.as_py()), *tables.get(lang.as_py(), (none, none))).astype(np.float32)
+        rows.append((block.as_py(), part.as_py() // copies, lang.as_py(), told.tobytes()))
+    return _table(rows, schema)
 
 
-def _score(table: pa.Table, told: pa.Table, text_col: str, lang_col: str, order: int, served, finish) -> pa.Table:
+def _score(table: pa.Table, told: pa.Table, text_col: str, lang_col: str, order: int, served, shards: int, finish) -> pa.Table:
     """A block's documents with the answers to what it asked; ``finish`` makes the output of a batch."""
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for lang in set(told.column("lang").to_pylist()):
-        rows = [r for r in zip(*(told.column(c).to_pylist() for c in ("lang", "keys", "logs")), strict=True) if r[0] == lang]
-        keys, values = np.concatenate([np.frombuffer(k, np.int64) for _, k, _ in rows]), np.concatenate([np.frombuffer(v, np.float32) for _, _, v in rows])
-        known[lang] = keys[i := np.argsort(keys)], values[i].astype(np.float64)
+    for lang, keys in _distinct(table, text_col, lang_col, order, served).items():
+        known[lang] = keys, np.full(len(keys), np.nan)
+    shard = {lang: _shard(keys >> 8 & 0xFFFF, shards) for lang, (keys, _) in known.items()}
+    for i, lang, answers in zip(*(told.column(c) for c in ("shard", "lang", "logs")), strict=True):
+        known[lang.as_py()][1][shard[lang.as_py()] == i.as_py()] = np.frombuffer(answers.as_py(), np.float32)
     out = []
     for batch in _messages(table, text_col):
         size, total, limit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
@@ -289,24 +340,26 @@ def _score(table: pa.Table, told: pa.Table, text_col: str, lang_col: str, order:
                 keys, values = known[lang]
                 size[at] += np.bincount(doc, minlength=len(at))
                 total[at] -= np.bincount(doc, values[np.searchsorted(keys, key)], len(at))
+        if np.isnan(total).any():
+            raise ValueError("a block lacks answers")
         out.append(finish(batch, size, total / np.maximum(size, 1), limit))
     return pa.Table.from_batches(out)
 
 
 def _scored(docs: DataFrame, judge: Judge, text_col: str, lang_col: str, finish, schema, block_bytes: int) -> DataFrame:
-    """``finish`` over all documents, each with its bytes, cross entropy and limit."""
+    """``finish`` over all documents, each with its bytes, cross entropy and limit.
+
+    The packed blocks are an exchange that both sides of the last join use; where it
+    is made twice, the hash of the row deals it alike.
+    """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
     blocks, served, order, shards = 1 + total // block_bytes, judge.served(), judge.order, judge.shards
     copies = -(-blocks // (BLOCKS * shards))
     own = docs.select("*", row_hash(docs).alias("row_hash")).mapInArrow(partial(_pack, blocks=blocks), "block long, data binary")
     asked = own.groupBy("block").applyInArrow(lambda rows: _ask(rows, text_col, lang_col, order, served, shards, copies), "part long, block long, lang string, keys binary")
-    # N-grams of 1 and 2 bytes, and their contexts, are in every shard.
-    cell = F.when(F.col("gram"), F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(0xFFFF)
-    everywhere = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
-    shard = F.explode(F.when(F.shiftright("key", BITS) > 2, F.array(_shard(cell, shards))).otherwise(everywhere))
-    dealt = judge.rows.select("*", shard.alias("shard")).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda i: F.col("shard") * copies + i)).alias("part"), "lang", "gram", "key", "value")
-    told = asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_answer, "block long, lang string, keys binary, logs binary")
-    return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda rows, answers: _score(rows, answers, text_col, lang_col, order, served, finish), schema)
+    dealt = judge.rows.withColumn("part", F.explode(F.sequence(F.col("shard") * copies, F.col("shard") * copies + (copies - 1))))
+    told = asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(lambda asked, model: _answer(asked, model, copies), "block long, shard long, lang string, logs binary")
+    return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda rows, answers: _score(rows, answers, text_col, lang_col, order, served, shards, finish), schema)
 
 
 def _entropies(batch, size, h, limit):
@@ -332,18 +385,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     trusted = _trusted(docs, labels, id_col, text_col, lang_col)
     raw = cached(trusted.where("not held").select("text", "lang").mapInArrow(partial(_grams, order=order), "lang string, key long, n long, docs long"))
     enough = [r["lang"] for r in raw.where("key < 0 and lang <> ''").groupBy("lang").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).collect()]
-    counts = raw.where("key >= 0").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    every = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "key", "n")
-    few = 1 + raw.count() // FILE_ROWS
-    a = materialize(adjusted(materialize(counts.where(F.col("lang").isin(enough)).unionByName(every).coalesce(few), "seen"), order).coalesce(few), "adjusted")
+    shards, names = 1 + raw.count() // shard_rows, set(enough)
+    counts = raw.where("key >= 0").select(_shard(F.shiftright("key", 8).bitwiseAND(0xFFFF), shards).alias("shard"), "lang", "key", "n")
+    counts = materialize(counts.groupBy("shard").applyInArrow(lambda rows: _adjusted(rows, names, order), _COUNTS), "counts")
     raw.unpersist()
-    p, gamma = interpolated(a, order, few)
-    row = lambda t, gram, value: t.select("lang", F.lit(gram).alias("gram"), F.shiftleft("k", BITS).bitwiseOR(F.col("code")).alias("key"), F.col(value).alias("value"))
-    rows = materialize(row(p, True, "p").unionByName(row(gamma, False, "gamma")).coalesce(few), "model")
-    n = rows.count()
-    judge = Judge(rows if n else None, order, 1 + n // shard_rows, frozenset(enough))
-    if not n:
-        return judge
+    ones = counts.where("k > 2").groupBy("lang", "k").agg(F.array(*[F.sum(F.col("ones")[i]) for i in range(4)]).alias("ones")).collect()
+    cuts = {(r["lang"], r["k"]): discounts(np.array(r["ones"], float)) for r in ones}
+    short = counts.where("k = 2").groupBy("lang").applyInArrow(_short, "lang string, grams binary, p binary, contexts binary, gamma binary")
+    short = short.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    model = counts.where("k > 2").groupBy("shard").cogroup(short.groupBy("shard"))
+    rows = materialize(model.applyInArrow(lambda counts, short: _interpolated(counts, short, cuts), "shard long, lang string, grams binary, p binary, contexts binary, gamma binary"), "model")
+    judge = Judge(rows, order, shards, frozenset(enough))
+    if rows.isEmpty():
+        return Judge(None, order, shards)
     held = trusted.where("held").select("text", "lang")
     held = held.unionByName(held.where(F.col("lang").isin(enough)).withColumn("lang", F.lit("")))  # once more under the model of all
     steps = _scored(held.withColumn("lang", F.when(F.col("lang").isin(enough), F.col("lang")).otherwise("")), judge, "text", "lang", _entropies, "lang string, step long", block_bytes)
