@@ -14,7 +14,8 @@ PIECES = ["a", "é", "\r\n", "\r\n\r\n", "WARC/1.1\r\n", "WARC/1.1\r\nContent-Le
 @pytest.mark.parametrize("block", ["3000", "100000000"])
 def test_archives_come_back(spark, tmp_path, block):
     rng = random.Random(1)
-    rows = [(i, f"http://x/{i}\r\nX: y", None if i % 17 == 0 else "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 60))) + rng.choice(["", "\r\n", "\r\n\r\n"])) for i in range(80)]
+    rows = [(i, f"http://x/{i}\r\nX: y" + "z" * rng.choice([0, 0, 4000]), None if i % 17 == 0 else "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 60))) + rng.choice(["", "\r\n", "\r\n\r\n"])) for i in range(80)]
+    rows += [(2000 + i, "http://long/" + "u" * n, "<p>" * 9) for i, n in enumerate((200_000, 2_990, 70_000))]
     rows += [(1000 + i, None, "Z" * 5000 + "\r\n") for i in range(5)] + [(None, "u", "Q" * 20000), (7, "dup", "W" * 1500), (7, "dup", "W" * 1500)]
     groups = {}
     for i, _, h in rows:
@@ -33,7 +34,9 @@ def test_archives_come_back(spark, tmp_path, block):
     try:
         out = str(tmp_path / "warc")
         warc.write_warc(df, out)
-        got = warc.read_warc(spark, out).collect()
+        read = warc.read_warc(spark, out, int(block))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")  # splits may change once it has been read
+        got = read.collect()
         assert sorted(str((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got) == sorted(expected(i, h) for i, _, h in rows)
         bodies = {(r["page_id"], bytes(r["payload"])) for r in got if r["record_type"] == "response"}
         assert all((i, (h or "").encode()) in bodies for i, _, h in rows if "revisit" not in expected(i, h))
@@ -44,10 +47,23 @@ def test_archives_come_back(spark, tmp_path, block):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_broken_archives_are_an_error(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "a"))
+    (file,) = (tmp_path / "a").glob("part-*")
+    data = file.read_bytes()
+    for name, broken in (("cut", data[:-40]), ("longer", data + b"more\n"), ("length", data.replace(b"Content-Length: 6", b"Content-Length: 9", 1)), ("headless", data.replace(b"WARC/1.1", b"WARC/0.9", 1))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x").write_bytes(broken)
+        with pytest.raises(ValueError, match="do not end where it ends"):
+            warc.read_warc(spark, str(tmp_path / name))
+
+
 def test_pointer_jumping():
     places = np.array([0, 10, 14, 30, 50])
     next_ = np.array([10, 30, 17, 120, 50])  # 14 breaks, 50 ends in itself
-    assert warc.jump(next_, places, 100).tolist() == [120, 120, -1, 120, 50]
+    exits, last = warc.jump(next_, places, 100)
+    assert exits.tolist() == [120, 120, -1, 120, 50] and last.tolist() == [30, 30, 14, 30, 50]
 
 
 def test_chat_round_trip(spark):
