@@ -2,34 +2,36 @@
 
 The words of a text are its runs of ASCII letters and digits (A-Z lower-cased)
 and characters beyond ASCII. An item's windows are its runs of ``size`` words; an
-item of fewer words is one window. The windows are dealt into blocks of bounded
-size; each block is broadcast as a hash set and the documents pass by it without
-a shuffle. A hash that is found is verified word by word.
+item of fewer words is one window. The items are dealt into blocks of bounded size;
+each block is broadcast as a hash set, and the documents pass by one after another
+in a single step, without a shuffle. A hash that is found is verified word by word.
 
 Nulls: a null text has no words. A null item id counts as an item with an empty
 name. Rows of items with the same id are one item. Repeated documents are judged
-row by row. With an empty benchmark nothing is hit. Other columns are kept by
-``decontaminate`` and not read by ``judge``.
+row by row; a share of hit words equal to the bound is contaminated. With an empty
+benchmark nothing is hit; an empty table gives no rows. Very long texts are judged
+whole. Other columns are kept by ``decontaminate``, not read by ``judge``, and may
+have any names.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import bytes_of, column, record_batch, slices
+from .common import bytes_of, column, exclusive, ragged_take, record_batch, slices
 
 #: Everything but letters, digits and bytes beyond ASCII separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Bytes of benchmark text in a broadcast block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -37,71 +39,77 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items as sorted hashes of word numbers, by length."""
+    """The windows of some items by length: sorted hashes of word numbers, where each window stands, and whose it is."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, items: list[tuple[str, bytes | None]], size: int):
         self.vocabulary: dict[bytes, int] = {}
         self.names = sorted({name for name, _ in items})
         at = {name: i for i, name in enumerate(self.names)}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        flat, starts, lengths, owners = array("i"), [], [], []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            n = min(size, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                owners.setdefault(tuple(ids[i : i + n]), set()).add(at[name])
-        self.by_length: list[tuple[int, np.ndarray, np.ndarray, list[list[int]]]] = []
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        for n in sorted({len(w) for w in owners}):
-            rows = [w for w in owners if len(w) == n]
-            matrix = np.array(rows, np.int64)
-            while len(np.unique(self.hashes(matrix))) < len(rows):  # one hash for each window
-                self.base += np.uint64(2)
-                self.by_length = [(k, *self._sorted(m, o)) for k, _, m, o in self.by_length]
-            self.by_length.append((n, *self._sorted(matrix, [sorted(owners[w]) for w in rows])))
-
-    def _sorted(self, matrix: np.ndarray, owners: list[list[int]]):
-        h = self.hashes(matrix)
-        order = np.argsort(h)
-        return h[order], matrix[order], [owners[i] for i in order.tolist()]
-
-    def hashes(self, matrix: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(matrix), np.uint64)
-        for k in range(matrix.shape[1]):
-            h = h * self.base + matrix[:, k].astype(np.uint64)
+            words = words_of(text)
+            starts.append(len(flat))
+            lengths.append(len(words))
+            owners.append(at[name])
+            flat.extend([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
+        self.flat, starts, lengths, owners = np.array(flat, np.int32), np.array(starts, np.int64), np.array(lengths, np.int64), np.array(owners, np.int64)
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(np.minimum(lengths[lengths > 0], size)).tolist():
+            mine = np.flatnonzero(np.minimum(lengths, size) == n)
+            windows = lengths[mine] - n + 1
+            where = np.repeat(starts[mine] - exclusive(windows), windows) + np.arange(windows.sum())
+            whose, h = np.repeat(owners[mine], windows), self.hashes(self.flat, where, n)
+            order = np.lexsort((whose, h))
+            where, whose, h = where[order], whose[order], h[order]
+            # Of equal windows of one item the first is enough.
+            again = np.flatnonzero((h[1:] == h[:-1]) & (whose[1:] == whose[:-1]))
+            again = again[self.same(self.flat, where[again + 1], where[again], n)] + 1
+            keep = np.ones(len(h), bool)
+            keep[again] = False
+            self.by_length.append((n, h[keep], where[keep].astype(np.int32), whose[keep].astype(np.int32)))
+
+    def hashes(self, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        h = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            h = h * self.BASE + ids[at + k].astype(np.uint64)
         return h
 
-    def find(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[int]]]:
-        """First word and number of words of each text, which words are hit, and the items found in each text."""
-        get, flat, counts = self.vocabulary.get, [0], []
-        for text in texts:
-            words = words_of(text)
-            flat += [get(w, 0) for w in words]
+    def same(self, ids: np.ndarray, at: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+        """Whether the ``n`` ids at each place are the words of the window that stands at ``where``."""
+        out = np.ones(len(at), bool)
+        for k in range(n):
+            out &= ids[at + k] == self.flat[where + k]
+        return out
+
+    def find(self, words: list[list[bytes]]) -> tuple[np.ndarray, list[set[str]]]:
+        """Which words of some texts are hit, one text after another, and the items found in each text."""
+        get, flat, counts = self.vocabulary.get, [0], np.array([len(w) for w in words], np.int64)
+        for own in words:
+            flat += [get(w, 0) for w in own]
             flat.append(0)  # no window reaches into the next text
-            counts.append(len(words))
-        ids, counts = np.array(flat, np.int64), np.array(counts, np.int64)
-        starts = 1 + np.cumsum(counts + 1) - (counts + 1)
+        ids, starts = np.array(flat, np.int64), 1 + exclusive(counts + 1)
         known = np.append(0, np.cumsum(ids > 0))
-        marks = np.zeros(len(ids) + 1, np.int64)
-        found: list[set[int]] = [set() for _ in texts]
-        for n, hashes, matrix, owners in self.by_length:
+        marks, found = np.zeros(len(ids) + 1, np.int64), [set() for _ in words]
+        for n, hashes, where, whose in self.by_length:
             if len(ids) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
-            if not len(at):
-                continue
-            h = np.zeros(len(at), np.uint64)
-            for k in range(n):
-                h = h * self.base + ids[at + k].astype(np.uint64)
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            at, place = at[hit := hashes[place] == h], place[hit]
-            for k in range(n):
-                same = ids[at + k] == matrix[place, k]
-                at, place = at[same], place[same]
+            h = self.hashes(ids, at, n)
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            at, low, many = at[hit := high > low], low[hit], (high - low)[hit]
+            # every window with that hash, verified word by word
+            place = np.repeat(low - exclusive(many), many) + np.arange(many.sum())
+            at = np.repeat(at, many)
+            fine = np.flatnonzero(self.same(ids, at, where[place].astype(np.int64), n))
+            at, place = at[fine], place[fine]
             np.add.at(marks, at, 1)
             np.add.at(marks, at + n, -1)
-            for doc, p in zip((np.searchsorted(starts, at, "right") - 1).tolist(), place.tolist(), strict=True):
-                found[doc].update(owners[p])
-        return starts, counts, np.cumsum(marks[:-1]) > 0, found
+            both = np.unique(np.searchsorted(starts, at, "right") - 1 << 32 | whose[place].astype(np.int64))
+            for doc, item in zip((both >> 32).tolist(), (both & 0xFFFFFFFF).tolist(), strict=True):
+                found[doc].add(self.names[item])
+        return ragged_take(np.cumsum(marks[:-1]) > 0, starts, counts), found
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes | None]]]:
@@ -116,26 +124,22 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 
 
-def _find(batches, windows, text_col: str, finish):
-    """Adds what one block of windows finds to what earlier ones found; ``finish`` makes the output."""
-    windows = windows.value
+def _find(batches, blocks, text_col: str, finish):
+    """Looks for the windows of one block after another; a worker holds one block at a time. ``finish`` makes the output."""
     for batch in batches:
-        for some in slices(batch, text_col, 4 << 20):
+        for some in slices(batch, text_col, 4 << 20 if len(blocks) == 1 else 16 << 20):
             texts = bytes_of(some, text_col)
-            starts, counts, hit, found = windows.find(texts)
-            names = [[windows.names[i] for i in f] for f in found]
-            if (k := some.schema.get_field_index("__found")) >= 0:
-                names = [a + b for a, b in zip(names, some.column(k).to_pylist(), strict=True)]
-                for s, n, old in zip(starts.tolist(), counts.tolist(), column(some, "__hit").to_pylist(), strict=True):
-                    if old:
-                        hit[s : s + n] |= np.unpackbits(np.frombuffer(old, np.uint8), count=n).astype(bool)
-            yield finish(some, texts, starts, counts, hit, names)
-
-
-def _carry(batch, texts, starts, counts, hit, names):
-    bits = [np.packbits(h).tobytes() if (h := hit[s : s + n]).any() else None for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
-    out = batch.select([n for n in batch.schema.names if n not in ("__hit", "__found")])
-    return out.append_column("__hit", pa.array(bits, pa.binary())).append_column("__found", pa.array(names, pa.list_(pa.string())))
+            words = [words_of(t) for t in texts]
+            counts = np.array([len(w) for w in words], np.int64)
+            hit, found = np.zeros(counts.sum(), bool), [set() for _ in words]
+            for block in blocks:
+                own, names = block.value.find(words)
+                hit |= own
+                for a, b in zip(found, names, strict=True):
+                    a |= b
+                if len(blocks) > 1:
+                    vars(block).pop("_value", None)  # read again from its file when it is wanted again
+            yield finish(some, texts, exclusive(counts), counts, hit, found)
 
 
 def _hits(starts, counts, hit) -> np.ndarray:
@@ -169,19 +173,13 @@ def _clean(batch, texts, starts, counts, hit, names, one_in: int, text_col: str,
             new[i] = b"".join([*kept, texts[i][at:]]).decode()
         k = batch.schema.get_field_index(text_col)
         out = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
-    return out.select([n for n in out.schema.names if n not in ("__hit", "__found")])
+    return out
 
 
 def _pass(docs: DataFrame, benchmark: DataFrame, size: int, item_col: str, item_text_col: str, text_col: str, block_bytes: int, finish, schema) -> DataFrame:
-    sc, fields = docs.sparkSession.sparkContext, docs.schema
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    block = next(blocks, [])
-    while True:
-        shared, block = sc.broadcast(Windows(block, size)), next(blocks, None)
-        if block is None:
-            return docs.mapInArrow(partial(_find, windows=shared, text_col=text_col, finish=finish), schema)
-        carried = StructType([*fields, StructField("__hit", BinaryType()), StructField("__found", ArrayType(StringType()))])
-        docs = docs.mapInArrow(partial(_find, windows=shared, text_col=text_col, finish=_carry), carried)
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(Windows(some, size)) for some in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    return docs.mapInArrow(partial(_find, blocks=blocks, text_col=text_col, finish=finish), schema)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
