@@ -14,23 +14,48 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) is a folder of this machine
-    taken, and then set for the session's checkpoints too.
+    Only in a local session that names none (tests) is a folder of this machine
+    taken, and then set for the session's checkpoints too; on a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeweave-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, which ``clean`` removes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for a table that nothing reads any more."""
+    for path in [p for p in _MADE if any(p.rsplit("/", 1)[1] in f.split("/") for f in table.inputFiles()[:1])]:
+        _MADE.remove(path)
+        _remove(table.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that this process has written to the shared folder; results not yet read can't be read after it."""
+    while _MADE:
+        _remove(spark, _MADE.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

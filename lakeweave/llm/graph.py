@@ -11,7 +11,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import cached, materialize
+from .common import cached, forget, materialize
 
 #: Links in a file of a round's table.
 FILE_ROWS = 200_000
@@ -37,8 +37,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links, state = start, (start.count(), None)
     for _ in range(most_rounds):
         few = 1 + state[0] // FILE_ROWS
-        links = materialize(_small_star(_large_star(links)).distinct().coalesce(few), "links")
+        last, links = links, materialize(_small_star(_large_star(links)).distinct().coalesce(few), "links")
         start.unpersist()
+        if last is not start:
+            forget(last)
         row = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 24)).alias("h")).first()
         if (row["n"], row["h"]) == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v").distinct())

@@ -13,7 +13,9 @@ fingerprint, and links come out as stars, at most one per fingerprint.
 Nulls: null, empty and blank texts have the fingerprint zero. Copies meet in one
 fingerprint before any comparison, so groups of any size cost one row. A null
 id counts as no id: a component's id is the smallest that isn't null. Other
-columns are not read. An empty table gives no rows.
+columns are not read, kept by ``keep_one``, and may have any names. Of rows with the
+same id and text one stays. Texts of any length are hashed whole, in runs of
+shingles. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, cached, column, lower_ascii, numbers_of, record_batch, slices
+from .common import bytes_of, column, fresh, lower_ascii, materialize, numbers_of, record_batch, slices
 from .graph import components
 
 SEED = 42
@@ -91,25 +93,31 @@ def _split(x: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int] | N
 
 
 class Tree:
-    """The top of a tree over one half; leaves are numbered."""
+    """The top of a tree over one half; leaves are numbered.
+
+    Where all fingerprints of a node have the same half, it is split by the whole
+    fingerprint, with the whole radius.
+    """
 
     def __init__(self, sample: np.ndarray, half: int, depth: int, seed: int = 5):
         self.half, self.leaves = half, 0
         rng = np.random.default_rng(seed + half)
 
-        def grow(x: np.ndarray, depth: int):
-            if depth and len(x) > 16 and (at := _split(x, rng)):
-                inside = np.bitwise_count(x ^ at[0]) <= at[1]
-                return (*at, grow(x[inside], depth - 1), grow(x[~inside], depth - 1))
-            self.leaves += 1
-            return self.leaves - 1
+        def grow(x: np.ndarray, part: int, depth: int):
+            at = _split(_half(x, part), rng) if depth and len(x) > 16 else None
+            if at is None and depth and len(x) > 16 and part < 2:
+                return grow(x, 2, depth)
+            if at is None:
+                self.leaves += 1
+                return self.leaves - 1
+            inside = np.bitwise_count(_half(x, part) ^ at[0]) <= at[1]
+            return (*at, part, grow(x[inside], part, depth - 1), grow(x[~inside], part, depth - 1))
 
-        self.root = grow(_half(sample, half), depth)
+        self.root = grow(sample, half, depth)
 
     def deal(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, leaf and whether it is the row's home, for every leaf that a row lives in or visits."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        x = _half(fps, self.half)
 
         def go(node, rows: np.ndarray, home: np.ndarray) -> None:
             if not len(rows):
@@ -117,13 +125,14 @@ class Tree:
             if isinstance(node, int):
                 out.append((rows, np.full(len(rows), node), home))
                 return
-            v, mu, low, high = node
-            d = np.bitwise_count(x[rows] ^ v).astype(np.int64)
+            v, mu, part, low, high = node
+            near = radius if part == 2 else radius // 2
+            d = np.bitwise_count(_half(fps[rows], part) ^ v).astype(np.int64)
             inside = d <= mu
             # A row that lives outside visits the inside, never the other way round: each pair meets once.
-            into = (home & inside) | (d - radius <= mu) & ~(home & inside)
+            into = (home & inside) | (d - near <= mu) & ~(home & inside)
             go(low, rows[into], (home & inside)[into])
-            out_of = (home & ~inside) | ~home & (d + radius > mu)
+            out_of = (home & ~inside) | ~home & (d + near > mu)
             go(high, rows[out_of], home[out_of])
 
         go(self.root, np.arange(len(fps)), np.ones(len(fps), bool))
@@ -191,7 +200,7 @@ def _deal(batches, trees, radius: int):
     for batch in batches:
         fps = numbers_of(batch, "fp").view(np.uint64)
         for tree in trees.value:
-            rows, leaf, home = tree.deal(fps, radius // 2)
+            rows, leaf, home = tree.deal(fps, radius)
             yield record_batch(schema, [2 * leaf + tree.half, fps[rows].view(np.int64), home])
 
 
@@ -213,12 +222,13 @@ def link(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, shard: int
     """Links (a, b) between distinct fingerprints that join all pairs within ``radius`` bits into the same sets.
 
     ``distinct`` has a column ``fp`` without repeats. The sample is the first ones
-    by hash; only it reaches the driver.
+    whose hash lies below a bound; only it reaches the driver.
     """
     spark = distinct.sparkSession
     n = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
-    some = [r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
+    below = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(n, 1))))
+    some = sorted(r["fp"] for r in distinct.where(below).select("fp").collect()) if depth else []
     some = np.array(some, np.int64).view(np.uint64)
     trees = spark.sparkContext.broadcast([Tree(some, half, depth) for half in (0, 1)])
     dealt = distinct.select("fp").mapInArrow(partial(_deal, trees=trees, radius=radius), "shard long, fp long, home boolean")
@@ -227,9 +237,9 @@ def link(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, shard: int
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its fingerprint (16 hex digits), and the smallest id it reaches over links; also what picks one row of a group."""
-    own = cached(fingerprints(docs, width, id_col, text_col))
+    own = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    distinct = cached(own.groupBy("fp").agg(first))
+    distinct = materialize(own.groupBy("fp").agg(first), "distinct")
     roots = components(link(distinct, radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("of"))
@@ -240,8 +250,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id of each group, all columns."""
     found = near_duplicates(docs, radius, width, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))).select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    keys = fresh(docs, "kept_id", "kept_hash")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))).select(F.coalesce("doc_id", F.lit(0)).alias(keys[0]), F.col("text_hash").alias(keys[1])).distinct()
     own = F.col(id_col).cast("long")
-    docs = docs.withColumns({"__id": F.coalesce(own, F.lit(0)), "__hash": F.xxhash64(own.isNull(), F.col(text_col).cast("string"))})
+    docs = docs.withColumns({keys[0]: F.coalesce(own, F.lit(0)), keys[1]: F.xxhash64(own.isNull(), F.col(text_col).cast("string"))})
     # Both steps have the same keys, so the texts are shuffled once.
-    return docs.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    return docs.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

@@ -55,6 +55,22 @@ def test_decontamination(spark, block_bytes):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in found) == sorted(want)
 
 
+def test_benchmark_blocks_are_compact_and_seen_one_by_one(spark):
+    import pickle
+
+    rng = random.Random(5)
+    items = [(str(i), " ".join("%x" % rng.randrange(1 << 20) for _ in range(400)).encode()) for i in range(400)]
+    text = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontam.Windows(items, 13))) < 12 * text
+    docs = [(i, " ".join(t.decode().split()[k : k + 30])) for i, (_, t) in enumerate(items) for k in (0, 200)] + [(-1, "x " * 300_000 + items[3][1].decode())]
+    bench = spark.createDataFrame([(int(i), t.decode()) for i, t in items], "item_id long, text string")
+    clashing = frame(spark, docs).withColumns({c: F.lit("1") for c in ("__hit", "__found", "items")})
+    got = decontam.judge(clashing, bench, 13, 20, block_bytes=text // 7).collect()
+    assert all(r["n_hit"] == (30 if r["doc_id"] >= 0 else 400) and r["items"] == [str(r["doc_id"] if r["doc_id"] >= 0 else 3)] for r in got)
+    kept = decontam.decontaminate(clashing, bench, 13, 20, block_bytes=text // 7)
+    assert kept.columns == clashing.columns and [r["doc_id"] for r in kept.collect()] == [-1]
+
+
 def test_decontamination_removes(spark):
     bench = spark.createDataFrame([(1, "the of alpha")], "item_id long, text string")
     docs = frame(spark, [(1, "Say: THE of, alpha! and more words that are not hit at all"), (2, "the of alpha"), (3, None), (4, "clean")])
@@ -286,8 +302,9 @@ def test_near_duplicates(spark):
     want = sorted((str(rows[k][0]), f"{fps[k]:016x}", least[group[k]]) for k in fps)
     got = simhash.near_duplicates(frame(spark, rows)).collect()
     assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in got) == want
-    kept = simhash.keep_one(frame(spark, rows))
-    assert kept.columns == frame(spark, rows).columns
+    clashing = frame(spark, rows).withColumns({c: F.lit(1) for c in ("kept_id", "KEPT_hash", "root", "node")})
+    kept = simhash.keep_one(clashing)
+    assert kept.columns == clashing.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
     assert simhash.near_duplicates(frame(spark, rows).where("false")).count() == 0
 
@@ -299,6 +316,8 @@ def test_trees_link_what_brute_force_links(seed):
     f = base[rng.integers(0, len(base), 900)]
     for _ in range(int(rng.integers(0, 5))):
         f = f ^ (np.uint64(1) << rng.integers(0, 64, len(f), dtype=np.uint64))
+    if seed % 3 == 0:  # a hot half
+        f[:500] = f[:500] & np.uint64(0xFFFFFFFF00000000) | np.uint64(77)
     f = np.unique(f)
     want = simhash.Stars(len(f))
     want.link(*np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3))
@@ -306,8 +325,10 @@ def test_trees_link_what_brute_force_links(seed):
         got = simhash.Stars(len(f))
         for half in (0, 1):
             tree = simhash.Tree(f[:300], half, depth)
-            at, leaf, home = tree.deal(f, 1)
+            at, leaf, home = tree.deal(f, 3)
             assert sorted(at[home]) == list(range(len(f)))
+            if seed % 3 == 0 and depth == 6:
+                assert np.bincount(leaf[home]).max() < 200
             for k in range(tree.leaves):
                 own = at[leaf == k]
                 stars = simhash.Stars(len(own))
