@@ -7,12 +7,18 @@ there and all can be undone. A visitor flattens typed parts in order: text as it
 is, others as a numbered placeholder, for which it records the reference and how
 many tokens the placeholder will take once expanded.
 
+Placeholders are numbered through a conversation, in the order of its turns. A part
+of an unknown kind gets the placeholder ``other`` and its own kind on record, with
+no tokens; a null part is as an empty text.
+
 The output has a row per turn, not per conversation, so a conversation of any
 length is written and read in a stream.
 
-Nulls: a null text or role is as an empty one; a null conversation id is a
-conversation of its own; a null turn comes first. Turns that tie are ordered by
-their formatted text. An empty table gives no rows. Other columns are not read.
+Nulls: a null text or role is as an empty one; rows with a null conversation id are
+one conversation; a null turn comes first. Turns that tie are ordered by their
+formatted text, and numbered by role and content. An empty table gives no rows.
+Very long texts are formatted whole. Other columns are not read, and may have any
+names.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from functools import partial
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType
 
 from .common import column, record_batch
 
@@ -33,6 +41,7 @@ _ESCAPED = re.compile(r"\\([\\|n])")
 _UNDO = {"\\": "\\", "|": "|", "n": "\n"}
 #: Tokens that attachments expand to: per image patch side, per second of audio, per page of a document.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
+KINDS = ("text", "image", "audio", "document")
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 ROW = "conv_id long, turn long, segment string, mask_start long, mask_length long, attachments array<struct<ordinal:int,kind:string,ref:string,tokens:long>>"
 
@@ -48,16 +57,14 @@ def unescape(text: str) -> str:
 class Flatten:
     """Visits the parts of a turn in order."""
 
-    def __init__(self) -> None:
+    def __init__(self, first: int = 1) -> None:
         self.out: list[str] = []
         self.attachments: list[dict] = []
+        self.first = first
 
-    def visit(self, part: dict) -> None:
-        kind = part.get("type") or "text"
-        visitor = getattr(self, f"visit_{kind}", None)
-        if visitor is None:
-            raise ValueError(f"unknown kind of part: {kind}")
-        visitor(part)
+    def visit(self, part: dict | None) -> None:
+        kind = (part or {}).get("type") or "text"
+        getattr(self, f"visit_{kind}" if kind in KINDS else "visit_other")(part or {})
 
     def visit_text(self, part: dict) -> None:
         self.out.append(escape(part.get("text") or ""))
@@ -71,17 +78,21 @@ class Flatten:
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, (part.get("pages") or 1) * PAGE_TOKENS)
 
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 0)
+
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.attachments.append({"ordinal": len(self.attachments) + 1, "kind": kind, "ref": part.get("ref"), "tokens": tokens})
-        self.out.append(f"<|{kind}_{len(self.attachments)}|>")
+        ordinal = self.first + len(self.attachments)
+        self.attachments.append({"ordinal": ordinal, "kind": part["type"] if kind == "other" else kind, "ref": part.get("ref"), "tokens": tokens})
+        self.out.append(f"<|{kind}_{ordinal}|>")
 
 
 def _format(batches, trained: str):
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("segment", pa.string()), ("mask_start", pa.int64()), ("mask_length", pa.int64()), ("attachments", pa.list_(pa.struct([("ordinal", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])))])
     for batch in batches:
         segments, starts, lengths, attached = [], [], [], []
-        for role, content in zip(column(batch, "role").to_pylist(), column(batch, "content").to_pylist(), strict=True):
-            visitor = Flatten()
+        for role, content, first in zip(column(batch, "role").to_pylist(), column(batch, "content").to_pylist(), column(batch, "first").to_pylist(), strict=True):
+            visitor = Flatten(first)
             for part in content if isinstance(content, list) else [{"type": "text", "text": content}]:
                 visitor.visit(part)
             body, head = "".join(visitor.out), START + escape(role or "").replace("\n", "\\n") + "\n"
@@ -97,7 +108,14 @@ def format_chat(turns: DataFrame, trained: str = "assistant", content_col: str =
 
     The mask is the content of turns whose role is ``trained``, in code points of the segment.
     """
-    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col(content_col).alias("content"))
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col(content_col).alias("content"), F.lit(1).alias("first"))
+    if isinstance(turns.schema[content_col].dataType, ArrayType):
+        # What stands in earlier turns of the conversation; texts alone need no shuffle.
+        some = F.coalesce(F.size(F.filter("content", lambda p: F.coalesce(p["type"], F.lit("text")) != "text")), F.lit(0))
+        before = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", F.xxhash64(F.to_json("content"))).rowsBetween(W.unboundedPreceding, -1)
+        attached = own.where(some > 0)
+        counted = attached.withColumn("first", (1 + F.coalesce(F.sum(some).over(before), F.lit(0))).cast("int"))
+        own = own.where(some <= 0).unionByName(counted)
     return own.mapInArrow(partial(_format, trained=trained), ROW)
 
 

@@ -85,7 +85,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = workspace(spark, "chat")
-    chat.format_chat(turns).write.parquet(out)
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
+    parts = F.array(F.struct(F.lit("text").alias("type"), F.col("text"), *nothing))
+    chat.format_chat(turns.withColumn("parts", parts), content_col="parts").write.parquet(out)
     return chat.read_digests(spark.read.schema(chat.ROW).parquet(out))
 
 

@@ -371,7 +371,7 @@ def test_languages(spark):
 
 
 def test_evidence_is_weighed(spark):
-    model = langid.Languages([("aa", b"aba aba baa"), ("bb", b"xyz zyx yxz")])
+    model = langid.Languages.of([("aa", b"aba aba baa"), ("bb", b"xyz zyx yxz")])
     schema = "id long, text string, markup boolean, declared string, suffix string, host string"
     rows = [(i, "aba aba" if i % 2 else "xyz zyx", True, "A" if i % 2 else "B", None, "h1" if i % 2 else "h2") for i in range(40)]
     rows += [(100, None, True, "A", None, None), (101, "", True, None, None, "h2"), (102, None, True, None, None, None), (None, "aba", True, None, "com", "h2")]
@@ -386,6 +386,59 @@ def test_evidence_is_weighed(spark):
 def test_visible_text():
     html = b"<html><script>var t='</p>';</script><style>p{}</style><!-- x --><p class=a>Hi <b>you</b></p>"
     assert langid.visible(html).split() == [b"Hi", b"you"]
+    assert langid.visible(b"a <script> b <i>c</i> <!-- d") == b"a   b  c  <!-- d" and langid.visible(b"1 < 2") == b"1 < 2"
+
+
+@pytest.mark.parametrize("hostile", [b"<script", b"<!--", b"<style>", b"<", b"<!-- <script> "])
+def test_a_hostile_page_takes_one_pass(hostile):
+    import time
+
+    began = time.time()
+    langid.visible(hostile * ((1 << 20) // len(hostile)))
+    assert time.time() - began < 5
+
+
+def test_posteriors_equal_their_definition(spark):
+    """All kinds of evidence by plain loops, the row's own part of its host's prior taken out."""
+    rng = random.Random(12)
+    model = langid.Languages.of([("aa", b"aba aba baa"), ("bb", b"xyz zyx yxz"), ("cc", b"kiki koko kuku")])
+    rows = []
+    for i in range(150):
+        text = " ".join(rng.choice(["aba", "xyz", "kiki", "zyx", "koko"]) for _ in range(rng.randint(0, 4)))
+        host = rng.choice(["a.x.de", "b.x.de", "x.de", "y.com", None])
+        rows.append((i, text or None, True, rng.choice(["A", "B", None]), host and host.rsplit(".", 1)[1], host))
+    rows.append(rows[3])
+    df = spark.createDataFrame(rows, "id long, text string, markup boolean, declared string, suffix string, host string").withColumns({c: F.lit("1") for c in ("logs", "score", "base", "lang")})
+    own = [np.exp(e := model.evidence(t and t.encode())) / np.exp(e).sum() for _, t, *_ in rows]
+    total = sum(own)
+    base = (total + 1) / (total.sum() + 3)
+    domain = lambda h: ".".join(h.split(".")[-2:])
+
+    def rate(k, value):
+        s = sum((p for p, r in zip(own, rows, strict=True) if r[k] == value), np.zeros(3))
+        return np.log((s + 0.01) / (total + 1))
+
+    want = []
+    for p, (i, t, _, declared, suffix, host) in zip(own, rows, strict=True):
+        score = model.evidence(t and t.encode()) + (rate(3, declared) if declared else 0) + (rate(4, suffix) if suffix else 0)
+        prior = base
+        if host:
+            near = sum(q for q, r in zip(own, rows, strict=True) if r[5] and domain(r[5]) == domain(host))
+            near = (near + 32 * base) / (near.sum() + 32)
+            same = sum(q for q, r in zip(own, rows, strict=True) if r[5] == host)
+            prior = (same - p + 8 * near) / (same.sum() - 1 + 8)
+        score = score + np.log(prior)
+        post = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        want.append((i, model.names[int(np.argmax(score))], round(float(post.max()), 6)))
+    got = [(r["id"], r["language"], round(r["posterior"], 6)) for r in langid.identify(df, model).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_many_languages_all_have_a_model(spark):
+    docs = spark.createDataFrame([(100 * k + i, f"w{k}x w{k}y " * 5, f"l{k:03d}") for k in range(90) for i in range(4)], "doc_id long, text string, lang string")
+    assert len(langid.fit(docs).names) == 90
+    some = langid.fit(docs, sample=2)
+    assert some.names == langid.fit(docs.orderBy(F.desc("doc_id")), sample=2).names
 
 
 def test_digest_of_no_items():

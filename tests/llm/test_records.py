@@ -94,8 +94,17 @@ def test_parts_are_flattened(spark):
     r = chat.format_chat(df).first()
     assert r["segment"] == "<|im_start|>user\nsee <\\|<|image_1|><|audio_2|><|document_3|><|im_end|>\n"
     assert [(a["ordinal"], a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(1, "image", "i.png", 3), (2, "audio", "a.wav", 63), (3, "document", "d.pdf", 1024)]
-    with pytest.raises(ValueError):
-        chat.Flatten().visit({"type": "video"})
+
+
+def test_placeholders_are_numbered_through_a_conversation(spark):
+    image, odd = {"type": "image", "ref": "i"}, {"type": "video", "ref": "v"}
+    rows = [(1, 0, "user", [image, None, image]), (1, 2, "user", [{"type": "text", "text": "t"}, odd]), (1, 1, "assistant", [{"type": "text", "text": "x" * 300_000}]), (2, 0, "user", [image]), (1, 3, "user", None), (1, 4, "user", [image]), (None, 0, "user", [image])]
+    text = [json.dumps({"conv_id": c, "turn": t, "role": r, "parts": p}) for c, t, r, p in rows]
+    df = spark.read.schema(f"conv_id long, turn long, role string, parts array<{chat.PART}>").json(spark.sparkContext.parallelize(text)).selectExpr("*", "'z' as first", "1 as segment")
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(df, content_col="parts").collect()}
+    body = lambda k: got[k]["segment"].split("\n", 1)[1].removesuffix(chat.STOP)
+    assert body((1, 0)) == "<|image_1|><|image_2|>" and body((1, 2)) == "t<|other_3|>" and body((1, 4)) == "<|image_4|>" and body((2, 0)) == body((None, 0)) == "<|image_1|>" and body((1, 3)) == ""
+    assert [(a["ordinal"], a["kind"], a["tokens"]) for a in got[1, 2]["attachments"]] == [(3, "video", 0)] and len(got) == len(rows) and got[1, 1]["mask_length"] == 300_000
 
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
