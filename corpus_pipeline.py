@@ -1,7 +1,18 @@
 """A training corpus from documents, in stages that are each written and read again.
 
 Rejected and repeated documents go, contaminated ones too; the rest is packed.
-Every stage but the last returns the columns it gets.
+Every stage but the last returns the columns it gets, whatever their names.
+
+Nulls: a document without words is rejected by the first stage; a null language is
+judged by the model of all; a null id is not trusted as a label, counts after all
+other ids in a group of near-duplicates, and is packed as null. Rows with the same
+id are judged one by one, and of those with the same id and text one stays. Of a
+group, the smallest id stays. A document at a limit is kept. Without labels the
+first stage keeps all with words and the second goes by its base rules. An empty
+table passes all stages and gives no rows; texts of any length are read whole.
+
+Stages set the session's rows per batch for Python and leave it so, as their results
+are read later; ``run`` puts the caller's setting back.
 """
 
 from __future__ import annotations
@@ -19,8 +30,11 @@ from lakeweave.llm.tokens import public_path
 BATCH_ROWS, UNITS = 2000, 400_000
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +85,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)  # has read all texts when it returns
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
