@@ -39,7 +39,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, cached, column, materialize, record_batch, row_hash, slices
+from .common import bytes_of, cached, column, fresh, materialize, record_batch, row_hash, slices
 
 ORDER, BITS = 5, 40
 #: Begins and ends a text; white space within is written as single spaces.
@@ -355,7 +355,7 @@ def _scored(docs: DataFrame, judge: Judge, text_col: str, lang_col: str, finish,
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
     blocks, served, order, shards = 1 + total // block_bytes, judge.served(), judge.order, judge.shards
     copies = -(-blocks // (BLOCKS * shards))
-    own = docs.select("*", row_hash(docs).alias("row_hash")).mapInArrow(partial(_pack, blocks=blocks), "block long, data binary")
+    own = docs.select("*", row_hash(docs).alias(fresh(docs, "row_hash")[0])).mapInArrow(partial(_pack, blocks=blocks), "block long, data binary")
     asked = own.groupBy("block").applyInArrow(lambda rows: _ask(rows, text_col, lang_col, order, served, shards, copies), "part long, block long, lang string, keys binary")
     dealt = judge.rows.withColumn("part", F.explode(F.sequence(F.col("shard") * copies, F.col("shard") * copies + (copies - 1))))
     told = asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(lambda asked, model: _answer(asked, model, copies), "block long, shard long, lang string, logs binary")

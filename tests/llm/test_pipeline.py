@@ -85,3 +85,30 @@ def test_packed_sequences_hold_everything(stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got.collect()) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in stages["best_fit_packing"][2])
+
+
+def test_run_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    corpus_pipeline.run(spark, SF)
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == before
+
+
+CLASHING = ("block", "data", "row_hash", "kept_id", "kept_hash", "fp", "first", "root", "score", "counts", "good", "part", "length", "rank", "key")
+
+
+def test_stages_take_odd_rows_and_other_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None), (None, "a null id with some words of its own and more"), (1, None), (2, ""), (3, " \n "), (4, "word " * 60_000), (5, "same row"), (5, "same row")]
+    odd = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as bigint) as n_chars")
+    docs = docs.unionByName(odd.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)], F.array(F.lit(1)).alias("list"), F.create_map(F.lit("a"), F.lit(1)).alias("map"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        rows = got.collect()
+        if name == "best_fit_packing":
+            ids_in = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect())
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows if r["piece"] == 0) == ids_in
+        else:
+            assert got.columns == docs.columns and rows
+            assert len([r for r in rows if r["doc_id"] == 5 and r["text"] == "same row"]) in ((1,) if name == "near_duplicates" else (0, 2))
+        assert stage(spark, docs.where("false"), SF).count() == 0
