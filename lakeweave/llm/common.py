@@ -58,11 +58,11 @@ def clean(spark: SparkSession) -> None:
         _remove(spark, _MADE.pop())
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = workspace(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

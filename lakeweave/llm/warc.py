@@ -267,7 +267,7 @@ def _joined(batches):
 
 def read_warc(spark: SparkSession, path: str, piece_bytes: int = PIECE) -> DataFrame:
     """The records of all archives below ``path``: ``RECORD``."""
-    pieces = materialize(_lines(spark, path).mapInArrow(partial(_pieces, most=piece_bytes), "file string, block long, seq long, size long, data binary"), "pieces")
+    pieces = materialize(_lines(spark, path).mapInArrow(partial(_pieces, most=piece_bytes), "file string, block long, seq long, size long, data binary"), "pieces", "zstd")
     plan = materialize(plan_pieces(pieces), "plan")
     planned = pieces.select("file", "block", "seq", "data").join(plan, ["file", "block", "seq"])
     whole = planned.where("entry < stop").select("data", "entry", "stop").mapInArrow(_records, RECORD)
