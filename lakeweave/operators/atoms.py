@@ -20,12 +20,25 @@ ATOMS = {
     "schema_matching": ("header_token_jaccard", "header_edit_similarity", "unique_ratio_sim", "missing_ratio_sim", "numeric_ratio_sim", "avg_len_ratio_sim", "value_jaccard", "value_containment_max"),
     "union_table_search": ("col_overlap_a2b_mean", "col_overlap_b2a_mean", "col_overlap_a2b_cov", "col_overlap_b2a_cov", "header_jaccard", "col_count_ratio", "row_count_ratio"),
 }
+#: Groups of atoms by name, and what a task uses if nothing is asked for.
+GROUPS: dict[str, dict[str, tuple[str, ...]]] = {
+    "joinable_table_search": {"jaccard_containment": ("jaccard", "containment_max"), "value_distribution": ("value_distribution",), "overlap_coverage": ("coverage_a", "coverage_b", "coverage_max"), "value_profile": ("unique_ratio_sim", "numeric_ratio_sim", "avg_len_ratio_sim"), "header_similarity": ("header_token_jaccard", "header_edit_similarity")},
+    "entity_matching": {"embedding_similarity": ("row_emb_cosine", "row_emb_l1_sim"), "row_value_overlap": ("row_value_jaccard", "row_value_containment_max", "row_token_jaccard"), "row_profile": ("row_nonempty_ratio", "row_numeric_ratio_sim", "row_avg_len_ratio"), "serial_value_alignment": ("row_serial_token_jaccard", "row_serial_edit_similarity", "row_numeric_value_overlap"), "ditto_proxy": ("row_serial_token_jaccard", "row_serial_edit_similarity", "row_numeric_value_overlap"), "serial_lexical_plus": ("row_serial_char3_jaccard", "row_serial_char4_jaccard", "row_token_idf_jaccard", "row_numeric_rel_diff_sim"), "header_alignment": ("row_header_jaccard", "row_header_value_exact_ratio", "row_header_token_jaccard")},
+    "schema_matching": {"header_similarity": ("header_token_jaccard", "header_edit_similarity"), "value_stats": ("unique_ratio_sim", "missing_ratio_sim", "numeric_ratio_sim", "avg_len_ratio_sim"), "value_overlap": ("value_jaccard", "value_containment_max")},
+    "union_table_search": {"column_overlap": ("col_overlap_a2b_mean", "col_overlap_b2a_mean", "col_overlap_a2b_cov", "col_overlap_b2a_cov"), "header_jaccard": ("header_jaccard",), "table_size_ratio": ("col_count_ratio", "row_count_ratio")},
+}
+DEFAULTS = {
+    "entity_matching": ("embedding_similarity", "row_value_overlap", "row_profile"),
+    "joinable_table_search": ("jaccard_containment", "value_distribution", "overlap_coverage", "value_profile", "header_similarity"),
+    "union_table_search": ("column_overlap", "header_jaccard", "table_size_ratio"),
+    "schema_matching": ("header_similarity", "value_stats", "value_overlap"),
+}
 #: A column counts as covered from this overlap on.
 COVERED = 0.1
 
 
 def resolve(task: str, tokens: list[str], groups: dict[str, tuple[str, ...]] | None = None) -> list[str]:
-    """Atom names for tokens, each an atom or a group of them.
+    """Atom names for tokens, each an atom or a group of them; the task's defaults for none.
 
     In entity matching the caller's order and repeats stay; elsewhere atoms come
     once, in their own order.
@@ -33,16 +46,37 @@ def resolve(task: str, tokens: list[str], groups: dict[str, tuple[str, ...]] | N
     if task not in ATOMS:
         raise ValueError(f"unknown task: {task}")
     out: list[str] = []
-    for token in tokens:
+    groups = GROUPS[task] | (groups or {})
+    for token in tokens or DEFAULTS[task]:
         if token in ATOMS[task]:
             out.append(token)
-        elif token in (groups or {}):
+        elif token in groups:
             out += groups[token]
         else:
             raise ValueError(f"unknown feature: {token}")
     return out if task == "entity_matching" else [a for a in ATOMS[task] if a in out]
 
 
+def keep_places(task: str, source: list[str], asked: list[str]) -> list[int]:
+    """Where in ``source`` the atoms asked for stand; one asked for twice takes its first two places. ``none`` and blanks ask for nothing."""
+    asked = [t.strip() for t in asked if t.strip() not in ("", "none")]
+    free: dict[str, list[int]] = {}
+    for i, name in enumerate(source):
+        free.setdefault(name, []).append(i)
+    wanted, out = resolve(task, asked) if asked else [], []
+    for atom in wanted:
+        if not free.get(atom):
+            raise ValueError(f"{atom} is asked for more often than the source has it: {source}")
+        out.append(free[atom].pop(0))
+    return out
+
+
+def keep(rows: DataFrame, task: str, source: list[str], asked: list[str], column: str = "features") -> DataFrame:
+    """Rows whose array of atoms, in the order of ``source``, has only those asked for; none are an empty array."""
+    places = keep_places(task, source, asked)
+    return rows.withColumn(column, F.array(*[F.col(column)[i] for i in places]) if places else F.array().cast("array<double>"))
+
+
 def _long_edit() -> Column:
     """Raw 3-grams of serial texts; those of the profile are the same but for texts that end in a blank."""
     raw = T.set_jaccard(T.raw_ngrams("pa.serial_text", 3), T.raw_ngrams("pb.serial_text", 3))

@@ -1,11 +1,13 @@
 """Evaluation of scored, labelled rows: counts, AUC, thresholds, elbow, mining.
 
-Scores are brought to their distinct values by a combining aggregate before any
-window runs, so windows are over distinct scores, not rows.
+Scores are brought to their distinct values by a combining aggregate, and running
+totals over these are split into ranges, so no window sees all of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,35 +41,89 @@ def _steps(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*by, "score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") != 1).cast("long")).alias("neg"))
 
 
+#: Ranges of scores over which running totals are split.
+RANGES = 64
+
+
+def running(rows: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds running totals up to and with each row, by rising ``order``: ``sums`` maps a new name to the column that it adds up.
+
+    Ranges of ``order`` are cut at approximate quantiles; each has its totals within,
+    and starts where those before it end, so no task sees all rows.
+    """
+    bounds = sorted(set(rows.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES))))
+    cut = sum((F.coalesce(F.col(order) > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    rows = rows.withColumn("range_no", cut)
+    keys = [*by, "range_no"]
+    inside = W.partitionBy(*keys).orderBy(order)
+    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    before = W.partitionBy(*by).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    starts = totals.select(*keys, *[F.coalesce(F.sum(f"{n}_all").over(before), F.lit(0)).alias(f"{n}_start") for n in sums])
+    out = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    same = [out[k].eqNullSafe(starts[k]) for k in keys]
+    joined = out.join(starts, same[0] if len(same) == 1 else reduce(lambda x, y: x & y, same)).select(*[out[c] for c in rows.columns if c != "range_no"], *[(out[n] + starts[f"{n}_start"]).alias(n) for n in sums])
+    return joined
+
+
+def _totals(rows: DataFrame, sums: dict[str, str], by: tuple[str, ...]) -> DataFrame:
+    """Adds each group's totals to its rows."""
+    totals = rows.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return rows.join(totals, list(by)) if by else rows.crossJoin(F.broadcast(totals))  # one row
+
+
 def auc(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve with ties at half; NaN for one class only."""
-    before = W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    steps = _steps(rows, by).withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    sums = steps.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    steps = running(_steps(rows, by), "score", {"upto": "neg"}, by)
+    sums = steps.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     both = F.col("p") * F.col("n")
     return sums.select(*by, F.when(both > 0, F.col("u") / F.when(both > 0, both)).otherwise(float("nan")).alias("auc"))
 
 
 def average_rank(rows: DataFrame, order: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """(…, score, n, avg_rank): the mean rank of each distinct score."""
-    counts = rows.groupBy(*by, order).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*by).orderBy(order))
-    return counts.withColumn("avg_rank", upto - (F.col("n") - 1) / 2)
+    counts = running(rows.groupBy(*by, order).agg(F.count(F.lit(1)).alias("n")), order, {"upto": "n"}, by)
+    return counts.select(*by, order, "n", (F.col("upto") - (F.col("n") - 1) / 2).alias("avg_rank"))
+
+
+def _swept(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Each distinct score with its counts as a threshold, and ``upto``: how many rows have it or less."""
+    steps = running(_steps(rows, by), "score", {"pos_upto": "pos", "neg_upto": "neg"}, by)
+    steps = _totals(steps, {"p": "pos", "n": "neg"}, by)
+    steps = steps.withColumns({"tp": F.col("p") - F.col("pos_upto") + F.col("pos"), "fp": F.col("n") - F.col("neg_upto") + F.col("neg")})
+    steps = steps.withColumns({"fn": F.col("p") - F.col("tp"), "tn": F.col("n") - F.col("fp"), "upto": F.col("pos_upto") + F.col("neg_upto")})
+    return steps.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
 def sweep(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts and rates at each distinct score taken as a threshold."""
-    down = W.partitionBy(*by).orderBy(F.desc("score"))
-    every = W.partitionBy(*by)
-    steps = _steps(rows, by).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(every), "n": F.sum("neg").over(every)})
-    steps = steps.withColumns({"fn": F.col("p") - F.col("tp"), "tn": F.col("n") - F.col("fp")})
-    return steps.select(*by, F.col("score").alias("threshold"), "tp", "fp", "fn", "tn", *[c.alias(n) for n, c in rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).items()])
+    return _swept(rows, by).select(*by, F.col("score").alias("threshold"), "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")
+
 
+def best_score_threshold(rows: DataFrame, by: tuple[str, ...] = (), most: int = 2048) -> DataFrame:
+    """The score with the best F1 as threshold; of equal ones the lowest.
 
-def best_score_threshold(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The score with the best F1 as threshold; of equal ones the lowest."""
-    w = W.partitionBy(*by).orderBy(F.desc(F.round("f1", 12)), "threshold")
-    return sweep(rows, by).withColumn("r", F.row_number().over(w)).where("r = 1").select(*by, "threshold", "f1")
+    Beyond ``most`` distinct scores the candidates are that many quantiles of all
+    rows, evenly spaced and interpolated. Each needs two neighbouring rows, which are
+    found by their rank.
+    """
+    steps = _swept(rows, by).withColumn("c", F.col("pos") + F.col("neg")).withColumn("one", F.lit(1))
+    steps = _totals(steps, {"rows": "c", "scores": "one"}, by)
+    last, gaps = F.col("rows") - 1, F.lit(most - 1).cast("long")
+    # Candidate i lies at rank i * last / gaps: between the rows of the whole ranks around it.
+    low, high = F.col("upto") - F.col("c"), F.col("upto") - 1
+    first = lambda rank: F.floor((rank * gaps + last - 1) / last).cast("long")
+    within = lambda a, b: F.when(first(a) <= F.least(first(b + 1) - 1, gaps), F.sequence(first(a), F.least(first(b + 1) - 1, gaps))).otherwise(F.array().cast("array<bigint>"))
+    own = F.transform(within(low, high), lambda i: F.struct(i.alias("i"), F.lit(0).alias("side")))
+    after = F.transform(within(F.greatest(low - 1, F.lit(0)), high - 1), lambda i: F.struct(i.alias("i"), F.lit(1).alias("side")))
+    many = steps.where(F.col("scores") > most).select(*by, "score", "f1", "rows", F.explode(F.concat(own, after)).alias("x")).select(*by, "score", "f1", "rows", "x.*")
+    pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    both = many.groupBy(*by, "i").agg(pick("score", 0).alias("s0"), pick("score", 1).alias("s1"), pick("f1", 0).alias("f0"), pick("f1", 1).alias("f1"), F.first("rows").alias("rows"))
+    share = (F.col("i") * last % gaps) / gaps
+    flat = (share == 0) | F.col("s1").isNull() | (F.col("s1") == F.col("s0"))
+    made = both.select(*by, F.when(flat, F.col("s0")).otherwise(F.col("s0") + share * (F.col("s1") - F.col("s0"))).alias("threshold"), F.when(flat, F.col("f0")).otherwise(F.col("f1")).alias("f1"))
+    few = steps.where(F.col("scores") <= most).select(*by, F.col("score").alias("threshold"), "f1")
+    best = few.unionByName(made).groupBy(*by).agg(F.max(F.struct(F.round("f1", 12).alias("near"), (-F.col("threshold")).alias("low"), F.col("f1").alias("f1"))).alias("b"))
+    return best.where("b is not null").select(*by, (-F.col("b.low")).alias("threshold"), "b.f1")
 
 
 def grid(rows: DataFrame, by: tuple[str, ...] = (), steps: int = 1000, places: int = 12) -> DataFrame:
@@ -100,13 +156,13 @@ def elbow(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     ones their value; scores that aren't finite don't count.
     """
     s = rows.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")))
-    counts = s.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("c"))
-    every, down = W.partitionBy(*by), W.partitionBy(*by).orderBy(F.desc("score"))
-    counts = counts.withColumns({"n": F.sum("c").over(every), "lo": F.min("score").over(every), "hi": F.max("score").over(every), "upto": F.sum("c").over(down)})
+    counts = running(s.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("c")), "score", {"below": "c"}, by)
+    span = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    counts = counts.join(span, list(by)) if by else counts.crossJoin(F.broadcast(span))  # one row
     # Among equal scores the last has the largest x.
-    x, y = (F.col("upto") - 1) / F.greatest(F.col("n") - 1, F.lit(1)), (F.col("score") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
-    counts = counts.withColumn("gain", F.when((F.col("n") >= 3) & (F.col("hi") > F.col("lo")), F.round(y - (1 - x), 12)).otherwise(-F.col("score")))
-    return counts.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("gain"), F.desc("score")))).where("r = 1").select(*by, F.col("score").alias("elbow"))
+    x, y = (F.col("n") - F.col("below") + F.col("c") - 1) / F.greatest(F.col("n") - 1, F.lit(1)), (F.col("score") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
+    gain = F.when((F.col("n") >= 3) & (F.col("hi") > F.col("lo")), F.round(y - (1 - x), 12)).otherwise(-F.col("score"))
+    return counts.groupBy(*by).agg(F.max(F.struct(gain.alias("gain"), F.col("score").alias("elbow"))).alias("b")).where("b is not null").select(*by, "b.elbow")
 
 
 def take_ratio(n: int, ratio: float) -> int:
@@ -116,9 +172,27 @@ def take_ratio(n: int, ratio: float) -> int:
     return 0 if ratio <= 0 or not n else n if ratio >= 1 else max(1, min(n, math.ceil(n * ratio)))
 
 
+def best(rows: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+    """The ``k`` rows with the best scores, ties by id: all above the score at which they are full, and its first ones by number.
+
+    A share of all rows may be asked for, so they are cut off by rank, not sorted in one task.
+    """
+    if k <= 0:
+        return rows.where("false")
+    counts = running(rows.groupBy((-F.col("score")).alias("s")).agg(F.count(F.lit(1)).alias("c")), "s", {"upto": "c"})
+    full = counts.where(F.col("upto") >= k).agg(F.min("s").alias("s"), F.min_by(F.col("upto") - F.col("c"), "s").alias("above")).first()
+    if full["s"] is None:
+        return rows
+    at, score = -full["s"], F.col("score")
+    ties = rows.where(score == at)
+    ids = running(ties.groupBy(id_col).agg(F.count(F.lit(1)).alias("c")), id_col, {"upto": "c"})
+    some = ids.where(F.col("upto") - F.col("c") < k - full["above"]).select(id_col)
+    return rows.where(score > at).unionByName(ties.join(some, id_col, "left_semi"))
+
+
 def mine_top(rows: DataFrame, ratio: float, id_col: str = "id") -> DataFrame:
     """The best-scored share of rows; ties by id."""
-    return rows.orderBy(F.desc("score"), id_col).limit(take_ratio(rows.count(), ratio))
+    return best(rows, take_ratio(rows.count(), ratio), id_col)
 
 
 def mine_top_per(rows: DataFrame, ratio: float, by: tuple[str, ...], id_col: str = "id") -> DataFrame:
@@ -131,7 +205,7 @@ def mine_top_per(rows: DataFrame, ratio: float, by: tuple[str, ...], id_col: str
 def hard_negatives(rows: DataFrame, ratio: float, id_col: str = "id") -> DataFrame:
     """The best-scored negatives, as many as ``ratio`` times the positives (halves to even)."""
     n = rows.agg(F.sum((F.col("label") == 1).cast("long"))).first()[0] or 0
-    return rows.where("label = 0").orderBy(F.desc("score"), id_col).limit(round(n * ratio))
+    return best(rows.where("label = 0"), round(n * ratio), id_col)
 
 
 def summary(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

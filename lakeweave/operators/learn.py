@@ -38,6 +38,53 @@ def losses(p: Column, y: Column, positive: float = 1.0, gamma: float = 2.0) -> d
     return {"bce": -weight * F.log(right), "focal": -weight * F.pow(1 - right, F.lit(gamma)) * F.log(right)}
 
 
+def contrastive_loss(rows: DataFrame, batch: str, vector: str = "embedding", label: str = "label", temperature: float = 0.1) -> DataFrame:
+    """(batch, loss): for each positive, how little likelier other positives are than all of the batch; -1 labels don't count.
+
+    A training batch is small: its vectors meet as one array beside each of its rows.
+    """
+    own = rows.where(F.col(label) != -1).select(batch, F.col(label).cast("int").alias("y"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.monotonically_increasing_id().alias("k"))
+    held = own.groupBy(batch).agg(F.collect_list(F.struct("k", "y", "v")).alias("all"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / temperature
+    sims = held.select(batch, F.explode("all").alias("me"), "all").select(batch, "me", F.transform("all", lambda o: F.struct(o["k"].alias("k"), o["y"].alias("y"), dot(F.col("me.v"), o["v"]).alias("s"))).alias("sims"))
+    total = F.log(F.aggregate("sims", F.lit(0.0), lambda t, x: t + F.exp(x["s"])))
+    others = F.filter("sims", lambda x: (x["y"] == 1) & (x["k"] != F.col("me.k")))
+    mean = F.aggregate(others, F.lit(0.0), lambda t, x: t + x["s"] - total) / (F.size(others) + 1e-8)
+    loss = sims.where("me.y = 1").groupBy(batch).agg((-F.avg(mean)).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return held.select(batch).join(loss, batch, "left").select(batch, F.when(F.col("n") > 1, F.col("loss")).otherwise(0.0).alias("loss"))
+
+
+def train_early(train: DataFrame, validate: DataFrame, features: list[str], epochs: int = 120, patience: int = 20, rate: float = 0.5) -> tuple[list[float], list[dict]]:
+    """Weights (bias last) of a logistic scorer by steepest descent, and what each epoch gave.
+
+    An epoch is one combining aggregate over all training rows; positives weigh more
+    where they are rare. It ends after ``patience`` epochs without a better F1 at 0.5
+    on the validation rows, and gives back the weights of the best one.
+    """
+    train, validate = (d.select(F.col("label").cast("int").alias("label"), *features).persist() for d in (train, validate))
+    weights, best, history, waited = [0.0] * (len(features) + 1), None, [], 0
+    probability = lambda w: 1 / (1 + F.exp(-(sum((F.col(f) * x for f, x in zip(features, w, strict=False)), F.lit(w[-1])))))
+    positive = positive_weight(train)
+    for epoch in range(1, epochs + 1):
+        p = probability(weights)
+        gap = F.when(F.col("label") == 1, positive * (p - 1)).otherwise(p)
+        loss = losses(p, F.col("label"), positive)["bce"]
+        got = train.agg(F.avg(loss).alias("loss"), F.avg(gap).alias("b"), *[F.avg(gap * F.col(f)).alias(f"g{i}") for i, f in enumerate(features)]).first()
+        if got["loss"] is None:
+            break
+        weights = [w - rate * got[g] for w, g in zip(weights, [*(f"g{i}" for i in range(len(features))), "b"], strict=True)]
+        on, y = probability(weights) >= 0.5, F.col("label") == 1
+        n = validate.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in (("tp", on & y), ("fp", on & ~y), ("fn", ~on & y))]).first()
+        f1 = 2 * n["tp"] / d if (d := 2 * n["tp"] + n["fp"] + n["fn"]) else 0.0
+        history.append({"epoch": epoch, "loss": got["loss"], "f1": f1})
+        waited = 0 if best is None or f1 > best[0] else waited + 1
+        best = (f1, weights) if not waited else best
+        if waited >= patience:
+            break
+    train.unpersist(), validate.unpersist()
+    return (best[1] if best else weights), history
+
+
 def dense(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
     """A linear layer with given weights over an array column."""
     row = lambda w, b: F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, c: a * c), F.lit(float(b)), lambda s, v: s + v)

@@ -14,10 +14,10 @@ from pyspark.sql import Window as W
 
 from ..functions import generated
 from ..functions import text as T
-from ..operators import atoms, evaluate, graph, learn, profile, report, rerank
+from ..operators import atoms, encoder, evaluate, graph, learn, profile, report, rerank
 from ..sources import files, lake
 from ..streaming import scoring
-from . import expression, policy, specs
+from . import expression, policy, roles, specs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -608,11 +608,101 @@ def f4_value_tokens(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(T.value_tokens("url"))).alias("tokens"), F.length("url").cast("long").alias("n"))
 
 
+@query("SELECT substr(sha1(string_agg(least(o_orderkey, o_custkey) || ':' || greatest(o_orderkey, o_custkey) || ';', '' ORDER BY o_orderkey)), 1, 16) AS digest FROM orders")
+def a24_edge_digest(spark, sf_dir):
+    return files.edge_digest(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderkey")
+
+
 @query()
 def a24_pair_digest(spark, sf_dir):
     return files.pair_digest(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b")))
 
 
+@query("SELECT event_type, CAST(count(*) - count(DISTINCT user_id) AS BIGINT) AS hits, count(DISTINCT user_id) AS misses, (count(*) - count(DISTINCT user_id)) / CAST(count(*) AS DOUBLE) AS hit_ratio FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def a27_cache_hit_ratios(spark, sf_dir):
+    return files.hit_ratios(table(spark, sf_dir, "events").where("user_id is not null"), "event_type", ["user_id"])
+
+
+PRICED = "p AS (SELECT o_totalprice AS score, CAST(o_custkey % 3 = 0 OR o_totalprice > 200000 AS INT) AS label FROM orders)"
+
+
+@query(f"""WITH {PRICED}, u AS (SELECT count(DISTINCT score) AS n FROM p), c AS (SELECT DISTINCT score AS t FROM p, u WHERE n <= 2048 UNION SELECT unnest(q) FROM (SELECT quantile_cont(score, {[i / 2047 for i in range(2048)]}) AS q FROM p), u WHERE n > 2048),
+m AS (SELECT t, count(*) FILTER (label = 1) AS tp, count(*) FILTER (label = 0) AS fp FROM c JOIN p ON score >= t GROUP BY t), f AS (SELECT t, 2 * tp / CAST(tp + fp + (SELECT count(*) FILTER (label = 1) FROM p) AS DOUBLE) AS f1 FROM m)
+SELECT round(t, 3) AS threshold, round(f1, 9) AS f1 FROM f ORDER BY round(f1, 12) DESC, t LIMIT 1""")
+def t7_best_of_many_scores(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("double").alias("score"), ((F.col("o_custkey") % 3 == 0) | (F.col("o_totalprice") > 200000)).cast("int").alias("label"))
+    return evaluate.best_score_threshold(rows).select(F.round("threshold", 3).alias("threshold"), F.round("f1", 9).alias("f1"))
+
+
+@query("""WITH e AS (SELECT vec_id // 48 AS batch, vec_id, CAST(vec_id % 4 AS INT) - 1 AS y, embedding AS v FROM embeddings WHERE vec_id % 4 > 0),
+s AS (SELECT a.batch, a.vec_id AS i, b.vec_id AS j, a.y AS yi, b.y AS yj, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / 0.1::DOUBLE AS s FROM e a JOIN e b ON a.batch = b.batch),
+t AS (SELECT i, ln(sum(exp(s))) AS t FROM s GROUP BY 1), l AS (SELECT batch, i, sum(s - t) / (count(*) + 1e-8) AS m FROM s JOIN t USING (i) WHERE yi = 1 AND yj = 1 AND i <> j GROUP BY ALL)
+SELECT batch, round(coalesce(-avg(m), 0), 6) AS loss FROM (SELECT DISTINCT batch FROM e) LEFT JOIN l USING (batch) GROUP BY 1""")
+def g7_contrastive_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 48).alias("batch"), (F.col("vec_id") % 4 - 1).alias("label"), "embedding")
+    return learn.contrastive_loss(rows, "batch").select("batch", F.round("loss", 6).alias("loss"))
+
+
+@query()
+def g8_early_stopping(spark, sf_dir):
+    """What each epoch gives for a scorer of customers; few epochs, as each passes over all rows."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 10000).alias("x1"), (F.col("c_nationkey") / 25).alias("x2"), ((F.col("c_acctbal") / 10000 + F.col("c_custkey") % 3 / 10) > 0.5).cast("int").alias("label"))
+    _, history = learn.train_early(c.where("c_custkey % 5 < 4"), c.where("c_custkey % 5 = 4"), ["x1", "x2"], epochs=6, patience=3)
+    return spark.createDataFrame([(h["epoch"], round(h["loss"], 6), round(h["f1"], 6)) for h in history], "epoch int, loss double, f1 double")
+
+
+def fixed_weights(out: int, into: int, seed: int) -> encoder.Weights:
+    return [[((i * 3 + j * 5 + seed) % 7 - 3) / 10 for j in range(into)] for i in range(out)], [((i + seed) % 3 - 1) / 10 for i in range(out)]
+
+
+@query()
+def g4_g5_encoder_layer(spark, sf_dir):
+    """A layer of attention with edge vectors, and one of graph attention, each gated, over a ring of vectors."""
+    x = vectors(spark, sf_dir).select("node", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("embedding"))
+    edges = ring(spark, sf_dir).where("src >= 0").distinct().withColumn("edge", F.array(F.col("src") % 3 / 3.0, F.lit(0.5)))
+    w = {n: fixed_weights(4, 2 if n == "edge" else 4, k) for k, n in enumerate(("q", "k", "v", "edge", "out", "left", "right"))}
+    gate = [0.1, -0.2, 0.3, 0.0, 0.2, -0.1, 0.1, 0.05]
+    x = encoder.gated(x, encoder.attend(edges, x, w, 2), gate, 0.1)
+    x = encoder.gated(x, encoder.graph_attention(edges, x, w, [[0.3, -0.2], [0.1, 0.4]], [0.0] * 4, 2), gate, 0.1)
+    return x.select("node", F.posexplode("embedding").alias("pos", "x")).select("node", "pos", F.round("x", 7).alias("x"))
+
+
+@query(f"""WITH {EVIDENCE_SQL}, q AS (SELECT quantile_cont(degree_ratio, 0.8) AS q FROM e)
+SELECT id, round(CASE WHEN src_degree > 12 AND dst_degree >= 5 THEN 0.06 ELSE 0 END + CASE WHEN s_prior < 0.35 AND uncertainty BETWEEN 0.25 AND 0.65 AND dst_degree <= 6 THEN -0.04 ELSE 0 END + CASE WHEN degree_ratio >= q THEN 0.05 ELSE 0 END, 9)::DOUBLE AS delta FROM e, q""")
+def k11_replay(spark, sf_dir):
+    """Stored rows whose derived evidence has gone stale."""
+    stored = evidence(spark, sf_dir).withColumns({"uncertainty": F.lit(0.0), "degree_ratio": F.lit(-1.0)})
+    found = policy.replay(stored, policy.validate(POLICY, "entity_matching", EVIDENCE))
+    return found.select("id", F.round("delta", 9).alias("delta"))
+
+
+FAMILY_SQL = "CASE " + " ".join(f"WHEN k IN ({', '.join(repr(n) for n in names)}) THEN '{kind}'" for kind, names in roles.FAMILIES.items()) + " " + " ".join(f"WHEN regexp_matches(k, '{parts}') THEN '{kind}'" for kind, parts in roles.NAMED) + " ELSE 'general_similarity' END"
+
+
+@query(f"WITH n AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN ' Row_Profile ' WHEN 1 THEN p_name || '_Header_size' WHEN 2 THEN 'cell_ratio' WHEN 3 THEN 'col_count' WHEN 4 THEN p_name || ' size' ELSE 'plain' END AS name, CASE WHEN p_partkey % 11 = 0 THEN ' Own ' ELSE '' END AS told FROM part), k AS (SELECT *, lower(trim(name)) AS k FROM n) SELECT id, CASE WHEN trim(told) <> '' THEN lower(trim(told)) ELSE {FAMILY_SQL} END AS family FROM k")
+def f25_feature_families(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    kinds = {0: F.lit(" Row_Profile "), 1: F.concat("p_name", F.lit("_Header_size")), 2: F.lit("cell_ratio"), 3: F.lit("col_count"), 4: F.concat("p_name", F.lit(" size"))}
+    name = F.lit("plain")
+    for k, c in kinds.items():
+        name = F.when(F.col("p_partkey") % 6 == k, c).otherwise(name)
+    rows = p.select(F.col("p_partkey").alias("id"), name.alias("name"), F.when(F.col("p_partkey") % 11 == 0, " Own ").otherwise("").alias("told"))
+    return rows.select("id", roles.family("name", "told").alias("family"))
+
+
+GROUP_SQL = ", ".join(f"('{t}', '{','.join(a)}')" for groups in atoms.GROUPS.values() for t, a in groups.items())
+
+
+@query(f"""WITH g(token, a) AS (VALUES {GROUP_SQL}), c AS (SELECT DISTINCT token, CAST(NULL AS VARCHAR) AS formula FROM g UNION ALL SELECT 'part_' || p_partkey, 'expands_to=[' || p_brand || ', ' || p_size || ',]' FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'part_' || p_partkey, p_type FROM part WHERE p_partkey % 3 > 0)
+SELECT c.token, coalesce(max(g.a), max(regexp_replace(regexp_extract(c.formula, '^expands_to=.(.*).$', 1), ', *', ',', 'g').trim(','))) AS expands_to FROM c LEFT JOIN g ON g.token = c.token WHERE (g.token IS NOT NULL AND g.a <> g.token) OR (g.token IS NULL AND c.formula LIKE 'expands_to=%') GROUP BY 1""")
+def f26_group_tokens(spark, sf_dir):
+    known = spark.createDataFrame([(t,) for t in sorted({t for g in atoms.GROUPS.values() for t in g})], "token string").withColumns({"formula": F.lit(None).cast("string"), "range": F.lit(None).cast("string")})
+    p = table(spark, sf_dir, "part")
+    formula = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("expands_to=["), "p_brand", F.lit(", "), "p_size", F.lit(",]"))).otherwise(F.col("p_type"))
+    cards = p.select(F.concat(F.lit("part_"), "p_partkey").alias("token"), formula.alias("formula"), F.lit("0..1").alias("range"))
+    return roles.group_tokens(known.unionByName(cards)).select("token", F.array_join("expands_to", ",").alias("expands_to"))
+
+
 @query(f"WITH {VALUES}, {SHARES}, {PAIRS}, {COLUMN_PAIRS} SELECT 'jaccard' AS atom, avg(CAST(i > 0 AS DOUBLE)) AS hit_ratio FROM joined UNION ALL SELECT 'coverage_max', avg(CAST(i > 0 AS DOUBLE)) FROM joined UNION ALL SELECT 'any', avg(CAST(i > 0 AS DOUBLE)) FROM joined")
 def a15_p1_p3_hit_ratios(spark, sf_dir):
     c = cells(spark, sf_dir)
@@ -778,9 +868,13 @@ def k9_residual_features(spark, sf_dir):
     return e.select("id", F.round(rerank.residual_feature(F.col("degree_ratio"), 0.5, True), 9).alias("boundary"))
 
 
-@query(f"WITH {FEATURE_SQL} SELECT id, f1, f3 FROM f")
+@query(f"WITH {FEATURE_SQL} SELECT id, f1 AS k1, f3 AS k2, f2 AS k3 FROM f")
 def p2_decoder_keep(spark, sf_dir):
-    return features(spark, sf_dir).select("id", "f1", "f3")
+    """An atom that the source has twice is asked for twice, and gets both."""
+    source = ["row_value_jaccard", "row_token_jaccard", "row_value_jaccard"]
+    rows = features(spark, sf_dir).select("id", F.array("f1", "f2", "f3").alias("features"))
+    kept = atoms.keep(rows, "entity_matching", source, ["row_value_jaccard", "none", "row_value_jaccard", "row_token_jaccard"])
+    return kept.select("id", *[F.col("features")[i].alias(f"k{i + 1}") for i in range(3)])
 
 
 @query(f"""WITH {FEATURE_SQL}, c AS (SELECT id, greatest(f1, 0) AS c1, CASE WHEN f3 > 0 THEN f2 ELSE -f2 END AS c2 FROM f), m AS (SELECT avg(c1) AS m1, sqrt(greatest(avg(c1 * c1) - avg(c1) * avg(c1), 1e-12)) AS s1, avg(c2) AS m2, sqrt(greatest(avg(c2 * c2) - avg(c2) * avg(c2), 1e-12)) AS s2 FROM c WHERE id % 3 > 0)
@@ -792,11 +886,10 @@ def y9_standardised_channels(spark, sf_dir):
     return found.select("id", F.round("c1", 7).alias("c1"), F.round("c2", 7).alias("c2"))
 
 
-@query("SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions_per_user(spark, sf_dir):
-    s = scoring.sessions(table(spark, sf_dir, "events"), gap="36500 days")
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
-    return s.join(last, "user_id").select("user_id", "n", F.col("start").alias("first"), "last")
+    return scoring.sessions(table(spark, sf_dir, "events"), gap="6 hours").select("user_id", "start", "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass, replace
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from ..operators.atoms import evidence
+
 OPERATORS = (">", ">=", "<", "<=", "between", "in_top_band")
 
 
@@ -199,6 +201,12 @@ def delta_column(policy: Policy, options: Options = Options(), threshold: float
     return out - F.col("s_prior") if options.combine == "hard_override" and policy.rules else out
 
 
+def replay(stored: DataFrame, policy: Policy, options: Options = Options(), threshold: float = 0.5, name: str = "delta") -> DataFrame:
+    """Deltas worked out anew from an archive's scores, degrees and atoms: evidence that was derived from them is derived again."""
+    derived = ("uncertainty", "degree_ratio")
+    return apply(evidence(stored.drop(*derived)), policy, options, threshold, name)
+
+
 def apply(rows: DataFrame, policy: Policy, options: Options = Options(), threshold: float = 0.5, name: str = "delta") -> DataFrame:
     """Adds the delta; bands are over all rows, their cut-offs come from one aggregate."""
     bands = sorted({(c.feature, c.value) for r in relaxed(policy, options.relax).rules for c in r.conditions if c.op == "in_top_band"})
