@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -66,6 +67,22 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return a worker's unused memory to the system, as the worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _trim():
+    """The C library's own way to do so, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of the whole row, by which rows are dealt alike however often they are read."""
     flat = [f.name for f in df.schema if not _has_map(f.dataType)]

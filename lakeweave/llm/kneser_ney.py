@@ -39,18 +39,18 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, cached, column, fresh, materialize, record_batch, row_hash, slices
+from .common import bytes_of, cached, column, fresh, give_back, materialize, record_batch, row_hash, slices
 
 ORDER, BITS = 5, 40
 #: Begins and ends a text; white space within is written as single spaces.
 EDGE = 10
 _BLANKS = bytes(32 if c in b" \t\n\r\x0b\x0c" else c for c in range(256))
 #: Bytes that are looked at in one go, and bytes of text in a block.
-RUN, BLOCK_BYTES = 1 << 20, 8 << 20
+RUN, BLOCK_BYTES = 1 << 19, 8 << 20
 #: Rows of counts, before tasks' own are put together, in a shard; and blocks that ask one copy of it, for each shard there is.
 SHARD_ROWS, BLOCKS = 1_000_000, 8
 #: Distinct n-grams that a task holds before it gives its counts away.
-MOST_KEYS = 3_000_000
+MOST_KEYS = 1_500_000
 #: Trusted ids up to which their table is broadcast, at 8 bytes each.
 MOST_IDS = 4_000_000
 #: Steps of cross entropy per nat in histograms.
@@ -60,8 +60,8 @@ UNIFORM = 1 / 256
 
 def contexts(data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Length of the n-gram at each byte, up to ``order`` and back to the mark before; and its bytes as a number."""
-    at = np.arange(len(data))
-    edge = np.append(0, np.maximum.accumulate(np.where(data == EDGE, at, 0))[:-1])
+    at = np.arange(len(data), dtype=np.int32)
+    edge = np.append(np.int32(0), np.maximum.accumulate(np.where(data == EDGE, at, np.int32(0)))[:-1])
     size = np.minimum(at - edge + 1, order)
     code = np.zeros(len(data), np.int64)
     for k in range(order):
@@ -121,6 +121,7 @@ def _grams(batches, order: int):
     yield from given()
     for lang, n in docs.items():
         yield record_batch(schema, [[lang], [-1], [0], [n]])
+    give_back()
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -307,6 +308,7 @@ def _ask(table: pa.Table, text_col: str, lang_col: str, order: int, served, shar
     for lang, keys in _distinct(table, text_col, lang_col, order, served).items():
         shard = _shard(keys >> 8 & 0xFFFF, shards)
         rows += [(int(i) * copies + block % copies, block, lang, _packed(keys[shard == i])) for i in np.unique(shard)]
+    give_back()
     return _table(rows, schema)
 
 
@@ -319,6 +321,7 @@ def _answer(asked: pa.Table, model: pa.Table, copies: int) -> pa.Table:
     for part, block, lang, keys in zip(*(asked.column(c) for c in ("part", "block", "lang", "keys")), strict=True):
         told = logs(_unpacked(keys.as_py()), *tables.get(lang.as_py(), (none, none))).astype(np.float32)
         rows.append((block.as_py(), part.as_py() // copies, lang.as_py(), told.tobytes()))
+    give_back()
     return _table(rows, schema)
 
 
@@ -326,10 +329,11 @@ def _score(table: pa.Table, told: pa.Table, text_col: str, lang_col: str, order:
     """A block's documents with the answers to what it asked; ``finish`` makes the output of a batch."""
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for lang, keys in _distinct(table, text_col, lang_col, order, served).items():
-        known[lang] = keys, np.full(len(keys), np.nan)
-    shard = {lang: _shard(keys >> 8 & 0xFFFF, shards) for lang, (keys, _) in known.items()}
+        known[lang] = keys, np.full(len(keys), np.nan, np.float32)
+    shard = {lang: _shard(keys >> 8 & 0xFFFF, shards).astype(np.int32) for lang, (keys, _) in known.items()}
     for i, lang, answers in zip(*(told.column(c) for c in ("shard", "lang", "logs")), strict=True):
         known[lang.as_py()][1][shard[lang.as_py()] == i.as_py()] = np.frombuffer(answers.as_py(), np.float32)
+    del shard
     out = []
     for batch in _messages(table, text_col):
         size, total, limit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
@@ -343,6 +347,8 @@ def _score(table: pa.Table, told: pa.Table, text_col: str, lang_col: str, order:
         if np.isnan(total).any():
             raise ValueError("a block lacks answers")
         out.append(finish(batch, size, total / np.maximum(size, 1), limit))
+    del known
+    give_back()
     return pa.Table.from_batches(out)
 
 
