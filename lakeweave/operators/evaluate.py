@@ -11,6 +11,7 @@ from functools import reduce
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql.types import NumericType
 
 OPS = {">=": lambda s, t: s >= t, ">": lambda s, t: s > t, "<=": lambda s, t: s <= t, "<": lambda s, t: s < t}
 
@@ -51,7 +52,8 @@ def running(rows: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ..
     Ranges of ``order`` are cut at approximate quantiles; each has its totals within,
     and starts where those before it end, so no task sees all rows.
     """
-    bounds = sorted(set(rows.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES))))
+    numeric = isinstance(rows.schema[order].dataType, NumericType)  # what isn't has one range
+    bounds = sorted(set(rows.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES)))) if numeric else []
     cut = sum((F.coalesce(F.col(order) > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
     rows = rows.withColumn("range_no", cut)
     keys = [*by, "range_no"]

@@ -121,6 +121,10 @@ def test_running_totals_and_best_rows(spark):
     order = sorted(rows, key=lambda r: (-r[1], r[0]))
     for k in (0, 1, 100, 350, 500, 900):
         assert sorted(r["id"] for r in evaluate.best(df, k).collect()) == sorted(r[0] for r in order[:k])
+    named = df.withColumn("id", df["id"].cast("string"))
+    want = sorted((str(i), s) for i, s, _ in rows)
+    want = [i for i, _ in sorted(want, key=lambda r: (-r[1], r[0]))[:100]]
+    assert sorted(r["id"] for r in evaluate.best(named, 100).collect()) == sorted(want)
 
 
 def test_archives_come_back(spark, tmp_path):
