@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, column, exclusive, ragged_take, record_batch, slices
+from .common import bytes_of, column, exclusive, give_back, ragged_take, record_batch, slices
 
 #: Everything but letters, digits and bytes beyond ASCII separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -140,6 +140,7 @@ def _find(batches, blocks, text_col: str, finish):
                 if len(blocks) > 1:
                     vars(block).pop("_value", None)  # read again from its file when it is wanted again
             yield finish(some, texts, exclusive(counts), counts, hit, found)
+    give_back()
 
 
 def _hits(starts, counts, hit) -> np.ndarray:

@@ -33,7 +33,7 @@ MAX_UNITS = 700_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 
 
-def _pieces(batches, path: str, end_id: int, capacity: int, max_units: int):
+def _pieces(batches, path: str, end_id: int, capacity: int, max_units: int, keep_units: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "part", "rank"))])
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     for batch in batches:
@@ -56,11 +56,13 @@ def _pieces(batches, path: str, end_id: int, capacity: int, max_units: int):
             rank += seen[length]
             seen += np.bincount(length, minlength=capacity + 1)
             yield record_batch(schema, [column(some, "doc_id").take(pa.array(owner)), piece.astype(np.int32), start, length, crcs, np.full(len(owner), part), rank])
+    if not keep_units:
+        encoder(path, max_units).forget()
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS, keep_units: bool = True) -> DataFrame:
     """The pieces of each document, with the rank of each among those of its length in its task."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_pieces, path=tokenizer, end_id=end_id, capacity=capacity, max_units=max_units), PIECE)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_pieces, path=tokenizer, end_id=end_id, capacity=capacity, max_units=max_units, keep_units=keep_units), PIECE)
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -146,14 +148,15 @@ def _placed(batches, rows):
         yield record_batch(schema, [*(column(batch, c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), row[:, 3] + k // row[:, 5], row[:, 4] + k % row[:, 5] * length])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", max_units: int = MAX_UNITS, keep_units: bool = True) -> DataFrame:
     """One row per piece with its sequence and its place there.
 
     The pieces are written to the shared folder once, so that ranks stay as they
     are when an executor is lost. What reaches the driver is a row per length.
+    Without ``keep_units`` a worker's memory for units is given back after each task.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut(docs, tokenizer, end_id, capacity, id_col, text_col, max_units), "pieces")
+    pieces = materialize(cut(docs, tokenizer, end_id, capacity, id_col, text_col, max_units, keep_units), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, _ = plan(totals, capacity)

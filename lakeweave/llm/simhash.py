@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, column, fresh, lower_ascii, materialize, numbers_of, record_batch, slices
+from .common import bytes_of, column, fresh, give_back, lower_ascii, materialize, numbers_of, record_batch, slices
 from .graph import components
 
 SEED = 42
@@ -66,6 +66,7 @@ def _fingerprints(batches, width: int):
         for some in slices(batch, "text", 4 << 20):
             fps = np.array([fingerprint(t, width) for t in bytes_of(some, "text")], np.uint64)
             yield record_batch(schema, [column(some, "doc_id"), fps.view(np.int64), column(some, "text_hash")])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import exclusive, ragged_take
+from .common import exclusive, give_back, ragged_take
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -68,6 +68,11 @@ class UnitEncoder:
         else:
             self.flat, self.starts, self.lengths = array("I"), array("q"), array("q")
 
+    def forget(self) -> None:
+        """Give back what is held for units, as the worker goes on to other work."""
+        self._clear()
+        give_back()
+
     def _add(self, units: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         n = len(self.known)
         self.known.update(zip(units, range(n, n + len(units)), strict=True))
