@@ -68,7 +68,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of each document, with its place in a sequence."""
     _small_batches(spark)
-    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), end_id=0, capacity=2048, max_units=UNITS)
+    return packing.pack_documents(docs, public_path("word_bpe_49k.json"), end_id=0, capacity=2048, max_units=UNITS, keep_units=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
