@@ -122,7 +122,8 @@ def test_packing(spark):
     rows = [(1, "hello world " * 40), (None, None), (2, ""), (2, ""), (3, "x y z")] + [(10 + i, "word " * (i % 30)) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as part", "2 as length", "3 as rank").repartition(3)
     got = packing.pack_documents(docs, public_path("word_bpe_49k.json"), 0, 32).collect()
-    assert packing.pack_documents(docs, public_path("word_bpe_49k.json"), 0, 32, keep_units=False).collect() == got
+    short = packing.pack_documents(docs, public_path("word_bpe_49k.json"), 0, 32, keep_units=False).collect()
+    assert sorted(map(str, short)) == sorted(map(str, got))
     own = UnitEncoder(public_path("word_bpe_49k.json"))
     total = sum(len(own.encode([t])[0]) + 1 for _, t in rows)
     assert sum(r["length"] for r in got) == total
