@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fim, isoforest, kneser_ney, langid, simhash, urls, warc
+from . import chat, decontam, fim, isoforest, kneser_ney, langid, minhash, simhash, urls, warc
 from .common import workspace
 from .packing import pack_documents
 from .repair import read_digests, write_tokens
@@ -134,6 +134,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
+
+
+#: Sets meet by their shingles; the components are closed by UNION.
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+  FROM d WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), b AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 85 * (p.n + q.n - both)
+), c AS (
+  SELECT a, b AS r FROM l UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.r
+), m AS (SELECT a, min(r) AS r FROM c GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(r, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(r, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     restored = fim.restore(F.col("output"), F.col("form"))
@@ -172,7 +197,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_minhash": op11_minhash,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_chat_format": OP5_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_chat_format": OP5_SQL, "op11_minhash": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
