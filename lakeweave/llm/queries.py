@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fim, isoforest, kneser_ney, langid, minhash, simhash, urls, warc
+from . import chat, decontam, fim, hardneg, isoforest, kneser_ney, langid, minhash, simhash, urls, warc
 from .common import workspace
 from .packing import pack_documents
 from .repair import read_digests, write_tokens
@@ -159,6 +159,33 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(hardneg.prepare(shifted), F.col("vec_id") % 100 == 0, positives=5, negatives=5, least_percent=80)
+
+
+OP12_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), v AS (
+  SELECT vec_id, label, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+  FROM e WHERE vec_id NOT IN (SELECT vec_id FROM e WHERE x IS NULL OR NOT isfinite(x))
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.i = b.i AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+), n AS (
+  SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     restored = fim.restore(F.col("output"), F.col("form"))
@@ -198,7 +225,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
     "op11_minhash": op11_minhash,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_chat_format": OP5_SQL, "op11_minhash": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_chat_format": OP5_SQL, "op11_minhash": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
