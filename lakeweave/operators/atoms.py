@@ -12,6 +12,10 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from ..functions import text as T
+from ..sources.shared import written
+
+#: Ids of a value up to which it meets itself, and parts in which the frequent values of an id are listed.
+MOST_IDS, SALTS = 256, 16
 
 #: The atoms of each task in their order, and named groups of them.
 ATOMS = {
@@ -93,10 +97,33 @@ def _sides(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
 
 
-def shared_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
+def meet(pairs: DataFrame, values: DataFrame, keys: list[str], most: int = MOST_IDS, salts: int = SALTS) -> DataFrame:
+    """(a, b, one_*, two_*, shared): how many values parts of ``a`` and ``b`` have in common, for the given pairs.
+
+    ``values`` has id, v and the ``keys`` that tell parts of an id (columns of a table) apart.
+    Values that one id only has can't meet and go first. A value of up to ``most`` ids
+    then meets itself, and what isn't a pair asked for is left out; so a column is not
+    repeated for each of its pairs, and no task sees more than ``most`` ids times its
+    parts of a value. Values of more ids are frequent, so few: they are listed for each
+    pair, in ``salts`` parts of an id, and looked up on the other side.
+    """
+    rows = values.select("id", *keys, "v").distinct()
+    counts = rows.select("id", "v").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("ids")).where("ids > 1")
+    rows = written(rows.join(counts, "v"), "values")
+    side = lambda df, name, tag: df.select(F.col("id").alias(name), *[F.col(k).alias(f"{tag}_{k}") for k in keys], "v")
+    of = ["a", "b", *[f"{tag}_{k}" for tag in ("one", "two") for k in keys]]
+    few, many = rows.where(F.col("ids") <= most), rows.where(F.col("ids") > most)
+    asked = pairs.select("a", "b").distinct()
+    light = side(few, "a", "one").join(side(few, "b", "two"), "v").where("a <> b").join(asked, ["a", "b"]).select(*of)
+    salted = side(many, "a", "one").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    spread = asked.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    heavy = spread.join(salted, ["a", "salt"]).join(side(many, "b", "two"), ["b", "v"]).where("a <> b").select(*of)
+    return light.unionByName(heavy).groupBy(*of).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def shared_values(pairs: DataFrame, values: DataFrame, most: int = MOST_IDS, salts: int = SALTS) -> DataFrame:
     """(a, b, shared): how many of ``values`` (id, v) both sides of a pair have; pairs without any are absent."""
-    one, two = values.select(F.col("id").alias("a"), "v").distinct(), values.select(F.col("id").alias("b"), "v").distinct()
-    return pairs.select("a", "b").join(one, "a").join(two, ["b", "v"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return meet(pairs, values, [], most, salts)
 
 
 def _known(atoms: dict[str, Column], wanted: list[str]) -> list[Column]:
@@ -184,9 +211,7 @@ def best_columns(pairs: DataFrame, values: DataFrame, columns: DataFrame) -> Dat
     pairs that share no value are never made.
     """
     sizes = columns.join(values.groupBy("id", "col_idx").agg(F.count(F.lit(1)).alias("n")), ["id", "col_idx"], "left").fillna(0, subset=["n"])
-    one = values.select(F.col("id").alias("a"), F.col("col_idx").alias("i"), "v")
-    two = values.select(F.col("id").alias("b"), F.col("col_idx").alias("j"), "v")
-    shared = pairs.select("a", "b").join(one, "a").join(two, ["b", "v"]).groupBy("a", "b", "i", "j").agg(F.count(F.lit(1)).alias("both"))
+    shared = meet(pairs, values, ["col_idx"]).select("a", "b", F.col("one_col_idx").alias("i"), F.col("two_col_idx").alias("j"), F.col("shared").alias("both"))
     n_a = sizes.select(F.col("id").alias("a"), F.col("col_idx").alias("i"), F.col("n").alias("n_a"))
     n_b = sizes.select(F.col("id").alias("b"), F.col("col_idx").alias("j"), F.col("n").alias("n_b"))
     scored = shared.join(n_a, ["a", "i"]).join(n_b, ["b", "j"]).withColumn("s", T.overlap_score(F.col("both"), F.col("n_a"), F.col("n_b")))

@@ -204,6 +204,15 @@ def mine_top_per(rows: DataFrame, ratio: float, by: tuple[str, ...], id_col: str
     return rows.withColumns({"__k": k, "__r": F.row_number().over(order)}).where("__r <= __k").drop("__k", "__r")
 
 
+def mine_above(rows: DataFrame, threshold: float, within: tuple[str, ...] = (), least: int = 0, id_col: str = "id") -> DataFrame:
+    """Rows scored at least ``threshold``; with ``least``, a batch (``within``) that has fewer gives its best ``least``."""
+    fits = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    if not least:
+        return rows.where(fits)
+    order = W.partitionBy(*within).orderBy(F.desc("score"), id_col)
+    return rows.withColumn("__r", F.row_number().over(order)).where(fits | (F.col("__r") <= least)).drop("__r")
+
+
 def hard_negatives(rows: DataFrame, ratio: float, id_col: str = "id") -> DataFrame:
     """The best-scored negatives, as many as ``ratio`` times the positives (halves to even)."""
     n = rows.agg(F.sum((F.col("label") == 1).cast("long"))).first()[0] or 0

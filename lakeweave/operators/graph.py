@@ -8,6 +8,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
+from ..sources.shared import written
+
 #: Edge types and their ids; the last four are tasks, which never carry messages.
 EDGE_TYPES = ("token_cell", "cell_row", "cell_column", "row_table", "column_table", "entity_matching", "joinable_table_search", "schema_matching", "union_table_search")
 TASKS = EDGE_TYPES[5:]
@@ -40,10 +42,35 @@ def without_types(graph: DataFrame, types: list[int]) -> DataFrame:
 
 def append(graph: DataFrame, new: DataFrame, undirected: bool = True, distinct: bool = True) -> DataFrame:
     """Edges added to a graph (src, dst, type_id), both ways if undirected; without repeats of itself or the graph."""
-    added = new.unionByName(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type_id")) if undirected else new
-    if distinct:
-        added = added.distinct().join(graph, ["src", "dst", "type_id"], "left_anti")
-    return graph.select("src", "dst", "type_id").unionByName(added.select("src", "dst", "type_id"))
+    return graph.select("src", "dst", "type_id").unionByName(added(graph, new, undirected, distinct))
+
+
+def added(graph: DataFrame, new: DataFrame, undirected: bool = True, distinct: bool = True) -> DataFrame:
+    """The edges that ``append`` adds; how many there are is their count."""
+    both = new.unionByName(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type_id")) if undirected else new
+    both = both.select("src", "dst", "type_id")
+    return both.distinct().join(graph, ["src", "dst", "type_id"], "left_anti") if distinct else both
+
+
+def nodes_of_kind(graph: DataFrame, kind: str) -> DataFrame:
+    """(node): the nodes of a kind, by the typed edges (src, dst, type_id) that lead to tables.
+
+    Rows and columns are those edges' sources, once for each edge; tables are their targets,
+    once each.
+    """
+    ids = {name: i for i, name in enumerate(EDGE_TYPES)}
+    of = {"row": ("src", ("row_table",)), "column": ("src", ("column_table",)), "table": ("dst", ("row_table", "column_table"))}
+    if kind not in of:
+        raise ValueError(f"unknown kind: {kind}")
+    end, types = of[kind]
+    found = graph.where(F.col("type_id").isin([ids[t] for t in types])).select(F.col(end).alias("node"))
+    return found.distinct() if kind == "table" else found
+
+
+def without_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (u, v) of two nodes that no edge (src, dst) joins, in either direction."""
+    one = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    return pairs.where("u <> v").join(one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), ["u", "v"], "left_anti")
 
 
 def degrees(graph: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -52,27 +79,75 @@ def degrees(graph: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.select("node").join(ends, "node", "left").fillna(0, subset=["degree"]) if nodes is not None else ends
 
 
-def cycle_pairs(nodes: DataFrame, shift: int = 1, seed: int = 0) -> DataFrame:
-    """(u, v): each node with the one ``shift`` places on, in hash order, round the end.
+def ranked(nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """(node, i): distinct nodes numbered from 0 in hash order.
 
     Ranks are made in two steps, so no task sees all nodes: nodes are counted per
     bucket of the hash, ranked within it, and buckets are added up.
     """
-    h = nodes.select("node", F.xxhash64(F.lit(seed), "node").alias("h")).withColumn("b", F.shiftright("h", 52))
+    h = nodes.select("node").distinct().select("node", F.xxhash64(F.lit(seed), "node").alias("h")).withColumn("b", F.shiftright("h", 48))
     sizes = h.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    n = h.count()
-    ranked = h.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("h", "node")) - 1).join(sizes, "b").select("node", (F.col("r") + F.col("base")).alias("i"))
-    other = ranked.select(F.col("node").alias("v"), F.pmod(F.col("i") - shift, F.lit(max(n, 1))).alias("i"))
-    return ranked.join(other, "i").select(F.col("node").alias("u"), "v")
-
-
-def negatives(nodes: DataFrame, edges: DataFrame, per_node: int = 1, seed: int = 0) -> DataFrame:
-    """(u, v) that aren't the same node or an edge in either direction, at most ``per_node`` for each node."""
-    made = cycle_pairs(nodes, 1, seed)
-    for k in range(1, per_node):
-        made = made.unionByName(cycle_pairs(nodes, k + 1, seed))
-    known = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    return made.where("u <> v").join(known, ["u", "v"], "left_anti").join(known.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
+    return h.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("h", "node")) - 1).join(F.broadcast(sizes), "b").select("node", (F.col("r") + F.col("base")).alias("i"))  # 65,536 sizes
+
+
+def cycle_pairs(nodes: DataFrame, shift: int = 1, seed: int = 0) -> DataFrame:
+    """(u, v): each node with the one ``shift`` places on, in hash order, round the end."""
+    own = ranked(nodes, seed)
+    n = own.count()
+    other = own.select(F.col("node").alias("v"), F.pmod(F.col("i") - shift, F.lit(max(n, 1))).alias("i"))
+    return own.join(other, "i").select(F.col("node").alias("u"), "v")
+
+
+def sample_cycle_pairs(nodes: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """(u, v), ``most`` of them: round after round each node with one further on, in another order each round; the last round as far as needed."""
+    n = nodes.select("node").distinct().count()
+    if n < 2:
+        raise ValueError("pairs need two nodes")
+    rounds, out = -(-most // n), None
+    for k in range(rounds):
+        own = ranked(nodes, seed + k)
+        if k == rounds - 1:
+            part = own.where(F.col("i") < most - k * n)
+        else:
+            part = own
+        shift = k % (n - 1) + 1
+        other = own.select(F.col("node").alias("v"), F.pmod(F.col("i") + shift, F.lit(n)).alias("i"))
+        made = part.join(other, "i").select(F.col("node").alias("u"), "v")
+        out = made if out is None else out.unionByName(made)
+    return out if out is not None else nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+
+
+def negatives(nodes: DataFrame, edges: DataFrame, per_node: int = 1, seed: int = 0, rounds: int = 6) -> DataFrame:
+    """(u, v): ``per_node`` other nodes for each node, none of them twice or at an edge with it in either direction.
+
+    A node with fewer such nodes gets all it has. In each round every node that lacks
+    some is offered as many nodes as it lacks, each some drawn places on in hash order; what is an
+    edge or chosen already goes. After the rounds only nodes with edges to a large part of
+    all others are left; what they lack comes from the list of all nodes, which is about
+    as long as their list of edges.
+    """
+    places = written(ranked(nodes, seed), "places")
+    n = places.count()
+    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    known = written(both.union(both.select("v", "u")).where("u <> v").distinct(), "known")
+    lacking = places.select(F.col("node").alias("u"), "i", F.lit(per_node).alias("lacks"))
+    chosen, step = None, lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "u", "at"), F.lit(max(n - 1, 1))) + 1
+    for k in range(rounds if n > 1 else 0):
+        offered = lacking.select("u", "i", F.explode(F.sequence(F.lit(1), F.col("lacks"))).alias("at")).withColumn("j", F.pmod(F.col("i") + step(k), F.lit(n)))
+        made = offered.join(places.select(F.col("node").alias("v"), F.col("i").alias("j")), "j").select("u", "v").distinct().join(known, ["u", "v"], "left_anti")
+        made = made if chosen is None else made.join(chosen, ["u", "v"], "left_anti")
+        chosen = written(made if chosen is None else chosen.union(made), "negatives")
+        have = chosen.groupBy("u").agg(F.count(F.lit(1)).alias("have"))
+        lacking = written(places.withColumnRenamed("node", "u").join(have, "u", "left").select("u", "i", (F.lit(per_node) - F.coalesce("have", F.lit(0))).cast("int").alias("lacks")).where("lacks > 0"), "lacking")
+        if lacking.isEmpty():
+            return chosen
+    if chosen is None:
+        return nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    steps = 64
+    rest = lacking.select("u", "lacks", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("part")).join(places.select(F.col("node").alias("v"), F.pmod("i", F.lit(steps)).cast("int").alias("part")), "part").where("u <> v")
+    rest = rest.join(known, ["u", "v"], "left_anti").join(chosen, ["u", "v"], "left_anti").withColumn("h", F.xxhash64(F.lit(seed), "u", "v"))
+    cut = lambda df, by: df.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("h", "v"))).where("r <= lacks")
+    return chosen.union(cut(cut(rest, ("u", "part")), ("u",)).select("u", "v"))
 
 
 def with_negatives(labelled: DataFrame, extra: DataFrame) -> DataFrame:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 
 from ..functions.text import mean_std
 
+#: Numbers of an order that are one segment.
+SEGMENT = 1 << 16
+#: Lines of a training log.
+TASK, VALIDATION = r"Training for task:\s*([a-z_]+)", r"\[Validation\]\s+selected threshold=([0-9.]+)\s+f1=([0-9.]+)"
+
 
 def mean_and_std(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean and sample deviation, 0 for a single row."""
@@ -42,19 +50,46 @@ def strongest(stats: DataFrame, k: int) -> DataFrame:
     return means.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def carry_forward(lines: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
-    """The last value that isn't null up to each line, within its file."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn(value, F.last(value, ignorenulls=True).over(w))
+def carry_forward(lines: DataFrame, value: str, by: list[str], order: str, segment: Column | None = None) -> DataFrame:
+    """The last value that isn't null up to each line, within its file.
+
+    A file may be of any length: it is cut into segments (by default 65,536 numbers of
+    ``order``; any column that grows with it), each is run through by itself, and what
+    a segment begins with comes from a row for each segment before it.
+    """
+    known = lines.withColumn("__segment", F.floor(F.col(order) / SEGMENT).cast("long") if segment is None else segment)
+    inside = F.last(value, ignorenulls=True).over(W.partitionBy(*by, "__segment").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    own = known.groupBy(*by, "__segment").agg(F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(order), F.col(value)))).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(W.partitionBy(*by).orderBy("__segment").rowsBetween(W.unboundedPreceding, -1))
+    begins = own.select(*by, "__segment", before.alias("__before"))
+    joined = known.withColumn("__inside", inside)
+    joined = joined.join(begins, reduce(and_, [joined[k].eqNullSafe(begins[k]) for k in [*by, "__segment"]]), "left").select(*[joined[c] for c in joined.columns], begins["__before"])
+    return joined.withColumn(value, F.coalesce("__inside", F.col("__before").getField(value))).select(*lines.columns)
 
 
 def read_logs(spark, path: str) -> DataFrame:
-    """(file, task, threshold, val_f1, auc, f1) of training logs; a line belongs to the task named last before it."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    got = lambda pattern: F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
-    lines = text.select("file", "line_no", got(r"Training for task: (\S+)").alias("task"), got(r"selected threshold=([0-9.]+)").alias("threshold"), got(r"selected threshold=[0-9.]+ f1=([0-9.]+)").alias("val_f1"), got(r"Test Metrics.*'link_auc': ([0-9.]+)").alias("auc"), got(r"Test Metrics.*'link_f1': ([0-9.]+)").alias("f1"))
-    lines = carry_forward(lines, "task", ["file"], "line_no").where("task is not null")
-    return lines.groupBy("file", "task").agg(*[F.last(c, ignorenulls=True).try_cast("double").alias(c) if hasattr(F.last(c), "try_cast") else F.last(c, ignorenulls=True).cast("double").alias(c) for c in ("threshold", "val_f1", "auc", "f1")])
+    """Sections of training logs: (file, section, task, threshold_valbest, val_f1_best, test_f1_valbest, test_f1_at05, auc).
+
+    A section begins where a task is named and goes on to the next; ``section`` orders
+    them. Of its validation lines the last counts; a test at 0.5 is one number (the
+    last), a test at the validation threshold named last before it the other (the last,
+    or where there is none the first test at a threshold of its own); ``auc`` comes from
+    the last test. Logs may be of any size: lines are dealt by blocks of their file.
+    """
+    text = spark.read.text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    got = lambda pattern, k=1: F.nullif(F.regexp_extract("line", pattern, k), F.lit(""))
+    number = lambda pattern, k=1: got(pattern, k).try_cast("double")
+    tested = r"Test Metrics \(threshold=([0-9.]+)\):\s*(\{.*\})"
+    lines = text.select("file", "block", "seq", got(TASK).alias("task"), number(VALIDATION).alias("val_at"), number(VALIDATION, 2).alias("val_f1"), number(tested).alias("test_at"), number(r"Test Metrics.*'link_f1': ([-0-9.e]+)").alias("test_f1"), number(r"Test Metrics.*'link_auc': ([-0-9.e]+)").alias("auc"))
+    lines = lines.where(F.coalesce("task", F.col("val_at").cast("string"), F.col("test_at").cast("string")).isNotNull()).withColumn("place", F.struct("block", "seq"))
+    lines = lines.withColumn("section", F.when(F.col("task").isNotNull(), F.struct("block", "seq", "task")))
+    lines = carry_forward(lines, "section", ["file"], "place", F.col("block")).where("section is not null")
+    lines = carry_forward(lines.withColumn("at_best", F.col("val_at")), "at_best", ["file", "section"], "place", F.col("block"))
+    half, fits = F.abs(F.col("test_at") - 0.5) <= 1e-9, F.abs(F.col("test_at") - F.col("at_best")) <= 1e-6
+    last = lambda c, when=F.lit(True): F.max_by(c, F.when(F.col(c).isNotNull() & when, F.col("place")))
+    first = F.min_by("test_f1", F.when(F.col("test_f1").isNotNull() & ~half, F.col("place")))
+    found = lines.groupBy("file", "section").agg(last("val_at").alias("threshold_valbest"), last("val_f1").alias("val_f1_best"), F.coalesce(last("test_f1", ~half & fits), first).alias("test_f1_valbest"), last("test_f1", half).alias("test_f1_at05"), last("auc").alias("auc"))
+    return found.select("file", F.struct("section.block", "section.seq").alias("section"), "section.task", "threshold_valbest", "val_f1_best", "test_f1_valbest", "test_f1_at05", "auc")
 
 
 def read_markdown_table(text: str, spark) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from ..functions import generated
 from ..functions import text as T
 from ..operators import atoms, encoder, evaluate, graph, learn, profile, report, rerank
-from ..sources import files, lake
+from ..sources import files, lake, shared
 from ..streaming import scoring
 from . import expression, policy, roles, specs
 
@@ -44,8 +44,8 @@ LAKE = [
     lake.Table("customer", "c_custkey", {"c_custkey": "int", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}),
     lake.Table("supplier", "s_suppkey", {"s_suppkey": "int", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"}),
     lake.Table("part", "p_partkey", {"p_partkey": "int", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"}),
-    lake.Table("orders", "o_orderkey", {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}),
-    lake.Table("lineitem", "l_orderkey", {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_returnflag": "string", "l_linestatus": "string"}),
+    lake.Table("orders", "o_orderkey", {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}),
+    lake.Table("lineitem", "l_orderkey", {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp"}),
 ]
 ROWS = [t for t in LAKE if t.name in ("customer", "supplier", "part")]
 KEYS = ["customer.c_custkey", "customer.c_nationkey", "lineitem.l_orderkey", "lineitem.l_partkey", "lineitem.l_suppkey", "nation.n_nationkey", "nation.n_regionkey", "orders.o_custkey", "orders.o_orderkey", "part.p_partkey", "region.r_regionkey", "supplier.s_nationkey", "supplier.s_suppkey"]
@@ -98,6 +98,18 @@ def s5_union_table_profiles(spark, sf_dir):
     return profile.union_tables(cells(spark, sf_dir)).select("table_name", "n_cols", "n_rows", "header_tokens")
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)
+SELECT doc_id, sha256(text) AS text_sha256, lang, source FROM d""")
+def s1_s2_csv_scan(spark, sf_dir):
+    """Documents written as CSV and scanned again: texts hold line ends and quotes, rows are put together by their numbers."""
+    root = shared.folder(spark, "csv")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root)
+    parts = sorted({r[0].rsplit("/", 1)[1] for r in spark.read.text(root).select("_metadata.file_path").distinct().collect()})
+    wide = lake.csv_cells(spark, root, parts).groupBy("table_name", "row_idx").pivot("column_name", ["doc_id", "text", "lang", "source"]).agg(F.first("raw"))
+    return wide.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "lang", "source")
+
+
 ROW_SQL = f"""cells AS ({lake.cells_sql(ROWS)}),
 cleaned AS (SELECT *, table_name || ':' || row_idx AS id, regexp_replace(lower(trim(raw)), '\\.0$', '') AS v FROM cells),
 marked AS (SELECT *, v IN ({NULLS}) AS missing, {HEADER.format('column_name')} AS h, regexp_extract_all(v, '[a-z0-9]+') AS t FROM cleaned),
@@ -257,9 +269,12 @@ s AS (SELECT a, b, list_sum([CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE) for p i
 SELECT a, b, round(d / (sqrt(na) * sqrt(nb)), 9) AS row_emb_cosine, round(1 / (1 + l), 9) AS row_emb_l1_sim FROM s""")
 def j5_f14_f15_embedding_atoms(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    two = e.select(F.col("vec_id").alias("b"), (F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("q"))
-    rows = e.select(F.col("vec_id").alias("a"), "embedding").join(two, "a")
-    return rows.select("a", "b", F.round(T.cosine("embedding", "q"), 9).alias("row_emb_cosine"), F.round(T.l1_similarity("embedding", "q"), 9).alias("row_emb_l1_sim"))
+    strings = F.array().cast("array<string>")
+    empty = {c: strings for c in ("value_set", "token_set", "numeric_value_set", "header_token_set", "serial_token_set", "header_value_token_set")}
+    rows = e.select(F.col("vec_id").alias("id"), *[v.alias(c) for c, v in empty.items()], F.lit("").alias("serial_text"), F.lit(0).alias("nonempty_count"), *[F.lit(0.0).alias(c) for c in ("numeric_ratio", "avg_len", "numeric_median")], F.create_map().cast("map<string,string>").alias("header_to_value"))
+    pairs = e.select(F.col("vec_id").alias("a")).join(e.select((F.col("vec_id") - 1).alias("a")), "a", "left_semi").withColumn("b", F.col("a") + 1)
+    found = atoms.entity(pairs, rows, embeddings=e.select(F.col("vec_id").alias("id"), "embedding"), tokens=["row_emb_cosine", "row_emb_l1_sim"])
+    return found.select("a", "b", *[F.round(c, 9).alias(c) for c in ("row_emb_cosine", "row_emb_l1_sim")])
 
 
 # ---- scored rows for evaluation: customers' balances against a segment -----
@@ -321,9 +336,11 @@ def t2_mine_top_ratio(spark, sf_dir):
     return evaluate.mine_top(scored(spark, sf_dir), 0.1).select("id", "score")
 
 
-@query(f"WITH {SCORED} SELECT id FROM scored WHERE score >= 0.8")
+@query(f"WITH {SCORED}, r AS (SELECT *, id % 37 AS batch, row_number() OVER (PARTITION BY id % 37 ORDER BY score DESC, id) AS r FROM scored) SELECT id, batch FROM r WHERE score >= 0.97 OR r <= 2")
 def t3_mine_by_threshold(spark, sf_dir):
-    return scored(spark, sf_dir).where("score >= 0.8").select("id")
+    """Rows above a threshold; batches that have fewer give their best two."""
+    rows = scored(spark, sf_dir).withColumn("batch", F.col("id") % 37)
+    return evaluate.mine_above(rows, 0.97, ("batch",), 2).select("id", "batch")
 
 
 @query(f"WITH {SCORED} SELECT seg, count(score) AS n, avg(score) AS mean, sqrt(greatest(avg(score * score) - avg(score) * avg(score), 1e-12)) AS std, quantile_cont(score, 0.25) AS p25, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75, quantile_cont(score, 0.95) AS p95 FROM scored GROUP BY 1")
@@ -533,10 +550,35 @@ def w5_neighbour_sampling(spark, sf_dir):
     return graph.sample_neighbours(fk_graph(spark, sf_dir), table(spark, sf_dir, "part").select((F.col("p_partkey") * 10 + 2).alias("node")), (10, 5))
 
 
-@query()
-def g3_j9_j11_negatives(spark, sf_dir):
+PART_EDGES = "e AS (SELECT l_partkey AS u, l_suppkey + 1000000 AS v FROM lineitem WHERE l_suppkey % 5 = 0 UNION SELECT l_partkey, l_partkey % 7 + 1 FROM lineitem UNION SELECT p_partkey, k FROM part, range(1, 41) r(k) WHERE p_partkey <= 40 AND (p_partkey + k) % 13 <> 0)"
+
+
+@query(f"""WITH {PART_EDGES}, b AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v), n AS (SELECT p_partkey AS u FROM part),
+d AS (SELECT n.u, count(m.u) AS known FROM n LEFT JOIN b ON b.u = n.u LEFT JOIN n m ON m.u = b.v GROUP BY 1)
+SELECT u, least(4, (SELECT count(*) FROM n) - 1 - known) AS found, CAST(0 AS BIGINT) AS edges, least(4, (SELECT count(*) FROM n) - 1 - known) AS others FROM d WHERE (SELECT count(*) FROM n) - 1 > known""")
+def g3_negatives_until_enough(spark, sf_dir):
+    """Four parts for each part that it has no edge with; how many came, how many are edges all the same, how many are different."""
+    edges = part_edges(spark, sf_dir)
+    found = graph.negatives(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), edges, 4)
+    either = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct().withColumn("edge", F.lit(1))
+    return found.join(either, ["u", "v"], "left").groupBy("u").agg(F.count(F.lit(1)).alias("found"), F.sum(F.coalesce("edge", F.lit(0)).cast("long")).alias("edges"), F.countDistinct("v").alias("others"))
+
+
+def part_edges(spark, sf_dir):
+    """Edges between parts and others; the first forty parts are joined to nearly all of each other."""
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").where("p_partkey <= 40")
+    one = li.where("l_suppkey % 5 = 0").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
+    two = li.select("l_partkey", F.col("l_partkey") % 7 + 1)
+    three = p.select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(40)).cast("array<bigint>")).alias("k")).where("(p_partkey + k) % 13 <> 0")
+    return one.union(two).union(three).distinct()
+
+
+@query("SELECT c_custkey AS u, CAST(2 + CAST(row_number() OVER (ORDER BY c_custkey) > 0 AS INT) AS BIGINT) AS n, CAST(0 AS BIGINT) AS loops FROM customer")
+def j11_cycle_pairs(spark, sf_dir):
+    """Three rounds of pairs of customers: each is in every round once, and never with itself."""
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
-    return graph.negatives(nodes, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst")), 2)
+    found = graph.sample_cycle_pairs(nodes, 3 * nodes.count())
+    return found.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("u") == F.col("v")).cast("long")).alias("loops"))
 
 
 # ---- reports ---------------------------------------------------------------
@@ -591,6 +633,20 @@ def w3_s18_carry_forward(spark, sf_dir):
     return report.carry_forward(lines, "section", ["conv_id"], "turn")
 
 
+LOG_SQL = """l AS (SELECT o_orderkey AS k, regexp_extract(lower(o_orderpriority), '[a-z_]+') AS task, 0.1 + (o_orderkey % 1000000) / 1e7 AS th, (o_custkey % 1000) / 1000 AS val, (o_custkey % 100) / 100 AS half, (o_orderkey % 91) / 91 AS own FROM orders)"""
+
+
+@query(f"WITH {LOG_SQL} SELECT task, round(th, 7) AS threshold_valbest, round(val, 6) AS val_f1_best, round(own, 6) AS test_f1_valbest, CASE WHEN k % 3 > 0 THEN round(half, 6) END AS test_f1_at05 FROM l")
+def s18_log_sections(spark, sf_dir):
+    """A training log with a section for each order, written as text and read again by blocks of its files."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.regexp_extract(F.lower("o_orderpriority"), "[a-z_]+", 0).alias("task"), (0.1 + F.col("o_orderkey") % 1000000 / 1e7).alias("at"), (F.col("o_custkey") % 1000 / 1000).alias("val"), (F.col("o_custkey") % 100 / 100).alias("half"), (F.col("o_orderkey") % 91 / 91).alias("own"))
+    test = lambda at, f1: F.format_string(f"INFO Test Metrics (threshold={at}): {{'link_f1': %.9f}}", *f1)
+    told = [F.format_string("INFO Training for task: %s", "task"), F.lit("epoch 1"), F.format_string("[Validation] selected threshold=%.7f f1=%.6f", "at", "val"), F.when(F.col("k") % 3 > 0, test("0.5", ["half"])), F.when(F.col("k") % 2 == 0, test("0.9", [F.lit(0.123)])), F.when(F.col("k") % 4 != 1, test("%.7f", ["at", "own"])).otherwise(test("0.8", ["own"]))]
+    root = shared.folder(spark, "logs")
+    o.repartitionByRange("k").sortWithinPartitions("k").select(F.explode(F.array_compact(F.array(*told))).alias("value")).write.text(root)
+    return report.read_logs(spark, root).select("task", F.round("threshold_valbest", 7).alias("threshold_valbest"), F.round("val_f1_best", 6).alias("val_f1_best"), F.round("test_f1_valbest", 6).alias("test_f1_valbest"), F.round("test_f1_at05", 6).alias("test_f1_at05"))
+
+
 @query("WITH t AS (SELECT o_orderkey AS id, printf('%.2f', o_totalprice) || '±' || printf('%d', o_custkey) AS c FROM orders) SELECT id, CAST(split_part(c, '±', 1) AS DOUBLE) AS mean, CAST(split_part(c, '±', 2) AS DOUBLE) AS std FROM t")
 def s19_f22_mean_std_cells(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), T.mean_std(F.format_string("%.2f±%d", "o_totalprice", "o_custkey")).alias("x"))
@@ -608,11 +664,6 @@ def f4_value_tokens(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(T.value_tokens("url"))).alias("tokens"), F.length("url").cast("long").alias("n"))
 
 
-@query("SELECT substr(sha1(string_agg(least(o_orderkey, o_custkey) || ':' || greatest(o_orderkey, o_custkey) || ';', '' ORDER BY o_orderkey)), 1, 16) AS digest FROM orders")
-def a24_edge_digest(spark, sf_dir):
-    return files.edge_digest(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderkey")
-
-
 @query()
 def a24_pair_digest(spark, sf_dir):
     return files.pair_digest(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b")))
@@ -658,7 +709,8 @@ def fixed_weights(out: int, into: int, seed: int) -> encoder.Weights:
 @query()
 def g4_g5_encoder_layer(spark, sf_dir):
     """A layer of attention with edge vectors, and one of graph attention, each gated, over a ring of vectors."""
-    x = vectors(spark, sf_dir).select("node", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("embedding"))
+    x = vectors(spark, sf_dir).select("node", F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
+    x = x.select("node", learn.dense(F.col("embedding"), *fixed_weights(4, 64, 8)).alias("embedding"))
     edges = ring(spark, sf_dir).where("src >= 0").distinct().withColumn("edge", F.array(F.col("src") % 3 / 3.0, F.lit(0.5)))
     w = {n: fixed_weights(4, 2 if n == "edge" else 4, k) for k, n in enumerate(("q", "k", "v", "edge", "out", "left", "right"))}
     gate = [0.1, -0.2, 0.3, 0.0, 0.2, -0.1, 0.1, 0.05]
@@ -843,23 +895,39 @@ def u3_with_negatives(spark, sf_dir):
     return graph.with_negatives(own, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("u"), F.col("o_custkey").alias("v")))
 
 
-@query("SELECT o_orderkey AS id FROM orders UNION SELECT l_orderkey FROM lineitem")
-def u4_table_nodes(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).union(table(spark, sf_dir, "lineitem").select("l_orderkey")).distinct()
+@query("""WITH r AS (SELECT l_orderkey AS src, l_suppkey AS dst FROM lineitem), c AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders),
+k AS (SELECT 'row' AS kind, src AS node FROM r UNION ALL SELECT 'column', src FROM c UNION ALL (SELECT 'table', dst FROM r UNION SELECT 'table', dst FROM c))
+SELECT kind, node, count(*) AS n FROM k GROUP BY ALL""")
+def u4_nodes_of_kinds(spark, sf_dir):
+    """Rows and columns come once for each of their edges, tables once."""
+    typed = lambda df, a, b, name: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(graph.EDGE_TYPES.index(name)).alias("type_id"))
+    edges = typed(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", "row_table").unionByName(typed(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "column_table"))
+    found = [graph.nodes_of_kind(edges, kind).withColumn("kind", F.lit(kind)) for kind in ("row", "column", "table")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("kind", "node").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey AS u, o_custkey AS v FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE (l_orderkey = o_orderkey AND l_partkey = o_custkey) OR (l_orderkey = o_custkey AND l_partkey = o_orderkey)) AND o_orderkey <> o_custkey")
 def j9_not_an_edge(spark, sf_dir):
-    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("u"), F.col("o_custkey").alias("v")).where("u <> v")
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("u"), F.col("l_partkey").alias("v"))
-    return made.join(e, ["u", "v"], "left_anti").join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("u"), F.col("o_custkey").alias("v"))
+    return graph.without_edges(made, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
-@query("SELECT * FROM (VALUES ('f1', 2), ('f2', 2), ('f3', 2)) t(atom, n)")
+@query("WITH c AS (SELECT DISTINCT o_orderpriority AS channel, 'f' || o_custkey % 50 AS atom FROM orders WHERE o_custkey % 50 < 20 OR o_orderpriority = '1-URGENT') SELECT atom, CAST(count(*) AS INT) AS n FROM c GROUP BY 1 HAVING count(*) >= 2")
 def a22_atom_usage(spark, sf_dir):
-    spec = specs.validate(SPEC, FEATURES)
-    channels = spark.createDataFrame([(c.name, list(c.features)) for c in spec.channels], "channel string, features array<string>")
-    return channels.select(F.explode("features").alias("atom")).groupBy("atom").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n >= 2")
+    """Atoms that channels share, the channels being made from orders."""
+    atom = F.concat(F.lit("f"), F.col("o_custkey") % 50)
+    rows = table(spark, sf_dir, "orders").where("o_custkey % 50 < 20 or o_orderpriority = '1-URGENT'").select(F.col("o_orderpriority").alias("channel"), atom.alias("atom")).distinct()
+    return rows.groupBy("atom").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n >= 2")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, (p_size % 10) / 10.0::DOUBLE AS a, (p_partkey % 7) / 7.0::DOUBLE AS b, (p_partkey % 11) / 11.0::DOUBLE AS c, (p_size % 3) / 3.0::DOUBLE AS d FROM part)
+SELECT id, greatest(a, b) AS overlap_mean_max, greatest(c, d) AS overlap_cov_max, least(b, c) AS size_balance, abs(a - b) AS overlap_direction_gap, greatest(a, d) AS coverage_max FROM p""")
+def p9_derived_evidence(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    a, b, c, d = size % 10 / 10.0, k % 7 / 7.0, k % 11 / 11.0, size % 3 / 3.0
+    named = {"col_overlap_a2b_mean": a, "col_overlap_b2a_mean": b, "col_overlap_a2b_cov": c, "col_overlap_b2a_cov": d, "col_count_ratio": b, "row_count_ratio": c, "coverage_a": a, "coverage_b": d}
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), *[v.alias(n) for n, v in named.items()], F.lit(0.5).alias("s_prior"), F.lit(1).alias("src_degree"), F.lit(2).alias("dst_degree"))
+    return atoms.evidence(rows).select("id", "overlap_mean_max", "overlap_cov_max", "size_balance", "overlap_direction_gap", "coverage_max")
 
 
 @query(f"WITH {EVIDENCE_SQL} SELECT id, round(degree_ratio * least(1.0, greatest(0.0, 1 - abs(s_prior - 0.5) / 0.15)), 9) AS boundary FROM e")

@@ -55,17 +55,6 @@ def split_rows(split: DataFrame, most: int = 500_000) -> DataFrame:
     return one.unionByName(two).where("row_idx is not null").distinct().orderBy("table_name", "row_idx").limit(most)
 
 
-def edge_digest(edges: DataFrame, a: str, b: str, order: str) -> DataFrame:
-    """One row, ``digest``: 16 hex digits of the SHA-1 over all edges in order, each as ``smaller:larger;``.
-
-    By its nature one task hashes the whole stream, so it is for edge lists of up to
-    2 GB; ``pair_digest`` takes any number, in any order.
-    """
-    text = F.concat(F.least(a, b), F.lit(":"), F.greatest(a, b), F.lit(";"))
-    stream = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), "")
-    return edges.agg(F.substring(F.sha1(stream), 1, 16).alias("digest"))
-
-
 def write_archive(rows: DataFrame, path: str, track: str, settings: dict) -> None:
     """Scored rows of a track (selection or evaluation) with what is needed to score them again, beside its settings."""
     rows.write.mode("overwrite").parquet(f"{path}/{track}/rows")

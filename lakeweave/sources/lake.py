@@ -7,12 +7,15 @@ are numbered from 0 in file order.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from . import csvscan
+
 CELLS = "table_name string, row_idx long, col_idx int, column_name string, raw string"
 
 
@@ -46,31 +49,39 @@ def cells_sql(tables: list[Table]) -> str:
     return "\nUNION ALL ".join(one(t, i, c, k) for t in tables for i, (c, k) in enumerate(t.columns.items()))
 
 
-def csv_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """A table by its name, with or without ``.csv``; None if there is no such file."""
+def csv_path(spark: SparkSession, root: str, name: str) -> str | None:
+    """Where a table lies by its name, with or without ``.csv``; None, with a warning, if there is no such file."""
     bare = name.removesuffix(".csv")
     jvm = spark.sparkContext._jvm
     for path in dict.fromkeys((f"{root}/{name}", f"{root}/{bare}.csv", f"{root}/{bare}")):
         p = jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+            return path
+    warnings.warn(f"no file of table {name} below {root}", stacklevel=2)
     return None
 
 
 def csv_cells(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """The cells of CSV tables; a missing file gives none. Headers lose trailing blanks; of equal ones the first counts."""
-    found = []
-    for name in names:
-        df = csv_table(spark, root, name)
-        if df is None:
-            continue
-        columns: dict[str, str] = {}
-        for c in df.columns:
-            columns.setdefault(c.rstrip(), c)
-        df = df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()]).withColumn("__row", F.monotonically_increasing_id())
-        structs = [F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("column_name"), F.coalesce(F.col(f"`{c}`"), F.lit("")).alias("raw")) for i, c in enumerate(columns)]
-        found.append(df.select(F.lit(name.removesuffix(".csv")).alias("table_name"), F.col("__row").alias("row_idx"), F.explode(F.array(*structs)).alias("c")).select("table_name", "row_idx", "c.*"))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], CELLS)
+    """The cells of CSV tables; a missing file gives none. Headers lose trailing blanks; of equal ones the first counts.
+
+    All files are scanned together, a large one by many tasks. Rows are numbered from 0
+    after the header; what a short row lacks is empty, what a long one has more is left out.
+    """
+    paths = {name.removesuffix(".csv"): path for name in dict.fromkeys(names) if (path := csv_path(spark, root, name))}
+    if not paths:
+        return spark.createDataFrame([], CELLS)
+    found = csvscan.scan(spark, list(paths.values()))
+    named = spark.createDataFrame([(path.rsplit("/", 1)[1], name) for name, path in paths.items()], "base_name string, table_name string")
+    base = F.regexp_extract("file", "[^/]*$", 0)
+    # A file's address is encoded, but for a plus sign.
+    found = found.join(F.broadcast(named), F.url_decode(F.replace(base, F.lit("+"), F.lit("%2B"))) == F.col("base_name"))
+    headers = found.where("row = 0").select("file", F.transform("fields", lambda h: F.rtrim(h)).alias("names"))
+    columns = headers.select("file", F.posexplode("names").alias("at", "column_name"))
+    columns = columns.groupBy("file", "column_name").agg(F.min("at").alias("at"))
+    columns = columns.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "column_name"))).alias("columns"))
+    rows = found.where("row > 0").join(F.broadcast(columns), "file")
+    cell = F.transform("columns", lambda c, i: F.struct(i.alias("col_idx"), c["column_name"].alias("column_name"), F.coalesce(F.get("fields", c["at"]), F.lit("")).alias("raw")))
+    return rows.select("table_name", (F.col("row") - 1).alias("row_idx"), F.explode(cell).alias("c")).select("table_name", "row_idx", "c.col_idx", "c.column_name", "c.raw")
 
 
 def required_rows(cells: DataFrame, wanted: DataFrame) -> DataFrame:

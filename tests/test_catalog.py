@@ -16,11 +16,6 @@ def test_query_equals_its_sql(spark, con, name):
     oracle.same(con, catalog.QUERIES[name](spark, SF), catalog.SQL[name])
 
 
-def test_negatives_are_no_edges(spark):
-    rows = catalog.g3_j9_j11_negatives(spark, SF).collect()
-    assert rows and all(r["u"] != r["v"] for r in rows)
-
-
 def test_sampling_keeps_to_its_fanout(spark):
     from collections import Counter
 
