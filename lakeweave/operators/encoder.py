@@ -9,10 +9,14 @@ edges.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 
+from ..sources.shared import written
 from .graph import pool, softmax
 from .learn import dense, layer_norm
 
@@ -93,8 +97,65 @@ def neighbour_mean(edges: DataFrame, vectors: DataFrame, own: Weights, others: W
     return vectors.join(means, "node").select("node", F.zip_with(dense(F.col("embedding"), *own), dense(mean, *others), lambda a, b: a + b).alias("embedding"))
 
 
-def gated(before: DataFrame, out: DataFrame, gate: list[float], bias: float) -> DataFrame:
-    """A layer's output, normalised and cut at 0, mixed with its input by a gate that reads both."""
-    rows = before.select("node", F.col("embedding").alias("x")).join(out.select("node", F.transform(layer_norm(F.col("embedding")), lambda v: F.greatest(v, F.lit(0.0))).alias("y")), "node")
+def gated(before: DataFrame, out: DataFrame, gate: list[float], bias: float, norm: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """A layer's output, normalised (with ``norm``'s weights) and cut at 0, mixed with its input by a gate that reads both."""
+    scaled = layer_norm(F.col("embedding")) if norm is None else layer_norm(F.col("embedding"), weight=norm[0], bias=norm[1])
+    rows = before.select("node", F.col("embedding").alias("x")).join(out.select("node", F.transform(scaled, lambda v: F.greatest(v, F.lit(0.0))).alias("y")), "node")
     g = 1 / (1 + F.exp(-(_product(F.concat("x", "y"), F.array(*map(F.lit, gate))) + bias)))
     return rows.withColumn("g", g).select("node", F.zip_with(F.transform("x", lambda v: v * (1 - F.col("g"))), F.transform("y", lambda v: v * F.col("g")), lambda a, b: a + b).alias("embedding"))
+
+
+@dataclass(frozen=True)
+class Layer:
+    """How a layer gathers from neighbours (edges and vectors to vectors), and the weights of its norm."""
+
+    gather: Callable[[DataFrame, DataFrame], DataFrame]
+    norm: tuple[list[float], list[float]]
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """A projection of the input, layers, and the gate that all of them share."""
+
+    projection: Weights
+    layers: tuple[Layer, ...]
+    gate: list[float]
+    bias: float
+
+    def _start(self, vectors: DataFrame) -> DataFrame:
+        return vectors.select("node", dense(F.transform("embedding", lambda x: x.cast("double")), *self.projection).alias("embedding"))
+
+    def whole(self, edges: DataFrame, vectors: DataFrame) -> DataFrame:
+        """(node, embedding) of all nodes: every layer over all edges (src, dst, edge)."""
+        x = self._start(vectors)
+        for layer in self.layers:
+            x = written(gated(x, layer.gather(edges, x), self.gate, self.bias, layer.norm), "layer")
+        return x
+
+    def sampled(self, edges: DataFrame, vectors: DataFrame, seeds: DataFrame, fanouts: tuple[int, ...], seed: int = 0) -> DataFrame:
+        """(node, embedding) of the seeds, from as many hops as there are layers.
+
+        Hop k has up to ``fanouts[k]`` edges into each node that hop k - 1 needs. The first
+        layer works on the outermost hop and gives what the next one reads; so each layer
+        sees only nodes that the seeds depend on. With fan-outs beyond all degrees this is
+        what ``whole`` gives for the seeds.
+        """
+        if len(fanouts) != len(self.layers):
+            raise ValueError("a fan-out for each layer")
+        needed, hops = [written(seeds.select("node").distinct(), "needed")], []
+        for k, fanout in enumerate(fanouts):
+            hop = written(sample_edges(edges, needed[-1], fanout, seed + k), "hop")
+            hops.append(hop)
+            needed.append(written(needed[-1].union(hop.select("src")).distinct(), "needed"))
+        x = self._start(vectors.join(needed[-1], "node", "left_semi"))
+        for layer, hop, nodes in zip(self.layers, reversed(hops), reversed(needed[:-1]), strict=True):
+            inner = x.join(nodes, "node", "left_semi")
+            x = written(gated(inner, layer.gather(hop, x), self.gate, self.bias, layer.norm), "layer")
+        return x
+
+
+def sample_edges(edges: DataFrame, nodes: DataFrame, fanout: int, seed: int = 0, parts: int = 64) -> DataFrame:
+    """Up to ``fanout`` edges (src, dst, edge) into each of ``nodes``, by hash order; first within parts of a node's edges, so none is sorted whole."""
+    into = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").withColumn("h", F.xxhash64(F.lit(seed), "src", "dst", "edge"))
+    cut = lambda df, by: df.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("h", "src"))).where(F.col("r") <= fanout)
+    return cut(cut(into.withColumn("part", F.pmod("h", F.lit(parts))), ("dst", "part")), ("dst",)).select("src", "dst", "edge")

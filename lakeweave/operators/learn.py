@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from ..sources.shared import written
+
 
 def positive_weight(rows: DataFrame, cap: float = 10.0) -> float:
     """Negatives over positives, from 1 to ``cap``; 1 if either is missing."""
@@ -38,20 +40,24 @@ def losses(p: Column, y: Column, positive: float = 1.0, gamma: float = 2.0) -> d
     return {"bce": -weight * F.log(right), "focal": -weight * F.pow(1 - right, F.lit(gamma)) * F.log(right)}
 
 
-def contrastive_loss(rows: DataFrame, batch: str, vector: str = "embedding", label: str = "label", temperature: float = 0.1) -> DataFrame:
+def contrastive_loss(rows: DataFrame, batch: str, vector: str = "embedding", label: str = "label", temperature: float = 0.1, most: int = 4096) -> DataFrame:
     """(batch, loss): for each positive, how little likelier other positives are than all of the batch; -1 labels don't count.
 
-    A training batch is small: its vectors meet as one array beside each of its rows.
+    Each positive meets the rows of its batch once and keeps three sums, so nothing grows
+    with a row but these. A batch of more than ``most`` rows is an error, as every positive looks at all of them.
     """
-    own = rows.where(F.col(label) != -1).select(batch, F.col(label).cast("int").alias("y"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.monotonically_increasing_id().alias("k"))
-    held = own.groupBy(batch).agg(F.collect_list(F.struct("k", "y", "v")).alias("all"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / temperature
-    sims = held.select(batch, F.explode("all").alias("me"), "all").select(batch, "me", F.transform("all", lambda o: F.struct(o["k"].alias("k"), o["y"].alias("y"), dot(F.col("me.v"), o["v"]).alias("s"))).alias("sims"))
-    total = F.log(F.aggregate("sims", F.lit(0.0), lambda t, x: t + F.exp(x["s"])))
-    others = F.filter("sims", lambda x: (x["y"] == 1) & (x["k"] != F.col("me.k")))
-    mean = F.aggregate(others, F.lit(0.0), lambda t, x: t + x["s"] - total) / (F.size(others) + 1e-8)
-    loss = sims.where("me.y = 1").groupBy(batch).agg((-F.avg(mean)).alias("loss"), F.count(F.lit(1)).alias("n"))
-    return held.select(batch).join(loss, batch, "left").select(batch, F.when(F.col("n") > 1, F.col("loss")).otherwise(0.0).alias("loss"))
+    own = rows.where(F.col(label) != -1).select(batch, F.col(label).cast("int").alias("y"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    size = own.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"))
+    if (largest := size.agg(F.max("rows")).first()[0] or 0) > most:
+        raise ValueError(f"a batch has {largest} rows; deal it into batches of up to {most}")
+    own = written(own.withColumn("k", F.monotonically_increasing_id()), "contrast")
+    me, other = own.where("y = 1").select(batch, F.col("k").alias("me"), F.col("v").alias("mine")), own.select(batch, "k", "y", "v")
+    dot = F.aggregate(F.zip_with("mine", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / temperature
+    near = (F.col("y") == 1) & (F.col("k") != F.col("me"))
+    sums = me.join(other, batch).withColumn("s", dot).groupBy(batch, "me").agg(F.log(F.sum(F.exp("s"))).alias("all"), F.sum(F.when(near, F.col("s"))).alias("near"), F.count(F.when(near, 1)).alias("others"))
+    mean = F.coalesce(F.col("near") - F.col("others") * F.col("all"), F.lit(0.0)) / (F.col("others") + 1e-8)
+    loss = sums.groupBy(batch).agg((-F.avg(mean)).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return size.select(batch).join(loss, batch, "left").select(batch, F.when(F.col("n") > 1, F.col("loss")).otherwise(0.0).alias("loss"))
 
 
 def train_early(train: DataFrame, validate: DataFrame, features: list[str], epochs: int = 120, patience: int = 20, rate: float = 0.5) -> tuple[list[float], list[dict]]:
@@ -91,10 +97,13 @@ def dense(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
     return F.array(*[row(w, b) for w, b in zip(weights, bias, strict=True)])
 
 
-def layer_norm(x: Column, eps: float = 1e-5) -> Column:
+def layer_norm(x: Column, eps: float = 1e-5, weight: list[float] | None = None, bias: list[float] | None = None) -> Column:
+    """A vector less its mean, over its deviation; then times ``weight`` and plus ``bias``, number by number."""
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
     var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(x)
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    out = F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    out = out if weight is None else F.zip_with(out, F.array(*map(F.lit, weight)), lambda v, w: v * w)
+    return out if bias is None else F.zip_with(out, F.array(*map(F.lit, bias)), lambda v, b: v + b)
 
 
 def interactions(u: Column, v: Column) -> Column:
