@@ -185,12 +185,26 @@ def _edit(a: str, b: str) -> float:
     return 1.0 - int(costs[-1]) / size
 
 
+def _text_grams(a: str, b: str, n: int) -> float:
+    """Jaccard of the n-grams of trimmed lower-cased texts; a short text is its own."""
+    one, two = ({t} if 0 < len(t) <= n else _grams(t, n) if t else set() for t in (str(x or "").strip(" ").lower() for x in (a, b)))
+    return _jaccard(one, two)
+
+
+def _cosine(a: Iterable[float], b: Iterable[float]) -> float:
+    if a is None or b is None:
+        raise TypeError("no vector")
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    size = float(np.linalg.norm(a)) * float(np.linalg.norm(b))
+    return float(a @ b) / size if size > 0 else 0.0
+
+
 def _overlap(a: Iterable, b: Iterable) -> float:
     a, b = set(a), set(b)
     return len(a & b) / min(len(a), len(b)) if a and b else 0.0
 
 
-HELPERS: dict[str, Callable] = {"safe_ratio_float": _safe_ratio, "safe_ratio_int": _safe_ratio, "set_jaccard": _jaccard, "token_jaccard": _jaccard, "weighted_jaccard": _weighted, "normalized_edit_similarity": _edit, "numeric_overlap_max": _overlap, "clip01": lambda x: min(1.0, max(0.0, float(x)))}
+HELPERS: dict[str, Callable] = {"safe_ratio_float": _safe_ratio, "safe_ratio_int": _safe_ratio, "set_jaccard": _jaccard, "token_jaccard": _jaccard, "weighted_jaccard": _weighted, "normalized_edit_similarity": _edit, "numeric_overlap_max": _overlap, "char_ngram_jaccard": _text_grams, "cosine_similarity": _cosine, "clip01": lambda x: min(1.0, max(0.0, float(x)))}
 
 
 class Registry:
@@ -234,7 +248,7 @@ def _side(stats: dict | None) -> dict:
 
 def _run(batches, registry: Registry, keys: list[str], schema: pa.Schema):
     for batch in batches:
-        rows = [registry.compute({"stats_a": _side(a), "stats_b": _side(b), "helpers": HELPERS}) for a, b in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)]
+        rows = [registry.compute({"stats_a": _side(a), "stats_b": _side(b), "emb_a": (a or {}).get("embedding"), "emb_b": (b or {}).get("embedding"), "helpers": HELPERS}) for a, b in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(schema.field(k).type) for k in keys), *(pa.array([r[f.name] for r in rows], pa.float64()) for f in registry.features)], schema=schema)
 
 

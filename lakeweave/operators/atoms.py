@@ -177,7 +177,7 @@ def entity(pairs: DataFrame, profiles: DataFrame, weights: DataFrame | None = No
         profiles = profiles.withColumn("embedding", F.lit(None).cast("array<float>"))
     # A row's n-grams are made once, on its side of the join, not for each pair.
     profiles = profiles.withColumns({"char3": T.char_ngrams("serial_text", 3), "char4": T.char_ngrams("serial_text", 4), "plain": F.col("serial_text") == F.lower(F.trim("serial_text"))})
-    rows = _sides(pairs, profiles)
+    rows = _sides(pairs, written(profiles, "profiles"))
     both = T.size0(F.array_intersect("pa.value_set", "pb.value_set"))
     weights_of = F.map_concat(F.coalesce("pa.weights", F.create_map().cast("map<string,double>")), F.map_filter(F.coalesce("pb.weights", F.create_map().cast("map<string,double>")), lambda k, v: ~F.coalesce(F.map_contains_key("pa.weights", k), F.lit(False))))
     headers = F.array_intersect(F.map_keys("pa.header_to_value"), F.map_keys("pb.header_to_value"))

@@ -11,7 +11,8 @@ from functools import reduce
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
-from pyspark.sql.types import NumericType
+
+from ..sources.shared import written
 
 OPS = {">=": lambda s, t: s >= t, ">": lambda s, t: s > t, "<=": lambda s, t: s <= t, "<": lambda s, t: s < t}
 
@@ -42,29 +43,50 @@ def _steps(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*by, "score").agg(F.sum((F.col("label") == 1).cast("long")).alias("pos"), F.sum((F.col("label") != 1).cast("long")).alias("neg"))
 
 
-#: Ranges of scores over which running totals are split.
-RANGES = 64
+#: Rows that are added up in one range.
+RANGE_ROWS = 1 << 16
 
 
-def running(rows: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+def running(rows: DataFrame, order: str, sums: dict[str, str], by: tuple[str, ...] = (), range_rows: int | None = None) -> DataFrame:
     """Adds running totals up to and with each row, by rising ``order``: ``sums`` maps a new name to the column that it adds up.
 
-    Ranges of ``order`` are cut at approximate quantiles; each has its totals within,
-    and starts where those before it end, so no task sees all rows.
+    Rows are written once. More than ``range_rows`` are dealt into ranges of ``order``, of
+    whatever kind it is; each has its totals within, and starts where those before it
+    end, so no task sees all rows.
     """
-    numeric = isinstance(rows.schema[order].dataType, NumericType)  # what isn't has one range
-    bounds = sorted(set(rows.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES)))) if numeric else []
-    cut = sum((F.coalesce(F.col(order) > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
-    rows = rows.withColumn("range_no", cut)
+    most = range_rows or RANGE_ROWS
+    rows = written(rows, "running")
+    n = rows.count()
+    ranged = written(rows.repartitionByRange(-(-n // most), order).withColumn("range_no", F.spark_partition_id()), "ranges") if n > most else rows.withColumn("range_no", F.lit(0))
     keys = [*by, "range_no"]
-    inside = W.partitionBy(*keys).orderBy(order)
-    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    out = ranged.withColumns({name: F.sum(c).over(W.partitionBy(*keys).orderBy(order)) for name, c in sums.items()})
+    if n <= most:
+        return out.drop("range_no")
+    totals = ranged.groupBy(*keys).agg(*[F.sum(c).alias(f"{name}_all") for name, c in sums.items()])
     before = W.partitionBy(*by).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
-    starts = totals.select(*keys, *[F.coalesce(F.sum(f"{n}_all").over(before), F.lit(0)).alias(f"{n}_start") for n in sums])
-    out = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-    same = [out[k].eqNullSafe(starts[k]) for k in keys]
-    joined = out.join(starts, same[0] if len(same) == 1 else reduce(lambda x, y: x & y, same)).select(*[out[c] for c in rows.columns if c != "range_no"], *[(out[n] + starts[f"{n}_start"]).alias(n) for n in sums])
-    return joined
+    starts = totals.select(*keys, *[F.coalesce(F.sum(f"{name}_all").over(before), F.lit(0)).alias(f"{name}_start") for name in sums])
+    same = reduce(lambda x, y: x & y, [out[k].eqNullSafe(starts[k]) for k in keys])
+    return out.join(starts, same).select(*[out[c] for c in rows.columns], *[(out[name] + starts[f"{name}_start"]).alias(name) for name in sums])
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(…, share, quantile): exact interpolated quantiles of a column, nulls aside.
+
+    A share lies at rank share * (n - 1): between the values of the whole ranks around it,
+    which are found by running counts of the distinct values.
+    """
+    x = F.col(value).cast("double")
+    counts = rows.where(x.isNotNull()).groupBy(*by, x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = running(counts, "v", {"upto": "c"}, by)
+    sizes = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    ranked = ranked.join(sizes, list(by)) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
+    asked = ranked.withColumn("share", F.explode(F.array(*map(F.lit, map(float, shares)))))
+    rank = F.col("share") * (F.col("n") - 1)
+    low, high, first, last = F.floor(rank), F.ceil(rank), F.col("upto") - F.col("c"), F.col("upto") - 1
+    asked = asked.where((high >= first) & (low <= last)).withColumn("part", rank - low)
+    at = lambda r: F.max(F.when((r >= first) & (r <= last), F.col("v")))
+    found = asked.groupBy(*by, "share").agg(at(low).alias("a"), at(high).alias("b"), F.max("part").alias("part"))
+    return found.select(*by, "share", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
 
 
 def _totals(rows: DataFrame, sums: dict[str, str], by: tuple[str, ...]) -> DataFrame:
@@ -220,9 +242,13 @@ def hard_negatives(rows: DataFrame, ratio: float, id_col: str = "id") -> DataFra
 
 
 def summary(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean, population deviation and quartiles of a column."""
-    x = F.col(value)
-    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(1e-12))).alias("std"), *[F.percentile(x, q).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75, 0.95)])
+    """Mean, population deviation and quantiles of a column."""
+    x, shares = F.col(value), (0.25, 0.5, 0.75, 0.95)
+    stats = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(1e-12))).alias("std"))
+    cuts = quantiles(rows, value, list(shares), by).groupBy(*by).agg(*[F.max(F.when(F.col("share") == q, F.col("quantile"))).alias(f"p{int(100 * q)}") for q in shares])
+    if not by:
+        return stats.crossJoin(F.broadcast(cuts))  # one row each
+    return stats.join(cuts.select(*[F.col(k).alias(f"__{k}") for k in by], *[f"p{int(100 * q)}" for q in shares]), reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]), "left").drop(*[f"__{k}" for k in by])
 
 
 def standardise(rows: DataFrame, columns: list[str], train: Column) -> DataFrame:

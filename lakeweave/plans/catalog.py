@@ -12,7 +12,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 
-from ..functions import generated
+from ..functions import compiled, generated
 from ..functions import text as T
 from ..operators import atoms, decoder, encoder, evaluate, graph, learn, profile, report, rerank
 from ..sources import files, lake, shared
@@ -258,7 +258,7 @@ SELECT a, b, len(list_intersect(x.value_set, y.value_set)) / CAST(len(list_disti
  {JACCARD.format('x.header_value_token_set', 'y.header_value_token_set')} AS row_header_token_jaccard
 FROM j LEFT JOIN wi USING (a, b) LEFT JOIN wu USING (a, b)""")
 def j4_f6_f13_em_atoms(spark, sf_dir):
-    rows = row_profiles(spark, sf_dir)
+    rows = shared.written(row_profiles(spark, sf_dir), "rows")
     return atoms.entity(entity_pairs(spark, sf_dir), rows, profile.idf(rows), tokens=list(atoms.ATOMS["entity_matching"][2:]))
 
 
@@ -800,6 +800,34 @@ def udf_generated_feature(spark, sf_dir):
     return found.select("a", "b", F.round("column_jaccard", 9).alias("column_jaccard"))
 
 
+def user_feature(name: str, body: str) -> generated.Feature:
+    lines = ["def compute_feature(ctx):", "a = ctx['stats_a']", "b = ctx['stats_b']", "h = ctx['helpers']", *body.strip().split("\n")]
+    return generated.validate({"feature_name": name, "code": "\n    ".join(lines), "fallback_value": -1.0})
+
+
+#: Features in a user's own words: folds, sets made in loops, choices, and what goes wrong (a median that isn't there).
+USER = [
+    user_feature("value_share", "both = a['value_set'].intersection(b['value_set'])\nevery = a['value_set'].union(b['value_set'])\nreturn len(both) / len(every) if every else 0.0"),
+    user_feature("token_cover", "s = a['token_set']\nt = b['token_set']\nif not s or not t:\n    return 0.0\nreturn len(s.intersection(t)) / min(len(s), len(t))"),
+    user_feature("same_fields", "m = a['header_to_value']\nk = b['header_to_value']\nn = 0\nfor key in m.keys():\n    if key in k and m[key] == k[key]:\n        n += 1\nreturn n / max(1, len(m))"),
+    user_feature("field_share", "s = set()\nt = set()\nfor key in a['header_to_value']:\n    s.add(key + '=' + a['header_to_value'][key])\nfor key in b['header_to_value']:\n    t.add(key + '=' + b['header_to_value'][key])\nreturn h['set_jaccard'](s, t)"),
+    user_feature("median_nearness", "x = float(a['numeric_median'])\ny = float(b['numeric_median'])\nreturn 1 / (1 + abs(x - y) / max(abs(x), abs(y), 1.0))"),
+    user_feature("field_balance", "x = a['nonempty_count']\ny = b['nonempty_count']\nreturn 1.0 - abs(x - y) / max(x + y, 1)"),
+    user_feature("long_tokens", "n = 0\nfor token in a['token_set']:\n    if len(token) > 5 and token not in b['token_set']:\n        n = n + len(token)\nreturn n"),
+]
+
+
+@query(f"""WITH {ROW_SQL}, {ENTITY_PAIRS}, j AS (SELECT pairs.a, pairs.b, x, y FROM pairs JOIN prof x ON x.id = a JOIN prof y ON y.id = b)
+SELECT a, b, round({JACCARD.format('x.value_set', 'y.value_set')}, 9) AS value_share, round(len(list_intersect(x.token_set, y.token_set)) / CAST(least(len(x.token_set), len(y.token_set)) AS DOUBLE), 9) AS token_cover,
+ round(len(list_intersect(x.fields, y.fields)) / CAST(len(x.fields) AS DOUBLE), 9) AS same_fields, round({JACCARD.format('x.fields', 'y.fields')}, 9) AS field_share,
+ round(coalesce(1 / (1 + abs(x.numeric_median - y.numeric_median) / greatest(abs(x.numeric_median), abs(y.numeric_median), 1.0)), -1), 9) AS median_nearness,
+ round(1.0::DOUBLE - abs(x.nonempty_count - y.nonempty_count) / (x.nonempty_count + y.nonempty_count)::DOUBLE, 9) AS field_balance, coalesce(list_sum([length(t) for t in x.token_set if length(t) > 5 and not list_contains(y.token_set, t)]), 0)::DOUBLE AS long_tokens FROM j""")
+def udf_compiled_features(spark, sf_dir):
+    """Seven features as native columns: no Python runs."""
+    found = compiled.compute(atoms._sides(entity_pairs(spark, sf_dir), row_profiles(spark, sf_dir)), USER, ["a", "b"])
+    return found.select("a", "b", *[F.round(f.name, 9).alias(f.name) for f in USER])
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     return scoring.windowed(table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 6).alias("total"))
@@ -854,7 +882,11 @@ def k7_benefit_model(spark, sf_dir):
     return scored_rows.select("id", F.round("score", 4).alias("benefit"))
 
 
-@query()
+@query(f"""WITH {SCORED}, {MOVED}, t AS (SELECT count(*)::DOUBLE AS n, sum(s) AS a, sum(delta) AS b, sum(s * s) + 1 AS aa, sum(s * delta) AS ab, sum(delta * delta) + 1 AS bb, sum(label - s) AS r, sum((label - s) * s) AS ra, sum((label - s) * delta) AS rb FROM mv),
+d AS (SELECT *, n * (aa * bb - ab * ab) - a * (a * bb - ab * b) + b * (a * ab - aa * b) AS det FROM t)
+SELECT 'intercept' AS feature, round((r * (aa * bb - ab * ab) - a * (ra * bb - ab * rb) + b * (ra * ab - aa * rb)) / det, 6) AS weight FROM d
+UNION ALL SELECT 's', round((n * (ra * bb - ab * rb) - r * (a * bb - ab * b) + b * (a * rb - ra * b)) / det, 6) FROM d
+UNION ALL SELECT 'delta', round((n * (aa * rb - ra * ab) - a * (a * rb - ra * b) + r * (a * ab - aa * b)) / det, 6) FROM d""")
 def k8_ridge_residual(spark, sf_dir):
     rows = moved(spark, sf_dir).withColumns({"residual": F.col("label") - F.col("s"), "w": F.lit(1.0)})
     weights = rerank.normal_equations(rows, ["s", "delta"], "residual", "w")

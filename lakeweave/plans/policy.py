@@ -15,6 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from ..operators.atoms import evidence
+from ..operators.evaluate import quantiles
 
 OPERATORS = (">", ">=", "<", "<=", "between", "in_top_band")
 
@@ -208,10 +209,12 @@ def replay(stored: DataFrame, policy: Policy, options: Options = Options(), thre
 
 
 def apply(rows: DataFrame, policy: Policy, options: Options = Options(), threshold: float = 0.5, name: str = "delta") -> DataFrame:
-    """Adds the delta; bands are over all rows, their cut-offs come from one aggregate."""
+    """Adds the delta; bands are over all rows, their cut-offs found by rank."""
     bands = sorted({(c.feature, c.value) for r in relaxed(policy, options.relax).rules for c in r.conditions if c.op == "in_top_band"})
     cutoffs = {}
     if bands:
-        got = rows.agg(*[F.percentile(f, max(0.0, 1 - v)).alias(f"c{i}") for i, (f, v) in enumerate(bands)]).first()
-        cutoffs = {b: got[f"c{i}"] for i, b in enumerate(bands)}
+        for f in sorted({f for f, _ in bands}):
+            own = {v: max(0.0, 1 - v) for g, v in bands if g == f}
+            got = {r["share"]: r["quantile"] for r in quantiles(rows, f, sorted(set(own.values()))).collect()}  # a row for each cut-off
+            cutoffs |= {(f, v): got.get(share) for v, share in own.items()}
     return rows.withColumn(name, delta_column(policy, options, threshold, cutoffs))

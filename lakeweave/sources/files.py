@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import resource
+import threading
 import time
+import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 
 from ..functions.text import row_index, table_key
@@ -82,17 +85,62 @@ def pair_digest(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.agg(F.substring(F.sha1(F.concat_ws(":", F.count(F.lit(1)), F.coalesce(F.sum(h), F.lit(0)))), 1, 16).alias("digest"))
 
 
+#: Version of what ``cached`` keeps; entries of another one are made anew.
+VERSION = 1
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifest(spark: SparkSession, path: str, config: dict) -> str | None:
+    """What is wrong with an entry; None if it is whole and fits."""
+    p, fs = _file_system(spark, f"{path}/manifest")
+    if not fs.exists(p):
+        return "no manifest"
+    row = spark.read.text(f"{path}/manifest").first()
+    try:
+        said = json.loads(row["value"]) if row else {}
+    except json.JSONDecodeError:
+        return "no readable manifest"
+    if said.get("version") != VERSION or said.get("config") != json.loads(json.dumps(config)):
+        return "another version or other flags"
+    found = spark.read.parquet(f"{path}/data")
+    if found.schema.jsonValue() != said.get("schema"):
+        return "another schema"
+    return None if found.count() == said.get("rows") else "other rows than were written"
+
+
 def cached(spark: SparkSession, folder: str, config: dict, make) -> DataFrame:
-    """The table that ``make()`` gives for a configuration, kept below ``folder``."""
+    """The table that ``make()`` gives for a configuration, kept below ``folder``.
+
+    An entry is made beside its place, with a manifest of version, flags, schema and number of
+    rows, and published by one rename that never replaces another; who comes second
+    drops its own and reads the first's. An entry without a fitting manifest is put aside
+    and made anew. (On stores whose rename copies, publishing is not one step.)
+    """
     key = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
-    path = f"{folder}/{key}"
+    path, own = f"{folder}/{key}", f"{folder}/.{key}-{uuid.uuid4().hex}"
+    place, fs = _file_system(spark, path)
+    jvm = spark.sparkContext._jvm
+    if fs.exists(place):
+        if _manifest(spark, path, config) is None:
+            return spark.read.parquet(f"{path}/data")
+        fs.rename(place, jvm.org.apache.hadoop.fs.Path(f"{folder}/.broken-{key}-{uuid.uuid4().hex}"))
+    make().write.parquet(f"{own}/data")
+    found = spark.read.parquet(f"{own}/data")
+    manifest = json.dumps({"version": VERSION, "config": config, "schema": found.schema.jsonValue(), "rows": found.count()}, sort_keys=True)
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{own}/manifest")
+    mine, _ = _file_system(spark, own)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri() if place.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    make().write.mode("ignore").parquet(path)
-    return spark.read.parquet(path)
+        context.rename(mine, place, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:
+        if not fs.exists(place) or (wrong := _manifest(spark, path, config)):
+            raise RuntimeError(f"the entry at {path} could not be published") from None
+        fs.delete(mine, True)
+    return spark.read.parquet(f"{path}/data")
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
@@ -107,22 +155,71 @@ def feature_pool(names: str | Iterable[str], schema: Iterable[str] = ()) -> list
 
 
 class Events:
-    """Phases of a run as JSON lines: name, seconds and rows."""
+    """Phases of a run as JSON lines: seconds, rows, and what Spark's own records say of the stages that ran in them.
+
+    Of each phase: rows and bytes read and written, bytes shuffled and spilled, CPU
+    seconds, the most execution memory that a task had, and the most heap that an executor and
+    resident memory that this process had, by a sampler where ``every`` is set. Rows of a table
+    are counted as they pass (``counting``), without another job.
+    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.rows = spark, []
+    #: name: how a stage's records have it, and how stages are put together.
+    STAGE = {"rows_read": ("inputRecords", sum), "bytes_read": ("inputBytes", sum), "rows_written": ("outputRecords", sum), "bytes_written": ("outputBytes", sum), "shuffle_bytes": ("shuffleWriteBytes", sum), "memory_spilled": ("memoryBytesSpilled", sum), "disk_spilled": ("diskBytesSpilled", sum), "cpu_ns": ("executorCpuTime", sum), "peak_execution_memory": ("peakExecutionMemory", max), "tasks": ("numCompleteTasks", sum)}
+    SCHEMA = "phase string, seconds double, stages long, observed map<string,long>, peak_heap long, peak_resident long, samples long, " + ", ".join(f"{k} long" for k in STAGE)
+
+    def __init__(self, spark: SparkSession, every: float | None = None):
+        self.spark, self.every, self.rows = spark, every, []
+        self._watched: list[tuple[str, Observation]] = []
+
+    def counting(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, whose rows are counted for the phase in which it is first run."""
+        seen = Observation(name)
+        self._watched.append((name, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def _stages(self) -> dict[int, dict[str, int]]:
+        jvm, store = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.sc().statusStore()
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        none = jvm.java.util.ArrayList()
+        found = store.stageList(none, False, False, self.spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        stages = [found.apply(i) for i in range(found.size())]
+        return {(s.stageId(), s.attemptId()): {k: int(getattr(s, name)()) for k, (name, _) in self.STAGE.items()} for s in stages}
+
+    def _memory(self) -> tuple[int, int]:
+        """The most heap that an executor has had, and this process's resident bytes."""
+        found = self.spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        peaks = [found.apply(i).peakMemoryMetrics() for i in range(found.size())]
+        heaps = [p.get().getMetricValue("JVMHeapMemory") for p in peaks if p.isDefined()]
+        return max([0, *heaps]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
 
     @contextmanager
     def phase(self, name: str):
-        began = time.time()
+        began, before, samples, over = time.time(), set(self._stages()), [], threading.Event()
+
+        def sample() -> None:
+            while not over.wait(self.every):
+                samples.append(self._memory())
+
+        thread = threading.Thread(target=sample, daemon=True) if self.every else None
+        if thread:
+            thread.start()
         try:
             yield
         finally:
-            self.rows.append({"phase": name, "seconds": time.time() - began})
+            seconds = time.time() - began
+            over.set()
+            if thread:
+                thread.join()
+            samples.append(self._memory())
+            own = [v for k, v in self._stages().items() if k not in before]
+            observed = {n: int(o.get["rows"]) for n, o in self._watched if own and o._jo is not None}
+            self._watched = [(n, o) for n, o in self._watched if n not in observed]
+            told = {k: put([s[k] for s in own] or [0]) for k, (_, put) in self.STAGE.items()}
+            self.rows.append({"phase": name, "seconds": seconds, "stages": len(own), "observed": observed, "peak_heap": max(s[0] for s in samples), "peak_resident": max(s[1] for s in samples), "samples": len(samples), **told})
 
     def write(self, path: str) -> None:
-        self.spark.createDataFrame(self.rows, "phase string, seconds double").coalesce(1).write.mode("append").json(path)
+        self.spark.createDataFrame(self.rows, self.SCHEMA).coalesce(1).write.mode("append").json(path)
 
 
 def summarise_events(events: DataFrame) -> DataFrame:
-    return events.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"))
+    return events.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"), *[F.max(c).alias(c) for c in ("peak_heap", "peak_execution_memory") if c in events.columns])
