@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from contextlib import contextmanager
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from ..functions.text import row_index, table_key
@@ -159,23 +159,16 @@ class Events:
 
     Of each phase: rows and bytes read and written, bytes shuffled and spilled, CPU
     seconds, the most execution memory that a task had, and the most heap that an executor and
-    resident memory that this process had, by a sampler where ``every`` is set. Rows of a table
-    are counted as they pass (``counting``), without another job.
+    resident memory that this process had, by a sampler where ``every`` is set. (Counts by
+    ``Observation`` are not used: a session that has had one can't apply logistic models any more.)
     """
 
     #: name: how a stage's records have it, and how stages are put together.
-    STAGE = {"rows_read": ("inputRecords", sum), "bytes_read": ("inputBytes", sum), "rows_written": ("outputRecords", sum), "bytes_written": ("outputBytes", sum), "shuffle_bytes": ("shuffleWriteBytes", sum), "memory_spilled": ("memoryBytesSpilled", sum), "disk_spilled": ("diskBytesSpilled", sum), "cpu_ns": ("executorCpuTime", sum), "peak_execution_memory": ("peakExecutionMemory", max), "tasks": ("numCompleteTasks", sum)}
-    SCHEMA = "phase string, seconds double, stages long, observed map<string,long>, peak_heap long, peak_resident long, samples long, " + ", ".join(f"{k} long" for k in STAGE)
+    STAGE = {"rows_read": ("inputRecords", sum), "bytes_read": ("inputBytes", sum), "rows_shuffled": ("shuffleWriteRecords", sum), "rows_written": ("outputRecords", sum), "bytes_written": ("outputBytes", sum), "shuffle_bytes": ("shuffleWriteBytes", sum), "memory_spilled": ("memoryBytesSpilled", sum), "disk_spilled": ("diskBytesSpilled", sum), "cpu_ns": ("executorCpuTime", sum), "peak_execution_memory": ("peakExecutionMemory", max), "tasks": ("numCompleteTasks", sum)}
+    SCHEMA = "phase string, seconds double, stages long, peak_heap long, peak_resident long, samples long, " + ", ".join(f"{k} long" for k in STAGE)
 
     def __init__(self, spark: SparkSession, every: float | None = None):
         self.spark, self.every, self.rows = spark, every, []
-        self._watched: list[tuple[str, Observation]] = []
-
-    def counting(self, df: DataFrame, name: str) -> DataFrame:
-        """``df``, whose rows are counted for the phase in which it is first run."""
-        seen = Observation(name)
-        self._watched.append((name, seen))
-        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
 
     def _stages(self) -> dict[int, dict[str, int]]:
         jvm, store = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.sc().statusStore()
@@ -212,10 +205,8 @@ class Events:
                 thread.join()
             samples.append(self._memory())
             own = [v for k, v in self._stages().items() if k not in before]
-            observed = {n: int(o.get["rows"]) for n, o in self._watched if own and o._jo is not None}
-            self._watched = [(n, o) for n, o in self._watched if n not in observed]
             told = {k: put([s[k] for s in own] or [0]) for k, (_, put) in self.STAGE.items()}
-            self.rows.append({"phase": name, "seconds": seconds, "stages": len(own), "observed": observed, "peak_heap": max(s[0] for s in samples), "peak_resident": max(s[1] for s in samples), "samples": len(samples), **told})
+            self.rows.append({"phase": name, "seconds": seconds, "stages": len(own), "peak_heap": max(s[0] for s in samples), "peak_resident": max(s[1] for s in samples), "samples": len(samples), **told})
 
     def write(self, path: str) -> None:
         self.spark.createDataFrame(self.rows, self.SCHEMA).coalesce(1).write.mode("append").json(path)
