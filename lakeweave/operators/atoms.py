@@ -107,13 +107,14 @@ def meet(pairs: DataFrame, values: DataFrame, keys: list[str], most: int = MOST_
     parts of a value. Values of more ids are frequent, so few: they are listed for each
     pair, in ``salts`` parts of an id, and looked up on the other side.
     """
-    rows = values.select("id", *keys, "v").distinct()
+    asked = pairs.select("a", "b").distinct()
+    named = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = values.select("id", *keys, "v").join(named, "id", "left_semi").distinct()
     counts = rows.select("id", "v").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("ids")).where("ids > 1")
     rows = written(rows.join(counts, "v"), "values")
     side = lambda df, name, tag: df.select(F.col("id").alias(name), *[F.col(k).alias(f"{tag}_{k}") for k in keys], "v")
     of = ["a", "b", *[f"{tag}_{k}" for tag in ("one", "two") for k in keys]]
     few, many = rows.where(F.col("ids") <= most), rows.where(F.col("ids") > most)
-    asked = pairs.select("a", "b").distinct()
     light = side(few, "a", "one").join(side(few, "b", "two"), "v").where("a <> b").join(asked, ["a", "b"]).select(*of)
     salted = side(many, "a", "one").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
     spread = asked.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))

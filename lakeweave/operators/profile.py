@@ -34,10 +34,10 @@ def _with_headers(columns: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumns({"header_tokens": T.header_tokens("column_name"), "header_text": F.lower(F.trim("column_name"))})
 
 
-def join_columns(cells: DataFrame) -> DataFrame:
-    """Column profiles for joinability: every non-empty value counts."""
+def join_columns(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Column profiles for joinability: every non-empty value counts. ``values``: what ``join_values`` gives, if it is there already."""
     columns = cells.select("table_name", "column_name").distinct()
-    return _with_headers(columns, _shares(join_values(cells), "table_name", "column_name"))
+    return _with_headers(columns, _shares(join_values(cells) if values is None else values, "table_name", "column_name"))
 
 
 def _clean(cells: DataFrame) -> DataFrame:
@@ -45,15 +45,21 @@ def _clean(cells: DataFrame) -> DataFrame:
     return cells.withColumn("v", v).withColumn("missing", T.is_missing("v"))
 
 
-def schema_values(cells: DataFrame) -> DataFrame:
+def schema_counts(cells: DataFrame) -> DataFrame:
+    """(table_name, column_name, v, missing, n): every distinct value, those that count as missing too."""
+    return _clean(cells).groupBy("table_name", "column_name", "v", "missing").agg(F.count(F.lit(1)).alias("n"))
+
+
+def schema_values(cells: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(table_name, column_name, v, n) without values that count as missing."""
-    return _clean(cells).where("not missing").groupBy("table_name", "column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    return (schema_counts(cells) if counts is None else counts).where("not missing").select("table_name", "column_name", "v", "n")
 
 
-def schema_columns(cells: DataFrame) -> DataFrame:
-    """Column profiles for schema matching, with the share of missing cells (1 for a column without rows)."""
-    columns = _clean(cells).groupBy("table_name", "column_name").agg(F.avg(F.col("missing").cast("double")).alias("missing_ratio"))
-    return _with_headers(columns, _shares(schema_values(cells), "table_name", "column_name")).fillna(1.0, subset=["missing_ratio"])
+def schema_columns(cells: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Column profiles for schema matching, with the share of missing cells (1 for a column without rows). ``counts``: what ``schema_counts`` gives, if it is there already."""
+    counts = schema_counts(cells) if counts is None else counts
+    columns = counts.groupBy("table_name", "column_name").agg((F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)) / F.sum("n")).alias("missing_ratio"))
+    return _with_headers(columns, _shares(schema_values(cells, counts), "table_name", "column_name")).fillna(1.0, subset=["missing_ratio"])
 
 
 def union_values(cells: DataFrame, most: int = TABLE_VALUES) -> DataFrame:

@@ -169,7 +169,8 @@ EDIT = "CASE WHEN {0} = {1} THEN 1.0 ELSE 1.0 - levenshtein({0}, {1}) / CAST(gre
 
 def _join_atoms(spark, sf_dir):
     c = cells(spark, sf_dir)
-    return atoms.joinable(key_pairs(spark), with_id(profile.join_columns(c)), with_id(profile.join_values(c)).select("id", "v"))
+    values = shared.written(profile.join_values(c), "values")
+    return atoms.joinable(key_pairs(spark), with_id(profile.join_columns(c, values)), with_id(values).select("id", "v"))
 
 
 @query(f"""WITH {VALUES}, {SHARES}, {PAIRS}, {COLUMN_PAIRS},
@@ -192,7 +193,8 @@ SELECT a, b, {JACCARD.format('ha', 'hb')} AS header_token_jaccard, {EDIT.format(
 FROM joined JOIN m ma ON ma.id = a JOIN m mb ON mb.id = b""")
 def sm_atoms(spark, sf_dir):
     c = cells(spark, sf_dir)
-    return atoms.schema(key_pairs(spark), with_id(profile.schema_columns(c)), with_id(profile.schema_values(c)).select("id", "v"))
+    counts = shared.written(profile.schema_counts(c), "counts")
+    return atoms.schema(key_pairs(spark), with_id(profile.schema_columns(c, counts)), with_id(profile.schema_values(c, counts)).select("id", "v"))
 
 
 def _union_inputs(spark, sf_dir):
