@@ -105,3 +105,8 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
     """A Markdown table of a report's few rows."""
     line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
     return "\n".join([line(columns), line(["---"] * len(columns)), *[line([r.get(c, "") for c in columns]) for r in rows]])
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A report's few rows as one CSV file with its header, below ``path``."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)

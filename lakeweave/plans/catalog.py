@@ -1015,6 +1015,26 @@ def y9_standardised_channels(spark, sf_dir):
     return found.select("id", F.round("c1", 7).alias("c1"), F.round("c2", 7).alias("c2"))
 
 
+@query(f"""WITH {FEATURE_SQL}, c AS (SELECT id, greatest(f1, 0)::DOUBLE AS c1, 0.0::DOUBLE - f2 AS c2, (greatest(f1, f2, 0) - least(f1, 0))::DOUBLE AS c3 FROM f),
+m AS (SELECT avg(c1) AS m1, sqrt(greatest(avg(c1 * c1) - avg(c1) * avg(c1), 1e-12)) AS s1, avg(c2) AS m2, sqrt(greatest(avg(c2 * c2) - avg(c2) * avg(c2), 1e-12)) AS s2, avg(least(2, c3)) AS m3, sqrt(greatest(avg(least(2, c3) * least(2, c3)) - avg(least(2, c3)) * avg(least(2, c3)), 1e-12)) AS s3 FROM c WHERE id % 3 > 0),
+t AS (SELECT id, [(c1 - m1) / s1, (c2 - m2) / s2, (least(2, c3) - m3) / s3] AS x FROM c, m)
+SELECT id, CAST(pos AS INT) AS pos, round(v, 7) AS x FROM (SELECT id, unnest(range(6)) AS pos, unnest(list_concat(x, x)) AS v FROM t)""")
+def y9_tiled_channels(spark, sf_dir):
+    """Three channels, standardised and twice over; the third feature is missing and counts as 0."""
+    spec = specs.validate(SPEC, FEATURES)
+    found = specs.representation(features(spark, sf_dir).drop("f3"), spec, repeat=2, train=F.col("id") % 3 > 0)
+    return found.select("id", F.posexplode("channels").alias("pos", "x")).select("id", "pos", F.round("x", 7).alias("x"))
+
+
+@query("""WITH g AS (SELECT DISTINCT o_orderkey AS s, o_custkey AS d FROM orders), n AS (SELECT l_orderkey AS s, l_suppkey AS d FROM lineitem UNION SELECT l_suppkey, l_orderkey FROM lineitem)
+SELECT s AS src, count(*) AS added FROM (SELECT * FROM n EXCEPT SELECT * FROM g) GROUP BY 1""")
+def u1_added_edges(spark, sf_dir):
+    """Edges that a graph gains both ways, counted per source."""
+    typed = lambda df, a, b: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(0).alias("type_id"))
+    own, new = typed(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey"), typed(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
+    return graph.added(own, new).groupBy("src").agg(F.count(F.lit(1)).alias("added"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions_per_user(spark, sf_dir):

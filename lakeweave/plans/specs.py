@@ -12,7 +12,7 @@ from pathlib import Path
 from typing import Any
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 
 from .expression import LOGIT, ExpressionError, parse
 
@@ -198,6 +198,26 @@ def score_column(spec: Spec, allowed: Iterable[str], features: dict[str, Column]
     return F.least(F.greatest(total, F.lit(spec.hint[0])), F.lit(spec.hint[1])) if spec.hint else total
 
 
+def representation(rows: DataFrame, spec: Spec, kind: str = "auto", repeat: int = 1, train: Column | None = None, name: str = "channels") -> DataFrame:
+    """Adds an array of what a decoder reads of a spec: its channels (``concat``) or their score (``aggregation``), one after another, ``repeat`` times over.
+
+    ``auto`` takes the channels of a spec of version 2, else the score. Features of the
+    spec that ``rows`` has no column for, and nulls, count as 0. With ``train`` every number is less its mean over
+    those rows, over its deviation there.
+    """
+    from ..operators.evaluate import standardise
+
+    kind = ("concat" if spec.version == "v2" else "aggregation") if kind == "auto" else kind
+    if kind not in ("concat", "aggregation"):
+        raise ValueError(f"unknown kind: {kind}")
+    features = {f: F.coalesce(F.col(f), F.lit(0.0)) if f in rows.columns else F.lit(0.0) for f in spec.features}
+    made = channel_columns(spec, features, features) if kind == "concat" else [score_column(spec, features, features)]
+    names = [f"__channel_{i}" for i in range(len(made))]
+    out = rows.withColumns(dict(zip(names, made, strict=True)))
+    out = out if train is None else standardise(out, names, train)
+    return out.withColumn(name, F.flatten(F.array_repeat(F.array(*names), max(1, repeat)))).drop(*names)
+
+
 def decision_column(spec: Spec, score: Column) -> Column:
     from ..operators.evaluate import decide
 

@@ -149,3 +149,20 @@ def test_mine_above(spark):
     assert {r["id"] for r in evaluate.mine_above(rows, 0.5).collect()} == {1}
     assert {r["id"] for r in evaluate.mine_above(rows, 0.5, ("batch",), 1).collect()} == {1, 3}
     assert rows.where(F.col("score") >= 0.5).count() == 1
+
+
+def test_representation(spark):
+    from lakeweave.plans import specs
+
+    doc = {"spec_version": "v2", "task": "entity_matching", "output_name": "s", "decision": {"threshold": 0.5, "positive_if": ">="}, "channels": [{"name": "c1", "role": "level", "expression": "f1"}, {"name": "c2", "role": "sum", "expression": "f1 + f2"}], "aggregation": {"weights": [1, 2], "bias": 0, "postprocess": "none"}}
+    spec = specs.validate(doc, ["f1", "f2"])
+    rows = spark.createDataFrame([(1, 3.0), (2, None)], "id long, f1 double")
+    assert [r["channels"] for r in specs.representation(rows, spec, repeat=2).orderBy("id").collect()] == [[3, 3, 3, 3], [0, 0, 0, 0]]
+    assert [r["channels"] for r in specs.representation(rows, spec, "aggregation").orderBy("id").collect()] == [[9], [0]]
+    with pytest.raises(ValueError, match="kind"):
+        specs.representation(rows, spec, "sum")
+
+
+def test_csv_report(spark, tmp_path):
+    report.write_csv(spark.createDataFrame([("a, b", 1.5), ("c", None)], "k string, v double"), str(tmp_path / "r"))
+    assert next((tmp_path / "r").glob("*.csv")).read_text() == 'k,v\n"a, b",1.5\nc,\n'
