@@ -1,4 +1,5 @@
 import json
+import os
 import threading
 
 import numpy as np
@@ -104,3 +105,14 @@ def test_quantiles_by_rank(spark, monkeypatch, range_rows):
     whole = {r["share"]: r["quantile"] for r in evaluate.quantiles(table, "x", shares).collect()}
     assert [whole[q] for q in shares] == pytest.approx(np.quantile(every, shares).tolist())
     assert "percentile" not in evaluate.summary(table, "x", ("g",))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_was_written_can_be_removed(spark, monkeypatch):
+    from lakeweave.sources import shared
+
+    monkeypatch.setattr(shared, "_MADE", [])
+    table = shared.written(spark.range(3), "some")
+    assert table.count() == 3 and len(shared._MADE) == 1
+    path = shared._MADE[0].removeprefix("file:")
+    shared.clean(spark)
+    assert not shared._MADE and not os.path.exists(path)

@@ -50,7 +50,7 @@ def squares(n, seed=5):
 
 def test_hidden_layers_learn_what_a_line_cannot(spark):
     rows = table(spark, *squares(800))
-    model, threshold, history = decoder.train(rows.where("id % 4 > 0"), rows.where("id % 4 = 0"), hidden=12, epochs=25, patience=25, batches=4, rate=0.03)
+    model, threshold, history = decoder.train(rows.where("id % 4 > 0"), rows.where("id % 4 = 0"), hidden=16, epochs=16, patience=16, batches=2, rate=0.1)
     assert max(h["f1"] for h in history) > 0.9 and history[-1]["loss"] < history[0]["loss"]
     flat = rows.withColumns({"a": F.col("x")[0], "b": F.col("x")[1]})
     line = learn.score(learn.train_decoder(flat.where("id % 4 > 0"), ["a", "b"]), flat.where("id % 4 = 0"))
