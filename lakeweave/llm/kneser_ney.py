@@ -9,19 +9,21 @@ longer and shorter ones that bear on them, are then in one shard, so that
 continuation counts, context sums and interpolation are local to it; n-grams of one
 and two bytes, 65,536 a language at most, are worked out per language and joined to
 all shards. There is a model for each language with enough trusted documents and
-one of all for the rest: also for languages with few documents held out.
+one of all for the rest: also for languages with no document held out.
 
 Documents are scored by joins, and no model is ever whole in one place. Texts are
 dealt into blocks of bounded size by a hash of the row. A block asks once for each
 distinct n-gram in it; questions meet the counts of their shard, and the answers go
 back to the block, which adds them up per document. Shards are as many as the
 model's rows need, and shards that many blocks ask are made several times over. A
-language's limit is a quantile of the perplexity of held-out trusted documents. All
-is the same at every size.
+language's limit is a quantile of the perplexity of its held-out trusted documents,
+shrunk towards the shape of all languages where they are few (``limits_of``): every
+language with a model and a held-out document has a limit of its own. All is the
+same at every size.
 
 Nulls: a null language uses the model of all; a text without words has no
 perplexity and is rejected; a null label or id is not trusted. Repeated rows are
-judged one by one; ids labelled twice are trusted if every label is good. A
+judged one by one, those of a task dealt over many blocks; ids labelled twice are trusted if every label is good. A
 document at its limit is kept. Very long texts are counted and scored in runs of
 bounded size. An empty table gives no rows. Without trusted text all texts with
 words are kept. Other columns are kept by ``keep_good`` and not read by ``judge``,
@@ -53,6 +55,10 @@ SHARD_ROWS, BLOCKS = 1_000_000, 8
 MOST_KEYS = 1_500_000
 #: Trusted ids up to which their table is broadcast, at 8 bytes each.
 MOST_IDS = 4_000_000
+#: Documents of the shape of all languages that are added to a language's own for its limit.
+PRIOR = 50
+#: Upper share of that shape that is an exponential tail, and the points that stand for it.
+TAIL, TAIL_POINTS = 0.1, 400
 #: Steps of cross entropy per nat in histograms.
 STEPS = 1000
 UNIFORM = 1 / 256
@@ -247,11 +253,27 @@ def logs(wanted: np.ndarray, grams: tuple[np.ndarray, np.ndarray], known: tuple[
     return out
 
 
+def _earlier(code: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """For each hash, how many like it came before, in this batch and in ``seen``, which is brought up to date."""
+    order = np.argsort(code, kind="stable")
+    values, first, n = np.unique(code[order], return_index=True, return_counts=True)
+    before = np.array([seen.get(v, 0) for v in values.tolist()], np.int64)
+    seen.update(zip(values.tolist(), (before + n).tolist(), strict=True))
+    out = np.empty(len(code), np.int64)
+    out[order] = np.arange(len(code)) - np.repeat(first - before, n)
+    return out
+
+
 def _pack(batches, blocks: int):
-    """Rows of a batch that belong to the same block, as one compressed message. The last column has the row's hash."""
-    schema, written = pa.schema([("block", pa.int64()), ("data", pa.binary())]), pa.ipc.IpcWriteOptions(compression="zstd")
+    """Rows of a batch that belong to the same block, as one compressed message. The last column has the row's hash.
+
+    Equal rows of a task go to one block after another. As they are equal, their order
+    does not matter: a task that is run again deals the same rows to the same blocks.
+    """
+    schema, written, seen = pa.schema([("block", pa.int64()), ("data", pa.binary())]), pa.ipc.IpcWriteOptions(compression="zstd"), {}
     for batch in batches:
-        block = (batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+        code = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
+        block = ((code % np.uint64(blocks)).astype(np.int64) + _earlier(code, seen)) % blocks
         own = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
         order = np.argsort(block, kind="stable")
         edges = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
@@ -380,13 +402,50 @@ def _trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lan
     ids = cached(ids)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "id")
-    return own.select("text", "lang", (F.pmod(F.xxhash64("id"), F.lit(10)) == 0).alias("held"))
+    return own.select("id", "text", "lang", (F.pmod(F.xxhash64("id"), F.lit(10)) == 0).alias("held"))
+
+
+def _quantile(values: np.ndarray, weights: np.ndarray, q: float) -> float:
+    """The smallest value that a share ``q`` of the weight reaches up to."""
+    at = np.argsort(values, kind="stable")
+    reach = np.cumsum(weights[at])
+    return float(values[at][np.searchsorted(reach, q * reach[-1] * (1 - 1e-12))])
+
+
+def limits_of(steps: dict[str, tuple[np.ndarray, np.ndarray]], lose: float, prior: float = PRIOR) -> dict[str, float]:
+    """Limits from the histograms of held-out documents (steps of cross entropy, and how many): "" of all, the others of languages.
+
+    That of all is the plain quantile ``1 - lose``. A language with n documents and the
+    median m has m plus that quantile of its documents' distances from m, to which the
+    distances of all languages, each from its own median, are added with a weight of
+    ``prior`` documents together. Few documents do not reach as far as ``1 - lose``, so
+    the upper tenth of the distances that are added is an exponential tail with their
+    mean. They are stretched by sqrt(1 + pi / 2n), by which a distance from the median of
+    n documents scatters more than one from the true median.
+    """
+    medians = {lang: _quantile(x, n, 0.5) for lang, (x, n) in steps.items() if lang}
+    out = {"": (_quantile(*steps[""], 1 - lose) + 1) / STEPS} if "" in steps else {}
+    if not medians:
+        return out
+    away = np.concatenate([steps[lang][0] - m for lang, m in medians.items()])
+    docs = np.concatenate([steps[lang][1] for lang in medians]).astype(float)
+    top = _quantile(away, docs, 1 - TAIL)
+    above = away > top
+    excess = np.average(away[above] - top, weights=docs[above]) if above.any() else 0.0
+    odds = (np.arange(TAIL_POINTS) + 0.5) / TAIL_POINTS
+    shape = np.append(away[~above], top - excess * np.log(odds))
+    weight = np.append((1 - TAIL) * docs[~above] / docs[~above].sum(), np.full(TAIL_POINTS, TAIL / TAIL_POINTS)) * prior
+    for lang, m in medians.items():
+        x, n = steps[lang]
+        reach = np.append(x - m, shape * np.sqrt(1 + np.pi / 2 / n.sum()))
+        out[lang] = (m + _quantile(reach, np.append(n, weight), 1 - lose) + 1) / STEPS
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, lose: float = 0.005, least_docs: int = 20, least_held: int = 50, shard_rows: int = SHARD_ROWS, block_bytes: int = BLOCK_BYTES) -> Judge:
-    """Models from the trusted part of ``docs``, and per language the quantile ``1 - lose`` of held-out trusted documents' cross entropy.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, lose: float = 0.005, least_docs: int = 20, prior: float = PRIOR, shard_rows: int = SHARD_ROWS, block_bytes: int = BLOCK_BYTES) -> Judge:
+    """Models from the trusted part of ``docs``, and per language the limit from held-out trusted documents' cross entropy (``limits_of``).
 
-    A language of which fewer than ``least_held`` documents are held out has no quantile worth the name and uses the model of all.
+    A language with fewer than ``least_docs`` trusted documents to learn from, or none held out, uses the model of all.
     """
     trusted = _trusted(docs, labels, id_col, text_col, lang_col)
     raw = cached(trusted.where("not held").select("text", "lang").mapInArrow(partial(_grams, order=order), "lang string, key long, n long, docs long"))
@@ -404,16 +463,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     judge = Judge(rows, order, shards, frozenset(enough))
     if rows.isEmpty():
         return Judge(None, order, shards)
-    held = trusted.where("held").select("text", "lang")
+    held = trusted.where("held").select("id", "text", "lang")  # ids spread copies of a text over blocks
     held = held.unionByName(held.where(F.col("lang").isin(enough)).withColumn("lang", F.lit("")))  # once more under the model of all
     steps = _scored(held.withColumn("lang", F.when(F.col("lang").isin(enough), F.col("lang")).otherwise("")), judge, "text", "lang", _entropies, "lang string, step long", block_bytes)
     rows = steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    for lang, part in rows.groupby("lang"):
-        part = part.sort_values("step")
-        if lang and part["n"].sum() < least_held:
-            continue
-        reach = np.cumsum(part["n"].to_numpy()) >= (1 - lose) * part["n"].sum()
-        judge.limits[lang] = float((part["step"].to_numpy()[np.argmax(reach)] + 1) / STEPS)
+    judge.limits = limits_of({lang: (part["step"].to_numpy(), part["n"].to_numpy()) for lang, part in rows.groupby("lang")}, lose, prior)
     return judge
 
 

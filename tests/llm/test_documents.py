@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 import xxhash
@@ -241,6 +242,73 @@ def test_quality_classifier_on_labelled_documents(spark):
     assert kneser_ney.keep_good(docs, empty).count() == docs.where("trim(text) <> ''").count() == kneser_ney.judge(docs, empty).where("kept").count()
 
 
+def test_limits_of_languages_equal_their_definition(spark):
+    """Models of languages one by one; their limits from their own held-out documents and the shape of all."""
+    rng, docs = random.Random(14), []
+    for lang, letters, n in (("aa", "abc", 300), ("bb", "bcdé", 120), ("cc", "xyz", 60)):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(40)]
+        docs += [(len(docs) + i, " ".join(rng.choice(words) for _ in range(rng.randint(2, 12))), lang) for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in docs], "doc_id long, quality int, toxic int")
+    model = kneser_ney.fit(df, labels, order=3, lose=0.05, prior=20, block_bytes=500)
+    held = is_held(spark, {i for i, _, _ in docs})
+    steps = {}
+    for lang in ("aa", "bb", "cc"):
+        own = [(i, t) for i, t, x in docs if x == lang]
+        h = brute_kn([t for i, t in own if i not in held], 3, [t for i, t in own if i in held])
+        steps[lang] = sorted(math.floor(x * kneser_ney.STEPS) for x in h)
+    assert min(map(len, steps.values())) >= 3
+    middle = {lang: x[math.ceil(len(x) / 2) - 1] for lang, x in steps.items()}
+    away = sorted(x - middle[lang] for lang, some in steps.items() for x in some)
+    top = away[math.ceil(0.9 * len(away) - 1e-9) - 1]
+    body, over = [x for x in away if x <= top], [x - top for x in away if x > top]
+    n = kneser_ney.TAIL_POINTS
+    shape = [(x, 18 / len(body)) for x in body] + [(top - sum(over) / len(over) * math.log((k + 0.5) / n), 2 / n) for k in range(n)]
+    for lang, some in steps.items():
+        stretch = math.sqrt(1 + math.pi / (2 * len(some)))
+        mass = sorted([(x - middle[lang], 1.0) for x in some] + [(x * stretch, w) for x, w in shape])
+        reach = 0.0
+        for x, w in mass:
+            reach += w
+            if reach >= 0.95 * (len(some) + 20) - 1e-9:
+                break
+        assert model.limits[lang] == pytest.approx((middle[lang] + x + 1) / kneser_ney.STEPS, abs=0.0025)
+    got = {r["lang"]: r["threshold"] for r in kneser_ney.judge(df, model, block_bytes=500).join(df.drop("text"), "doc_id").select("lang", "threshold").distinct().collect()}
+    assert got == {lang: pytest.approx(math.exp(model.limits[lang])) for lang in steps}
+
+
+def test_a_language_keeps_its_own_quantile_as_it_grows_and_the_shape_of_all_where_it_is_small():
+    many = np.arange(1000, 2000), np.ones(1000, int)
+    limits = kneser_ney.limits_of({"": many, "en": (many[0] * 2, many[1] * 1000), "fr": (np.array([500]), np.array([1]))}, 0.01)
+    assert limits[""] == (1989 + 1) / kneser_ney.STEPS
+    assert limits["en"] == pytest.approx(3979 / kneser_ney.STEPS, abs=0.003)
+    assert 1.2 < limits["fr"] < 2.5  # its one document, and how far those of all lie from the middle
+    assert kneser_ney.limits_of({}, 0.01) == {} and kneser_ney.limits_of({"": many}, 0.01).keys() == {""}
+
+
+def test_every_language_of_a_small_table_has_its_own_limit(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = kneser_ney.fit(docs, labels)
+    assert set(model.served()) == {"", "de", "en", "es", "fr"} and len(set(model.limits.values())) == 5
+
+
+def test_equal_rows_are_dealt_over_all_blocks(spark):
+    """A text that half of the rows share: no block has more than its part, and all copies have one verdict."""
+    rng = random.Random(3)
+    docs = [(1, "the same text again and again", "en")] * 10_000 + [(i, " ".join(rng.choice(WORDS) for _ in range(6)), "en") for i in range(2, 2000)]
+    code = np.array([7, 7, 9, 7], np.uint64)
+    seen: dict[int, int] = {}
+    assert kneser_ney._earlier(code, seen).tolist() == [0, 1, 0, 2] and kneser_ney._earlier(code, seen).tolist() == [3, 4, 1, 5] and seen == {7: 6, 9: 2}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(2)
+    packed = df.select("*", kneser_ney.row_hash(df).alias("h")).mapInArrow(lambda b: kneser_ney._pack(b, 16), "block long, data binary")
+    rows = packed.rdd.map(lambda r: (r["block"], sum(1 for b in pa.ipc.open_stream(r["data"]) for x in b.column("doc_id").to_pylist() if x == 1))).reduceByKey(lambda a, b: a + b).collect()
+    assert len(rows) == 16 and sum(n for _, n in rows) == 10_000 and max(n for _, n in rows) <= 10_000 // 16 + 2
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 1000)], "doc_id long, quality int, toxic int")
+    model = kneser_ney.fit(df, labels, block_bytes=20_000)
+    judged = kneser_ney.judge(df, model, block_bytes=20_000)
+    assert judged.count() == len(docs) and judged.where("doc_id = 1").select("perplexity", "kept").distinct().count() == 1
+
+
 def test_languages_without_a_limit_of_their_own_use_the_model_of_all(spark):
     rng = random.Random(8)
     plain = lambda: " ".join(rng.choice(["the", "house", "of", "stone", "und", "wasser", "rivers"]) for _ in range(40))
@@ -251,7 +319,7 @@ def test_languages_without_a_limit_of_their_own_use_the_model_of_all(spark):
     tried = [(-1, junk[0], None), (-2, junk[1], "xx"), (-3, junk[2], "fr"), (-4, "the house of stone und wasser " * 6, None), (-5, "the house of stone und wasser " * 6, "fr"), (-6, "the house of stone und wasser " * 6, "xx")]
     docs = spark.createDataFrame(good + tried, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in good], "doc_id long, quality int, toxic int")
-    model = kneser_ney.fit(docs, labels, least_held=10)
+    model = kneser_ney.fit(docs, labels)
     assert model.languages == {"de", "en", "fr"} and {"", "de", "en"} == set(model.limits) == set(model.served())
     rows = {r["doc_id"]: r["kept"] for r in kneser_ney.judge(docs, model).where("doc_id < 0").collect()}
     assert rows == {-1: False, -2: False, -3: False, -4: True, -5: True, -6: True}
