@@ -420,7 +420,7 @@ def limits_of(steps: dict[str, tuple[np.ndarray, np.ndarray]], lose: float, prio
     distances of all languages, each from its own median, are added with a weight of
     ``prior`` documents together. Few documents do not reach as far as ``1 - lose``, so
     the upper tenth of the distances that are added is an exponential tail with their
-    mean. They are stretched by sqrt(1 + pi / 2n), by which a distance from the median of
+    median, which one odd document does not move. They are stretched by sqrt(1 + pi / 2n), by which a distance from the median of
     n documents scatters more than one from the true median.
     """
     medians = {lang: _quantile(x, n, 0.5) for lang, (x, n) in steps.items() if lang}
@@ -431,7 +431,8 @@ def limits_of(steps: dict[str, tuple[np.ndarray, np.ndarray]], lose: float, prio
     docs = np.concatenate([steps[lang][1] for lang in medians]).astype(float)
     top = _quantile(away, docs, 1 - TAIL)
     above = away > top
-    excess = np.average(away[above] - top, weights=docs[above]) if above.any() else 0.0
+    over, n_over = away[above] - top, docs[above]
+    excess = (_quantile(over, n_over, 0.5) - _quantile(-over, n_over, 0.5)) / 2 / np.log(2) if above.any() else 0.0
     odds = (np.arange(TAIL_POINTS) + 0.5) / TAIL_POINTS
     shape = np.append(away[~above], top - excess * np.log(odds))
     weight = np.append((1 - TAIL) * docs[~above] / docs[~above].sum(), np.full(TAIL_POINTS, TAIL / TAIL_POINTS)) * prior

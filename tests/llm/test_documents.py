@@ -262,8 +262,8 @@ def test_limits_of_languages_equal_their_definition(spark):
     away = sorted(x - middle[lang] for lang, some in steps.items() for x in some)
     top = away[math.ceil(0.9 * len(away) - 1e-9) - 1]
     body, over = [x for x in away if x <= top], [x - top for x in away if x > top]
-    n = kneser_ney.TAIL_POINTS
-    shape = [(x, 18 / len(body)) for x in body] + [(top - sum(over) / len(over) * math.log((k + 0.5) / n), 2 / n) for k in range(n)]
+    n, excess = kneser_ney.TAIL_POINTS, float(np.median(over)) / math.log(2)
+    shape = [(x, 18 / len(body)) for x in body] + [(top - excess * math.log((k + 0.5) / n), 2 / n) for k in range(n)]
     for lang, some in steps.items():
         stretch = math.sqrt(1 + math.pi / (2 * len(some)))
         mass = sorted([(x - middle[lang], 1.0) for x in some] + [(x * stretch, w) for x, w in shape])
