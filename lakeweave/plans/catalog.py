@@ -579,6 +579,15 @@ def w5_neighbour_sampling(spark, sf_dir):
     return graph.sample_neighbours(fk_graph(spark, sf_dir), table(spark, sf_dir, "part").select((F.col("p_partkey") * 10 + 2).alias("node")), (10, 5))
 
 
+@query(f"WITH {GRAPH} SELECT dst AS node, least(10, count(DISTINCT src)) AS n, least(10, count(DISTINCT src)) AS others, CAST(0 AS BIGINT) AS strays FROM g JOIN part ON dst = p_partkey * 10 + 2 GROUP BY 1")
+def w5_first_hop(spark, sf_dir):
+    """Of each part's sampled neighbours: how many, how many different, how many it has no edge from."""
+    g, seeds = fk_graph(spark, sf_dir), table(spark, sf_dir, "part").select((F.col("p_partkey") * 10 + 2).alias("node"))
+    real = g.select("src", "dst").distinct().withColumn("edge", F.lit(1))
+    found = graph.sample_neighbours(g, seeds, (10,)).join(real, ["src", "dst"], "left")
+    return found.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("others"), F.sum(F.col("edge").isNull().cast("long")).alias("strays"))
+
+
 PART_EDGES = "e AS (SELECT l_partkey AS u, l_suppkey + 1000000 AS v FROM lineitem WHERE l_suppkey % 5 = 0 UNION SELECT l_partkey, l_partkey % 7 + 1 FROM lineitem UNION SELECT p_partkey, k FROM part, range(1, 41) r(k) WHERE p_partkey <= 40 AND (p_partkey + k) % 13 <> 0)"
 
 
@@ -682,7 +691,8 @@ def s19_f22_mean_std_cells(spark, sf_dir):
     return o.select("id", "x.mean", "x.std")
 
 
-@query()
+@query(r"""SELECT event_id, coalesce(nullif(trim(regexp_replace(event_type, '[^0-9A-Za-z_.-]+', '_', 'g'), '._-'), ''), 'item') AS token,
+nullif(regexp_extract(regexp_replace(props, '(?m)^\s*```.*$', '', 'g'), '(?s)\{.*\}', 0), '') AS json, nullif(split_part(event_type, ' ', 1), '') AS flag FROM events""")
 def f19_f21_f27_text_helpers(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", T.path_token("event_type").alias("token"), T.json_object("props").alias("json"), T.flag_value(F.concat(F.lit("run --mode "), F.col("event_type")), "mode").alias("flag"))
