@@ -51,11 +51,12 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
-def split_rows(split: DataFrame, most: int = 500_000) -> DataFrame:
-    """(table_name, row_idx) named by a split's pairs, either spelling of a table counting as one; at most ``most``."""
+def split_rows(split: DataFrame, most: int | None = None) -> DataFrame:
+    """(table_name, row_idx) named by a split's pairs, either spelling of a table counting as one; all of them, or the first ``most`` if that is given."""
     one = split.select(table_key("ltable_name").alias("table_name"), row_index("l_id").alias("row_idx"))
     two = split.select(table_key("rtable_name").alias("table_name"), row_index("r_id").alias("row_idx"))
-    return one.unionByName(two).where("row_idx is not null").distinct().orderBy("table_name", "row_idx").limit(most)
+    found = one.unionByName(two).where("row_idx is not null").distinct()
+    return found if most is None else found.orderBy("table_name", "row_idx").limit(most)
 
 
 def write_archive(rows: DataFrame, path: str, track: str, settings: dict) -> None:

@@ -140,3 +140,8 @@ def test_pairs_of_a_stream_are_scored(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("scores").collect()} == {(1, 2, 0.5), (1, 9, 0.0)}
+
+
+def test_split_rows_are_all_there(spark):
+    split = spark.range(500_001).selectExpr("'a.csv' as ltable_name", "id as l_id", "'b' as rtable_name", "0 as r_id")
+    assert files.split_rows(split).count() == 500_002 and files.split_rows(split, 10).count() == 10
