@@ -24,3 +24,29 @@ def test_names_are_compared_once_and_by_many_tasks(spark):
 
 def test_texts_are_dealt_out_before_they_are_cut(spark):
     assert dealt(catalog.f10_js_similarity(spark, SF)) == 2
+
+
+def test_values_are_counted_per_column_and_dealt_by_value(spark):
+    counted = catalog.counted(spark, SF)
+    assert dealt(counted) == 1
+    cells = catalog.cells(spark, SF).groupBy("table_name", "col_idx", "column_name", "raw").agg({"row_idx": "min", "*": "count"}).collect()
+    assert sorted((r["table_name"], r["col_idx"], r["column_name"], r["raw"], r["count(1)"], r["min(row_idx)"]) for r in cells) == sorted(map(tuple, counted.collect()))
+
+
+def test_values_of_wide_columns_meet_in_parts(spark, monkeypatch):
+    from lakeweave.operators import atoms
+
+    asked = []
+    monkeypatch.setattr(atoms, "parts", lambda *t: asked.append([d.count() for d in t]) or 7)
+    values = spark.createDataFrame([(i, str(v)) for i in "ab" for v in range(20)] + [("c", "1")], "id string, v string")
+    pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    assert [tuple(r) for r in atoms.shared_values(pairs, values).collect()] == [("a", "b", 20)] and asked == [[40]]
+
+
+def test_first_values_are_ranked_in_parts(spark):
+    from lakeweave.operators import profile
+
+    cells = spark.range(3000).selectExpr("'t' as table_name", "id as row_idx", "0 as col_idx", "'c' as column_name", "concat('v', id % 2000) as raw")
+    found = profile.union_values(cells, 1500)
+    assert sorted(r["v"] for r in found.collect()) == sorted(f"v{i}" for i in range(1500))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
