@@ -8,7 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
-from ..sources.shared import written
+from ..sources.shared import parts, written
 
 #: Edge types and their ids; the last four are tasks, which never carry messages.
 EDGE_TYPES = ("token_cell", "cell_row", "cell_column", "row_table", "column_table", "entity_matching", "joinable_table_search", "schema_matching", "union_table_search")
@@ -70,7 +70,9 @@ def nodes_of_kind(graph: DataFrame, kind: str) -> DataFrame:
 def without_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (u, v) of two nodes that no edge (src, dst) joins, in either direction."""
     one = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    return pairs.where("u <> v").join(one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), ["u", "v"], "left_anti")
+    either = one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    n = parts(pairs, either)
+    return pairs.where("u <> v").repartition(n, "u", "v").join(either.repartition(n, "u", "v"), ["u", "v"], "left_anti")
 
 
 def degrees(graph: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -158,11 +160,12 @@ def with_negatives(labelled: DataFrame, extra: DataFrame) -> DataFrame:
 def sample_neighbours(graph: DataFrame, seeds: DataFrame, fanouts: tuple[int, ...] = (10, 5), seed: int = 0) -> DataFrame:
     """(hop, dst, src): up to ``fanouts[hop]`` incoming neighbours of each node, hop by hop, by hash order.
 
-    A node of any degree is cut down by a combining aggregate, not a sort of all its edges.
+    Edges are dealt by node into as many parts as their number asks for; a node's are cut down in 64 parts first.
     """
+    n = parts(graph)
     out, frontier = None, seeds.select(F.col("node").alias("dst")).distinct()
     for hop, fanout in enumerate(fanouts):
-        near = graph.select("src", "dst").join(frontier, "dst").distinct().withColumn("part", F.pmod(F.xxhash64("src"), F.lit(64)))
+        near = graph.select("src", "dst").repartition(n, "dst").join(frontier.repartition(n, "dst"), "dst").distinct().withColumn("part", F.pmod(F.xxhash64("src"), F.lit(64)))
         pick = lambda df, by: df.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("h", "src"))).where(F.col("r") <= fanout)
         near = near.withColumn("h", F.xxhash64(F.lit(seed + hop), "src", "dst"))
         got = pick(pick(near, ("dst", "part")), ("dst",)).select(F.lit(hop).alias("hop"), "dst", "src")
