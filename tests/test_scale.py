@@ -50,3 +50,8 @@ def test_first_values_are_ranked_in_parts(spark):
     found = profile.union_values(cells, 1500)
     assert sorted(r["v"] for r in found.collect()) == sorted(f"v{i}" for i in range(1500))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+
+
+@pytest.mark.parametrize(("name", "times"), [("w5_neighbour_sampling", 2), ("w5_first_hop", 4), ("j9_not_an_edge", 2), ("s18_log_sections", 3)])
+def test_edges_and_lines_are_dealt_by_their_number(spark, name, times):
+    assert dealt(catalog.QUERIES[name](spark, SF)) >= times
