@@ -17,6 +17,10 @@ all intersections are counted. Families of more than ``MOST_BLOCKS`` blocks are
 apart by region of the forest, i.e. by tree and whole label, then by the labels of two
 and of four trees; what is still larger has 32 minimum hashes in common and is dealt in
 blocks that all hold the region's smallest document. So no group grows with the input.
+What this leaves apart is then compared exactly: in such a family every document outside of
+its largest linked part meets all documents of the family that it isn't linked with, block
+by block. Most large families are one part by then and end there; a family of many parts costs the
+square of what lies outside of the largest.
 
 Equal sets meet by a 64-bit hash of the whole set before anything is compared. That
 two different sets among 10^10 share it has odds of a few in all.
@@ -190,6 +194,40 @@ def deal(families: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES
     return own.union(chunks).union(heads).distinct()
 
 
+def remaining(members: DataFrame, roots: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES, most: int = MOST_BLOCKS) -> DataFrame | None:
+    """(node, part, low, high, left, root): the groups in which what ``deal`` took apart by region is compared in full; None if there is nothing.
+
+    ``members`` has node, family and n; ``roots`` (node, root) what has been linked. Pairs
+    within the largest part of a family are left out, as they are linked already.
+    """
+    parts = lambda docs, weight: F.greatest(F.ceil(docs / block), F.ceil(weight / shingles)).cast("int")
+    large = members.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight")).where(parts(F.col("docs"), F.col("weight")) > most).select("family")
+    if large.isEmpty():
+        return None
+    known = members.select("node", "family", "n").join(large, "family").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = known.groupBy("family", "root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
+    whole = sizes.groupBy("family").agg(F.max(F.struct("docs", "weight", "root")).alias("core"), F.sum("docs").alias("docs"), F.sum("weight").alias("weight"))
+    outside = (F.col("docs") - F.col("core.docs"), F.col("weight") - F.col("core.weight"))
+    whole = whole.where(outside[0] > 0).select("family", F.col("core.root").alias("core"), parts(*outside).alias("others"), parts(F.col("core.docs"), F.col("core.weight")).alias("inner"))
+    known = known.join(whole, "family").withColumn("h", F.xxhash64("node", F.lit(1)))
+    place = lambda kind, low, high, left: F.struct(F.lit(kind).alias("kind"), low.cast("int").alias("low"), high.cast("int").alias("high"), left.alias("left"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own, core = F.pmod("h", F.col("others")).cast("int"), F.pmod("h", F.col("inner")).cast("int")
+    out = F.concat(F.transform(upto("others"), lambda k: place(0, F.least(k, own), F.greatest(k, own), own <= k)), F.transform(upto("inner"), lambda k: place(1, own, F.col("others") + k, F.lit(True))))
+    into = F.transform(upto("others"), lambda k: place(1, k, F.col("others") + core, F.lit(False)))
+    dealt = known.select("node", "family", "root", F.explode(F.when(F.col("root") == F.col("core"), into).otherwise(out)).alias("at"))
+    return dealt.select("node", F.xxhash64(F.lit(-1), "family", "at.kind").alias("part"), "at.low", "at.high", "at.left", "root")
+
+
+def links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, shingles: int = BLOCK_SHINGLES, most: int = MOST_BLOCKS) -> DataFrame:
+    """(node, root) of all linked members of families (node, family, n, labels); ``sets`` has each node's shingles."""
+    compared = lambda groups: groups.join(sets, "node").groupBy("part", "low", "high").applyInArrow(_compare(percent), LINK)
+    found = materialize(compared(deal(members, block, shingles, most)), "compared")
+    roots = components(found)
+    rest = remaining(members, roots, block, shingles, most)
+    return roots if rest is None else components(found.union(compared(rest)))
+
+
 def _sets(batches, width: int):
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
@@ -198,11 +236,11 @@ def _sets(batches, width: int):
     give_back()
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, roots: np.ndarray | None = None) -> np.ndarray:
     """Labels of sets (left, then right) that pairs with ``100 * both >= percent * either`` join; without ``right`` pairs are within ``left``.
 
     A set's members are marked and counted in all sets it is compared with, so one step
-    compares it with a whole block.
+    compares it with a whole block. Sets with the same of ``roots`` are linked already and not compared.
     """
     others = left if right is None else right
     sizes = np.array([len(s) for s in others], np.int64)
@@ -210,6 +248,9 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     flat = ids[sum(map(len, left)) :] if right is not None else ids
     starts, at = exclusive(sizes), 0
     stars, mark = Stars(len(left) + len(right or [])), np.zeros(len(universe), np.int64)
+    if roots is not None:
+        _, first, of = np.unique(roots, return_index=True, return_inverse=True)
+        stars.label = first[of]
     for k, own in enumerate(left):
         mine = ids[at : at + len(own)]
         at += len(own)
@@ -217,6 +258,8 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
         if first >= len(others):
             break
         near = np.flatnonzero((100 * np.minimum(sizes[first:], len(own)) >= percent * np.maximum(sizes[first:], len(own)))) + first
+        if roots is not None:
+            near = near[roots[near + (0 if right is None else len(left))] != roots[k]]
         if not len(near):
             continue
         mark[mine] = 1
@@ -240,7 +283,8 @@ def _compare(percent: int):
         b = order[len(a) :]
         if not len(a) or not same and not len(b):
             return schema.empty_table()
-        label = linked(take(a), None if same else take(b), percent)
+        roots = group["root"].to_numpy()[order] if "root" in group.column_names else None
+        label = linked(take(a), None if same else take(b), percent, roots)
         far = np.flatnonzero(label != np.arange(len(order)))
         return pa.table([node[order[far]], node[order[label[far]]]], schema=schema)
 
@@ -254,12 +298,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, id_col:
     distinct = materialize(own.where("n > 0").groupBy("node").agg(first, F.max("n").alias("n"), F.first("labels").alias("labels")), "sets")
     families = components(candidates(distinct, crowd)).toDF("node", "family")
     members = materialize(distinct.join(families, "node").select("node", "family", "n", "labels", F.col("first.doc_id").alias("own_id"), F.col("first.text_hash").alias("own_hash")), "members")
-    groups = deal(members.select("node", "family", "n", "labels"), block, shingles, most)
     texts = docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).cast("string").alias("text")).withColumn("own_hash", F.xxhash64(F.col("own_id").isNull(), "text"))
     chosen = texts.join(members.select("node", "own_id", "own_hash"), (texts["own_hash"] == members["own_hash"]) & texts["own_id"].eqNullSafe(members["own_id"]))
     sets = materialize(chosen.select("node", "text").mapInArrow(partial(_sets, width=width), "node long, shingles binary"), "shingles")
-    compared = groups.join(sets, "node").groupBy("part", "low", "high").applyInArrow(_compare(percent), LINK)
-    roots = components(compared)
+    roots = links(members.select("node", "family", "n", "labels"), sets, percent, block, shingles, most)
     forget(sets)
     rooted = distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("of"))

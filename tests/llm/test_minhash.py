@@ -124,3 +124,15 @@ def test_links_at_the_limit_are_kept(spark):
     n, m = len(shingles(text)), len(shingles(near))
     both = len(shingles(text) & shingles(near))
     assert (100 * both >= 85 * (n + m - both)) == ({r["component_id"] for r in run(spark, [(1, text), (2, near)])} == {1})
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_links_that_regions_take_apart_are_found(spark, block):
+    """All labels are the same, so only the smallest document and chance meet the others of a region."""
+    sets = [np.arange(1000 * (k // 4), 1000 * (k // 4) + 100 + k % 4, dtype=np.uint64) for k in range(60)]
+    members = spark.createDataFrame([(k, 1, len(s), [0] * minhash.TREES) for k, s in enumerate(sets)], "node long, family long, n long, labels array<long>")
+    rows = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, shingles binary")
+    roots = {r["node"]: r["root"] for r in minhash.links(members, rows, 85, block=block, most=1).collect()}
+    assert roots == {k: k - k % 4 for k in range(60)}
+    apart = minhash.deal(members, block=block, most=1).join(rows, "node").groupBy("part", "low", "high").applyInArrow(minhash._compare(85), minhash.LINK)
+    assert {r["node"]: r["root"] for r in minhash.components(apart).collect()} != roots
