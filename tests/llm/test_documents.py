@@ -511,3 +511,27 @@ def test_many_languages_all_have_a_model(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_every_row_grows_a_tree():
+    rng, roots = np.random.default_rng(2), {}
+    x, keys = rng.normal(0, 1, (7001, 8)), np.arange(7001)
+    x[6500] = 50.0
+    forest = isoforest.Forest()
+
+    def ask(f):
+        found = isoforest._merge([f.statistics(x[k], k, f.share(len(x))) for k in np.array_split(keys, 7)])
+        roots.update({k: v for k, v in found.items() if k[1] == 0})
+        return found
+
+    forest.grow(ask, len(x), trees=20, rows=16)
+    assert sum(n for n, _, _ in roots.values()) == 7001 and max(high.max() for _, _, high in roots.values()) == 50.0
+    again = isoforest.Forest()
+    again.grow(lambda f: f.statistics(x, keys, f.share(len(x))), len(x), trees=20, rows=16)
+    assert (again.score(x) == forest.score(x)).all()
+
+
+def test_score_of_a_rank_is_exact(spark):
+    x = np.random.default_rng(3).random(3000).round(3)
+    scores = spark.createDataFrame([(float(v),) for v in x], "score double")
+    assert [isoforest._kth(scores, k, 16) for k in (0, 1500, 2999)] == [float(np.sort(x)[k]) for k in (0, 1500, 2999)]
